@@ -97,9 +97,9 @@ def cost_history(events: DataFrame, start: date, end: date) -> DataFrame:
         .agg(_newest("date").alias("newest"))
     )
     following = F.lead("valid_from").over(Window.partitionBy("product_id").orderBy("valid_from"))
-    last_day = F.coalesce(F.date_sub(following, 1), F.lit(end))
-    days = F.explode(F.sequence("valid_from", last_day, F.expr("interval 1 day")))
-    return _unpack(by_day.withColumn("valid_to", last_day).withColumn("date", days), F.col("date"))
+    ranges = by_day.withColumn("valid_to", F.coalesce(F.date_sub(following, 1), F.lit(end)))
+    days = F.explode(F.sequence("valid_from", "valid_to", F.expr("interval 1 day")))
+    return _unpack(ranges.withColumn("date", days), F.col("date"))
 
 
 def cost_intervals(events: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from shelfledger.schemas import (
 
 def category_path(path: Column) -> tuple[Column, Column]:
     """(first, last) non-empty trimmed segment of ``A / B / C``."""
-    parts = F.filter(F.transform(F.split(path, "/"), F.trim), lambda part: part != "")
+    trimmed = F.transform(F.split(path, "/"), lambda part: F.trim(part))
+    parts = F.filter(trimmed, lambda part: part != "")
     return F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
 
 

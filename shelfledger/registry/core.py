@@ -18,9 +18,8 @@ class Query:
     """One registered query.
 
     ``digits`` names the columns whose last decimals depend on the order of
-    summation; both sides are rounded alike.  Single products keep 9 digits, sums
-    of money the 4 digits the given prices have, sums of costs 3, and totals over
-    a whole table whole units.
+    summation; both sides are rounded alike: line amounts to 4 digits, sums of
+    money to 3, totals over a whole table to whole units.
     """
 
     name: str
@@ -43,6 +42,8 @@ class Query:
                 f"round({name}, {n}) + 0.0 AS {name}" for name, n in self.digits.items()
             )
             body = f"SELECT * REPLACE ({rounded}) FROM (\n{body}\n)"
+        elif body.startswith("WITH"):
+            body = f"SELECT * FROM (\n{body}\n)"
         views = _needed_views(body)
         if not views:
             return body

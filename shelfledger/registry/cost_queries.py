@@ -43,19 +43,19 @@ SELECT date, move_id, move_name, vendor_id, vendor_name, purchase_order_id, purc
        move_line_id, product_id, price_unit, actual_price, quantity, tax_id, tax_ids_json
 FROM fact_purchases
 """,
-    price_unit=9,
-    actual_price=9,
+    price_unit=4,
+    actual_price=4,
 )
 def _(t: Tables):
     return cleaning.clean_bills(t.raw_bills)
 
 
-@register("fact_purchases", "SELECT * FROM fact_purchases", price_unit=9, actual_price=9)
+@register("fact_purchases", "SELECT * FROM fact_purchases", price_unit=4, actual_price=4)
 def _(t: Tables):
     return t.fact_purchases
 
 
-@register("cost_events", "SELECT * FROM cost_events", cost_unit_tax_in=9)
+@register("cost_events", "SELECT * FROM cost_events", cost_unit_tax_in=4)
 def _(t: Tables):
     return t.cost_events
 
@@ -69,7 +69,7 @@ _NEWEST = "source_move_id DESC, cost_unit_tax_in DESC, source_tax_id DESC"
 SELECT product_id, cost_unit_tax_in, source_move_id, source_tax_id FROM cost_events
 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY {_NEWEST}) = 1
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     return costs.latest_cost_by_product(t.cost_events)
@@ -81,7 +81,7 @@ def _(t: Tables):
 SELECT date, product_id, cost_unit_tax_in, source_move_id, source_tax_id FROM cost_events
 QUALIFY row_number() OVER (PARTITION BY product_id, date ORDER BY {_NEWEST}) = 1
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     return costs.latest_cost_by_day(t.cost_events)
@@ -95,12 +95,12 @@ QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY date DESC, {_NEWEST}
 """
 
 
-@register("cost_snapshot", _snapshot_sql("2000-06-30"), cost_unit_tax_in=9)
+@register("cost_snapshot", _snapshot_sql("2000-06-30"), cost_unit_tax_in=4)
 def _(t: Tables):
     return costs.cost_snapshot(t.cost_events, AS_OF)
 
 
-@register("cost_snapshot_incremental", _snapshot_sql("2000-06-30"), cost_unit_tax_in=9)
+@register("cost_snapshot_incremental", _snapshot_sql("2000-06-30"), cost_unit_tax_in=4)
 def _(t: Tables):
     yesterday = costs.cost_snapshot(t.cost_events, AS_OF - timedelta(days=1))
     today = t.cost_events.where(F.col("date") == F.lit(AS_OF))
@@ -116,7 +116,7 @@ FROM generate_series(TIMESTAMP '2000-04-01', TIMESTAMP '2000-06-30', INTERVAL 1
 JOIN cost_events e ON e.date <= CAST(c.d AS DATE)
 QUALIFY row_number() OVER (PARTITION BY e.product_id, c.d ORDER BY e.date DESC, {_NEWEST}) = 1
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     return costs.cost_history(t.cost_events, HISTORY_START, AS_OF)
@@ -131,7 +131,7 @@ SELECT product_id, date AS valid_from,
 FROM (SELECT * FROM cost_events
       QUALIFY row_number() OVER (PARTITION BY product_id, date ORDER BY {_NEWEST}) = 1)
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     return costs.cost_intervals(t.cost_events)
@@ -151,14 +151,14 @@ SELECT product_id, cost_unit_tax_in, source_tax_id, cost_source, effective_date
 QUALIFY row_number() OVER (PARTITION BY product_id
   ORDER BY priority, effective_date DESC, source_move_id DESC, cost_unit_tax_in DESC) = 1
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     bought = costs.cost_snapshot(t.cost_events, EARLY_AS_OF)
     return costs.unified_cost(bought, t.legacy_costs, EARLY_AS_OF)
 
 
-@register("unified_cost_by_day", "SELECT * FROM product_day_costs", cost_unit_tax_in=9)
+@register("unified_cost_by_day", "SELECT * FROM product_day_costs", cost_unit_tax_in=4)
 def _(t: Tables):
     days = t.taxed_lines.select("product_id", "date").distinct()
     return costs.unified_cost_by_day(t.cost_events, t.legacy_costs, days)
@@ -173,7 +173,7 @@ QUALIFY row_number() OVER (PARTITION BY d.product_id, d.date
 """
 
 
-@register("cost_as_of_sale_day", _AS_OF_COST, cost_unit_tax_in=9)
+@register("cost_as_of_sale_day", _AS_OF_COST, cost_unit_tax_in=4)
 def _(t: Tables):
     days = t.taxed_lines.select("product_id", "date").distinct()
     return costs.cost_as_of(t.cost_events, days)
@@ -190,7 +190,7 @@ SELECT product_id, cost_unit_tax_in FROM beginning_costs
 WHERE is_active AND cost_unit_tax_in > 0 AND effective_date <= DATE '1996-06-30'
   AND product_id NOT IN (SELECT product_id FROM bought)
 """,
-    cost_unit_tax_in=9,
+    cost_unit_tax_in=4,
 )
 def _(t: Tables):
     return costs.inventory_cost(

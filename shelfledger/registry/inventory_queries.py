@@ -40,7 +40,7 @@ def _(t: Tables):
 SELECT product_id, sum(quantity) AS units_sold, sum(revenue) AS revenue
 FROM agg_sales_daily_by_product WHERE {RANGE} GROUP BY product_id
 """,
-    revenue=4,
+    revenue=3,
 )
 def _(t: Tables):
     return stock.units_sold(t.agg_sales_by_product, FIRST_DAY, LAST_DAY)
@@ -243,7 +243,7 @@ def _status(t: Tables):
 @register(
     "stock_status",
     _STATUS,
-    revenue=4,
+    revenue=3,
     avg_daily_sold=8,
     days_of_cover=6,
     est_stock_value=3,
@@ -423,7 +423,7 @@ FROM k LEFT JOIN dim_products p ON p.product_id = k.product_id
 _ABC = _abc_sql("1995-01-01", "2001-08-02")
 _ABC_RECENT = _abc_sql("2000-04-01", "2000-07-01")
 _ABC_DIGITS = {
-    "revenue": 4,
+    "revenue": 3,
     "revenue_share": 10,
     "cumulative_revenue": 0,
     "cumulative_share": 8,
@@ -471,7 +471,7 @@ SELECT product_category, abc_class, sum(revenue) AS revenue FROM ({_ABC}) GROUP
 """
 
 
-@register("abc_by_category", _ABC_CATEGORY, revenue=1)
+@register("abc_by_category", _ABC_CATEGORY, revenue=3)
 def _(t: Tables):
     return abc.abc_by_category(_abc(t))
 
@@ -482,7 +482,7 @@ def _(t: Tables):
 SELECT sku_rank, product_id, product_name, revenue, cumulative_share
 FROM ({_ABC}) WHERE sku_rank <= 50
 """,
-    revenue=4,
+    revenue=3,
     cumulative_share=8,
 )
 def _(t: Tables):
@@ -497,7 +497,7 @@ SELECT * FROM c WHERE product_category IN (
   SELECT product_category FROM c GROUP BY 1
   ORDER BY round(sum(revenue), 4) DESC, product_category LIMIT 3)
 """,
-    revenue=1,
+    revenue=3,
 )
 def _(t: Tables):
     return abc.abc_mix(abc.abc_by_category(_abc(t)), 3)
@@ -527,8 +527,8 @@ ON c.product_id = l.product_id
 """,
     avg_daily_sold=8,
     days_of_cover=6,
-    cost_unit_tax_in=9,
-    est_stock_value=9,
+    cost_unit_tax_in=4,
+    est_stock_value=3,
 )
 def _(t: Tables):
     unit_costs = costs.inventory_cost(
@@ -556,9 +556,9 @@ SELECT *, cost_unit_tax_in * on_hand_qty AS est_stock_value FROM (
 _POSITION_DIGITS = {
     "avg_daily_sold": 8,
     "days_of_cover": 6,
-    "revenue": 4,
-    "cost_unit_tax_in": 9,
-    "est_stock_value": 9,
+    "revenue": 3,
+    "cost_unit_tax_in": 4,
+    "est_stock_value": 3,
 }
 
 
@@ -618,7 +618,7 @@ SELECT count(*) FILTER (WHERE {_REORDER}) + count(*) FILTER (WHERE {_MARKDOWN})
        sum(est_stock_value) AS total_inventory_value, count(*) AS total_sku_count
 FROM ({_POSITION})
 """,
-    revenue_at_risk=1,
+    revenue_at_risk=3,
     capital_locked=0,
     overstock_value=0,
     total_inventory_value=0,

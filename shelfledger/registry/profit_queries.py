@@ -9,13 +9,12 @@ from shelfledger.registry.tables import AS_OF, FIRST_DAY, HALF_START, LAST_DAY,
 
 RANGE = "date >= DATE '1995-01-01' AND date < DATE '2001-08-02'"
 _MONEY = {
-    "revenue_tax_in": 9,
-    "cost_unit_tax_in": 9,
-    "cogs_tax_in": 9,
-    "gross_profit": 9,
+    "revenue_tax_in": 4,
+    "cost_unit_tax_in": 4,
+    "cogs_tax_in": 4,
+    "gross_profit": 4,
 }
-_SUMS = {"revenue_tax_in": 4, "cogs_tax_in": 3, "gross_profit": 3}
-_FINE_SUMS = {"revenue_tax_in": 9, "cogs_tax_in": 9, "gross_profit": 9}
+_SUMS = {"revenue_tax_in": 3, "cogs_tax_in": 3, "gross_profit": 3}
 
 
 @register(
@@ -72,7 +71,7 @@ def _(t: Tables):
     return t.agg_profit_daily
 
 
-@register("profit_daily_by_product", "SELECT * FROM agg_profit_daily_by_product", **_FINE_SUMS)
+@register("profit_daily_by_product", "SELECT * FROM agg_profit_daily_by_product", **_SUMS)
 def _(t: Tables):
     return t.agg_profit_by_product
 
@@ -92,7 +91,7 @@ FROM agg_profit_daily WHERE {RANGE}
     revenue=0,
     cogs=0,
     gross_profit=0,
-    avg_transaction_value=4,
+    avg_transaction_value=3,
     gross_margin_pct=6,
 )
 def _(t: Tables):
@@ -120,10 +119,10 @@ GROUP BY c.d
 
 
 _TREND = {
-    "revenue": 4,
+    "revenue": 3,
     "cogs": 3,
     "gross_profit": 3,
-    "avg_transaction_value": 4,
+    "avg_transaction_value": 3,
     "gross_margin_pct": 6,
 }
 
@@ -159,9 +158,9 @@ FROM (SELECT product_id, sum(revenue_tax_in) AS total_revenue, sum(cogs_tax_in)
       ORDER BY round(total_profit, 4) DESC NULLS LAST, product_id LIMIT 20) s
 LEFT JOIN dim_products p ON p.product_id = s.product_id
 """,
-    total_revenue=4,
-    total_cogs=4,
-    total_profit=4,
+    total_revenue=3,
+    total_cogs=3,
+    total_profit=3,
     profit_margin_pct=6,
 )
 def _(t: Tables):
@@ -197,7 +196,7 @@ SELECT coalesce(p.product_parent_category, 'Unknown') AS parent_category,
 FROM agg_profit_daily_by_product s LEFT JOIN dim_products p ON p.product_id = s.product_id
 WHERE {RANGE} GROUP BY 1, 2
 """,
-    revenue=1,
+    revenue=3,
 )
 def _(t: Tables):
     return profit.profit_revenue_by_category(
@@ -249,7 +248,7 @@ FROM margins
     prev_gross_profit=0,
     cur_margin_pct=6,
     prev_margin_pct=6,
-    cur_avg_transaction_value=4,
+    cur_avg_transaction_value=3,
     revenue_delta=0,
     revenue_delta_pct=6,
     cogs_pct=6,

@@ -22,17 +22,17 @@ def _(t: Tables):
     return t.sales_all
 
 
-@register("sales_daily", "SELECT * FROM agg_sales_daily", revenue=4)
+@register("sales_daily", "SELECT * FROM agg_sales_daily", revenue=3)
 def _(t: Tables):
     return t.agg_sales_daily
 
 
-@register("sales_daily_by_product", "SELECT * FROM agg_sales_daily_by_product", revenue=4)
+@register("sales_daily_by_product", "SELECT * FROM agg_sales_daily_by_product", revenue=3)
 def _(t: Tables):
     return t.agg_sales_by_product
 
 
-@register("sales_daily_by_principal", "SELECT * FROM agg_sales_daily_by_principal", revenue=4)
+@register("sales_daily_by_principal", "SELECT * FROM agg_sales_daily_by_principal", revenue=3)
 def _(t: Tables):
     return t.agg_sales_by_principal
 
@@ -45,8 +45,8 @@ WHERE {RANGE} GROUP BY principal
 
 @register(
     "sales_by_principal",
-    f"{_PRINCIPALS} ORDER BY round(revenue, 4) DESC, principal LIMIT 20",
-    revenue=2,
+    f"{_PRINCIPALS} ORDER BY round(sum(revenue), 4) DESC, principal LIMIT 20",
+    revenue=3,
 )
 def _(t: Tables):
     return sales.sales_by_principal(t.agg_sales_by_principal, FIRST_DAY, LAST_DAY)
@@ -55,12 +55,12 @@ def _(t: Tables):
 @register(
     "principals_named",
     f"""
-SELECT * FROM ({_PRINCIPALS} ORDER BY round(revenue, 4) DESC, principal LIMIT 30)
+SELECT * FROM ({_PRINCIPALS} ORDER BY round(sum(revenue), 4) DESC, principal LIMIT 30)
 WHERE principal NOT IN ('Unknown Principal', 'unknown principal', '', '-', 'None', 'null', 'NULL')
   AND length(trim(principal)) > 1
 ORDER BY round(revenue, 4) DESC, principal LIMIT 20
 """,
-    revenue=2,
+    revenue=3,
 )
 def _(t: Tables):
     top = sales.sales_by_principal(t.agg_sales_by_principal, FIRST_DAY, LAST_DAY, 30)
@@ -81,17 +81,17 @@ GROUP BY c.d
 """
 
 
-@register("sales_trend_daily", _trend_sql("day"), revenue=4, avg_transaction_value=4)
+@register("sales_trend_daily", _trend_sql("day"), revenue=3, avg_transaction_value=3)
 def _(t: Tables):
     return sales.sales_trend(t.agg_sales_daily, FIRST_DAY, LAST_DAY, "daily")
 
 
-@register("sales_trend_weekly", _trend_sql("week"), revenue=4, avg_transaction_value=4)
+@register("sales_trend_weekly", _trend_sql("week"), revenue=3, avg_transaction_value=3)
 def _(t: Tables):
     return sales.sales_trend(t.agg_sales_daily, FIRST_DAY, LAST_DAY, "weekly")
 
 
-@register("sales_trend_monthly", _trend_sql("month"), revenue=2, avg_transaction_value=4)
+@register("sales_trend_monthly", _trend_sql("month"), revenue=3, avg_transaction_value=3)
 def _(t: Tables):
     return sales.sales_trend(t.agg_sales_daily, FIRST_DAY, LAST_DAY, "monthly")
 
@@ -116,7 +116,7 @@ FROM range(7, 24) AS h(hour) LEFT JOIN (
     AND extract(hour FROM sold_at) BETWEEN 7 AND 23
   GROUP BY 1) s ON s.hour = h.hour
 """,
-    revenue=2,
+    revenue=3,
 )
 def _(t: Tables):
     return sales.hourly_pattern(t.sales_all, FIRST_DAY, LAST_DAY)
@@ -131,7 +131,7 @@ GROUP BY 1, 2
 """
 
 
-@register("hourly_heatmap", _HEAT, revenue=4)
+@register("hourly_heatmap", _HEAT, revenue=3)
 def _(t: Tables):
     return sales.hourly_heatmap(t.sales_all, FIRST_DAY, LAST_DAY)
 
@@ -147,7 +147,7 @@ _HOURS = [f"h{hour:02d}" for hour in range(7, 24)]
         for hour in range(7, 24)
     )
     + f" FROM ({_HEAT}) GROUP BY date",
-    **dict.fromkeys(_HOURS, 4),
+    **dict.fromkeys(_HOURS, 3),
 )
 def _(t: Tables):
     return sales.heatmap_pivot(sales.hourly_heatmap(t.sales_all, FIRST_DAY, LAST_DAY))
@@ -164,7 +164,7 @@ FROM (SELECT product_id, sum(quantity) AS quantity_sold, sum(revenue) AS total_u
       GROUP BY product_id ORDER BY round(total_unit_price, 4) DESC, product_id LIMIT 20) s
 LEFT JOIN dim_products p ON p.product_id = s.product_id
 """,
-    total_unit_price=4,
+    total_unit_price=3,
 )
 def _(t: Tables):
     return sales.top_products(t.agg_sales_by_product, t.dim_products, FIRST_DAY, LAST_DAY)
@@ -214,9 +214,9 @@ FROM atv
     cur_revenue=0,
     prev_revenue=0,
     revenue_delta=0,
-    cur_avg_transaction_value=4,
-    prev_avg_transaction_value=4,
-    avg_transaction_value_delta=4,
+    cur_avg_transaction_value=3,
+    prev_avg_transaction_value=3,
+    avg_transaction_value_delta=3,
     revenue_pct=6,
     transactions_pct=6,
     items_sold_pct=6,
@@ -242,7 +242,7 @@ SELECT parent_category, category, brand, 'brand', sum(revenue), NULL FROM base G
 """
 
 
-@register("overview_summary", _OVERVIEW, revenue=1)
+@register("overview_summary", _OVERVIEW, revenue=3)
 def _(t: Tables):
     return sales.overview_summary(t.agg_sales_by_product, t.dim_products, FIRST_DAY, LAST_DAY)
 
@@ -280,14 +280,14 @@ SELECT 'category_brand', parent_category, category, brand, revenue FROM chosen
 """
 
 
-@register("category_flow", _flow_sql(20, 30), value=1)
+@register("category_flow", _flow_sql(20, 30), value=3)
 def _(t: Tables):
     return sales.category_flow(
         sales.overview_summary(t.agg_sales_by_product, t.dim_products, FIRST_DAY, LAST_DAY)
     )
 
 
-@register("category_flow_narrow", _flow_sql(5, 8), value=1)
+@register("category_flow_narrow", _flow_sql(5, 8), value=3)
 def _(t: Tables):
     return sales.category_flow(
         sales.overview_summary(t.agg_sales_by_product, t.dim_products, FIRST_DAY, LAST_DAY),
@@ -303,7 +303,7 @@ SELECT p.product_category, sum(s.revenue) AS revenue, count(DISTINCT s.order_id)
 FROM fact_sales s JOIN dim_products p ON p.product_id = s.product_id
 WHERE s.date >= TIMESTAMP '1995-01-01' AND s.revenue > 0 GROUP BY 1
 """,
-    revenue=1,
+    revenue=3,
 )
 def _(t: Tables):
     return sales.category_rollup(t.fact_sales, t.dim_products, FIRST_DAY)
@@ -316,7 +316,7 @@ SELECT CAST(date_trunc('month', date) AS DATE) AS month, sum(revenue) AS revenue
        count(*) AS lines
 FROM fact_sales WHERE date >= TIMESTAMP '1995-01-01' GROUP BY 1
 """,
-    revenue=2,
+    revenue=3,
 )
 def _(t: Tables):
     return sales.monthly_sales(t.fact_sales, FIRST_DAY)
@@ -357,8 +357,8 @@ SELECT CAST(c.d AS DATE) AS date, coalesce(a.revenue, 0) AS revenue,
 FROM generate_series(CAST({start} AS TIMESTAMP), CAST({end} AS TIMESTAMP), INTERVAL 1 DAY) AS c(d)
 LEFT JOIN agg_sales_daily a ON a.date = CAST(c.d AS DATE)
 """,
-        revenue=4,
-        avg_transaction_value=4,
+        revenue=3,
+        avg_transaction_value=3,
     )
     def _(t: Tables):
         return sales.sales_trend(t.agg_sales_daily, *preset_range(name, AS_OF))

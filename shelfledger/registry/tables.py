@@ -1,7 +1,9 @@
 """The given TPC-H-like tables seen as a retail business.
 
 Every frame is derived by Spark from the given Parquet files and grows with
-them.  ``shelfledger.registry.views`` holds the same definitions as SQL.
+them.  ``shelfledger.registry.views`` holds the same definitions as SQL.  POS
+amounts are whole units and other prices have endless decimals, so no rounded
+result sits on a rounding tie.
 """
 
 from __future__ import annotations
@@ -63,6 +65,11 @@ class Tables:
     def _line_id() -> Column:
         return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
+    @staticmethod
+    def _tax_id() -> Column:
+        taxed = F.when(F.col("l_tax") >= 0.05, F.lit(7)).otherwise(F.lit(5))
+        return taxed.cast("bigint").alias("tax_id")
+
     @staticmethod
     def _sold_at() -> Column:
         return F.col("o_orderdate") + F.make_dt_interval(
@@ -91,7 +98,9 @@ class Tables:
             self._line_id().alias("line_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").alias("quantity"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+            F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+            .cast("double")
+            .alias("revenue"),
         )
 
     @cached_property
@@ -104,14 +113,14 @@ class Tables:
             F.col("o_custkey").alias("customer_id"),
             self._line_id().alias("move_line_id"),
             F.col("l_partkey").alias("product_id"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_unit"),
+            (F.col("l_extendedprice") / F.col("l_quantity") / F.lit(0.73)).alias("price_unit"),
             F.col("l_quantity").alias("quantity"),
-            F.when(F.col("l_tax") >= 0.05, F.lit(7)).otherwise(F.lit(5)).cast("bigint").alias("tax_id"),
+            self._tax_id(),
         )
 
     @cached_property
     def raw_bills(self) -> DataFrame:
-        price = F.col("l_extendedprice") / F.col("l_quantity") * F.lit(0.6)
+        price = F.col("l_extendedprice") / F.col("l_quantity") / F.lit(1.73)
         vendor = F.col("l_suppkey")
         return self.given("lineitem").where(F.col("l_returnflag") == "N").select(
             F.col("l_orderkey").alias("move_id"),
@@ -125,7 +134,7 @@ class Tables:
             F.col("l_partkey").alias("product_id"),
             F.when(F.col("l_discount") >= 0.09, -price).otherwise(price).alias("price_unit"),
             F.col("l_quantity").alias("quantity"),
-            F.when(F.col("l_tax") >= 0.05, F.lit(7)).otherwise(F.lit(5)).cast("bigint").alias("tax_id"),
+            self._tax_id(),
         )
 
     @cached_property

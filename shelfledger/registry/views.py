@@ -18,7 +18,7 @@ SELECT o_orderdate + to_hours(o_orderkey % 24) AS date,
        l_orderkey * 10 + l_linenumber AS line_id,
        l_partkey AS product_id,
        l_quantity AS quantity,
-       l_extendedprice * (1 - l_discount) AS revenue
+       floor(l_extendedprice * (1 - l_discount)) AS revenue
 FROM order_lines WHERE o_orderstatus <> 'P'
 """
 
@@ -30,7 +30,7 @@ SELECT CAST(o_orderdate AS DATE) AS date,
        o_custkey AS customer_id,
        l_orderkey * 10 + l_linenumber AS move_line_id,
        l_partkey AS product_id,
-       l_extendedprice / l_quantity AS price_unit,
+       l_extendedprice / l_quantity / CAST(0.73 AS DOUBLE) AS price_unit,
        l_quantity AS quantity,
        CAST(CASE WHEN l_tax >= 0.05 THEN 7 ELSE 5 END AS BIGINT) AS tax_id
 FROM order_lines WHERE o_orderstatus = 'P'
@@ -45,7 +45,7 @@ SELECT l_orderkey AS move_id,
        l_orderkey * 10 + l_linenumber AS move_line_id,
        l_partkey AS product_id,
        CASE WHEN l_discount >= 0.09 THEN -1 ELSE 1 END
-         * (l_extendedprice / l_quantity * CAST(0.6 AS DOUBLE)) AS price_unit,
+         * (l_extendedprice / l_quantity / CAST(1.73 AS DOUBLE)) AS price_unit,
        l_quantity AS quantity,
        CAST(CASE WHEN l_tax >= 0.05 THEN 7 ELSE 5 END AS BIGINT) AS tax_id
 FROM lineitem WHERE l_returnflag = 'N'

@@ -54,7 +54,7 @@ def rows_of(table: pa.Table) -> list[tuple]:
 def compare(spark, folder: str, query, connection) -> tuple[int, list[str]]:
     """(row count, differences) of one query."""
     left = query.frame(spark, folder).toArrow()
-    right = connection.execute(query.oracle()).fetch_arrow_table()
+    right = connection.sql(query.oracle()).to_arrow_table()
     problems = []
     if sorted(left.column_names) != sorted(right.column_names):
         return left.num_rows, [
