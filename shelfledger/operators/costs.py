@@ -180,71 +180,60 @@ def unified_cost(
     )
 
 
-def unified_cost_by_day(
-    events: DataFrame, legacy: DataFrame, product_days: DataFrame
-) -> DataFrame:
-    """Unified cost of each (product_id, date) in ``product_days``, as known that day.
+def _known_on(offers: DataFrame, asked: DataFrame, known: Column) -> DataFrame:
+    """Carry offers forward to the asked (product_id, date) pairs.
 
-    One forward pass per product over distinct days: a running maximum of the
-    candidates seen so far.  A product contributes at most one row per calendar
-    day, however many events and sales it has.  Days without a known cost are
-    left out.
+    ``offers`` has one ``best`` per product and day; ``known`` picks the one that
+    holds from the rows seen so far.  Sales arrive here as distinct product days,
+    so a product has at most two rows per calendar day in the ordered pass,
+    however many events and sales it has.  No range join is needed.
     """
-    marks = product_days.select(
-        "product_id", "date", F.lit(None).alias("best"), F.lit(True).alias("asked")
-    )
-    offers = _candidates(events, legacy).select(
-        "product_id",
-        F.col("effective_date").alias("date"),
-        _preferred().alias("best"),
-        F.lit(False).alias("asked"),
-    )
-    seen = Window.partitionBy("product_id").orderBy("date").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    marks = asked.select("product_id", "date").distinct()
+    seen = (
+        Window.partitionBy("product_id")
+        .orderBy("date", "asked")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        offers.unionByName(marks)
-        .groupBy("product_id", "date")
-        .agg(F.max("best").alias("best"), F.max("asked").alias("asked"))
-        .withColumn("best", F.max("best").over(seen))
-        .where(F.col("asked") & F.col("best").isNotNull())
-        .select(
-            "product_id",
-            "date",
-            "best.cost_unit_tax_in",
-            "best.source_tax_id",
-            "best.cost_source",
-            "best.effective_date",
+        offers.select("product_id", "date", "best", F.lit(False).alias("asked"))
+        .unionByName(
+            marks.select(
+                "product_id", "date", F.lit(None).alias("best"), F.lit(True).alias("asked")
+            )
         )
+        .withColumn("best", known.over(seen))
+        .where(F.col("asked") & F.col("best").isNotNull())
     )
 
 
-def cost_as_of(events: DataFrame, product_days: DataFrame) -> DataFrame:
-    """Most recent purchase cost on or before each (product_id, date).
+def unified_cost_by_day(
+    events: DataFrame, legacy: DataFrame, product_days: DataFrame
+) -> DataFrame:
+    """Unified cost of each (product_id, date) in ``product_days``, as known that day.
 
-    Same shape as :func:`unified_cost_by_day`: distinct days only, one ordered
-    pass per product, no range join.
+    A running maximum of the candidates seen so far.  Days without a known cost
+    are left out.  ``product_days`` may hold repeated rows.
     """
-    marks = product_days.select(
-        "product_id", "date", F.lit(None).alias("newest"), F.lit(True).alias("asked")
+    offers = (
+        _candidates(events, legacy)
+        .groupBy("product_id", F.col("effective_date").alias("date"))
+        .agg(F.max(_preferred()).alias("best"))
     )
-    offers = events.select(
+    return _known_on(offers, product_days, F.max("best")).select(
         "product_id",
         "date",
-        F.struct("source_move_id", "cost_unit_tax_in", "source_tax_id").alias("newest"),
-        F.lit(False).alias("asked"),
-    )
-    seen = Window.partitionBy("product_id").orderBy("date").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    known = (
-        offers.unionByName(marks)
-        .groupBy("product_id", "date")
-        .agg(F.max("newest").alias("newest"), F.max("asked").alias("asked"))
-        .withColumn("newest", F.last("newest", ignorenulls=True).over(seen))
-        .where(F.col("asked") & F.col("newest").isNotNull())
+        "best.cost_unit_tax_in",
+        "best.source_tax_id",
+        "best.cost_source",
+        "best.effective_date",
     )
-    return _unpack(known, F.col("date"))
+
+
+def cost_as_of(events: DataFrame, product_days: DataFrame) -> DataFrame:
+    """Most recent purchase cost on or before each (product_id, date)."""
+    offers = events.groupBy("product_id", "date").agg(_newest().alias("best"))
+    known = _known_on(offers, product_days, F.last("best", ignorenulls=True))
+    return _unpack(known.withColumnRenamed("best", "newest"), F.col("date"))
 
 
 # --- inventory cost ------------------------------------------------------------------

@@ -77,6 +77,18 @@ def line_profit(sales: DataFrame, costs: DataFrame, zero_missing_cost: bool = Fa
     return _priced(sales.join(costs, "product_id", "left"), zero_missing_cost)
 
 
+def _at_day_cost(sales: DataFrame, day_costs: DataFrame, zero_missing_cost: bool) -> DataFrame:
+    """Join on (product, day).
+
+    The cost side has a row for every product day with a sale, which grows with
+    the sales and is far larger than file sizes suggest, so it is never broadcast.
+    """
+    day_costs = day_costs.select("product_id", "date", "cost_unit_tax_in", "source_tax_id")
+    return _priced(
+        sales.join(day_costs.hint("merge"), ["product_id", "date"], "left"), zero_missing_cost
+    )
+
+
 def line_profit_by_day(
     sales: DataFrame, events: DataFrame, legacy: DataFrame, zero_missing_cost: bool = False
 ) -> DataFrame:
@@ -85,22 +97,14 @@ def line_profit_by_day(
     Lines meet their cost on (product, day), so even a product with a third of
     all lines is spread over its days.
     """
-    product_days = sales.select("product_id", "date").distinct()
-    costs = unified_cost_by_day(events, legacy, product_days).select(
-        "product_id", "date", "cost_unit_tax_in", "source_tax_id"
-    )
-    return _priced(sales.join(costs, ["product_id", "date"], "left"), zero_missing_cost)
+    return _at_day_cost(sales, unified_cost_by_day(events, legacy, sales), zero_missing_cost)
 
 
 def line_profit_as_of(
     sales: DataFrame, events: DataFrame, zero_missing_cost: bool = False
 ) -> DataFrame:
     """Profit per line at the most recent purchase cost on the sale date."""
-    product_days = sales.select("product_id", "date").distinct()
-    costs = cost_as_of(events, product_days).select(
-        "product_id", "date", "cost_unit_tax_in", "source_tax_id"
-    )
-    return _priced(sales.join(costs, ["product_id", "date"], "left"), zero_missing_cost)
+    return _at_day_cost(sales, cost_as_of(events, sales), zero_missing_cost)
 
 
 # --- aggregates --------------------------------------------------------------------------

@@ -131,7 +131,8 @@ def bucketed(
     """Sums per calendar bucket, buckets without data included as NULL sums.
 
     The day rows are reduced to buckets first and joined to the calendar on
-    equality, so no range join is needed.  First and last bucket are whole.
+    equality, so no range join is needed.  First and last bucket are whole.  The
+    sums are broadcast: they hold at most one row per bucket of the calendar.
     """
     unit = unit_of(period)
     start, end = ordered(start, end)
@@ -139,10 +140,10 @@ def bucketed(
     day = F.col("date")
     sums = (
         daily.where((day >= F.lit(first)) & (day < F.lit(after)))
-        .groupBy(F.date_trunc(unit, day).cast("date").alias("date"))
+        .groupBy((day if unit == "day" else F.trunc(day, unit)).alias("date"))
         .agg(*[F.sum(source).alias(name) for name, source in totals.items()])
     )
-    return calendar(daily.sparkSession, start, end, unit).join(sums, "date", "left")
+    return calendar(daily.sparkSession, start, end, unit).join(F.broadcast(sums), "date", "left")
 
 
 def sales_trend(daily: DataFrame, start: date, end: date, period: str = "daily") -> DataFrame:
@@ -176,7 +177,8 @@ def _opening_hours(lines: DataFrame, start: date, end: date) -> DataFrame:
 
 def hourly_pattern(lines: DataFrame, day: date, until: date | None = None) -> DataFrame:
     """Revenue and distinct transactions per opening hour of ``day`` (or of a range)."""
-    hours = lines.sparkSession.range(K.FIRST_HOUR, K.LAST_HOUR + 1).select(
+    spark = lines.sparkSession
+    hours = spark.range(K.FIRST_HOUR, K.LAST_HOUR + 1, 1, numPartitions=1).select(
         F.col("id").cast("int").alias("hour")
     )
     sums = (
@@ -188,7 +190,7 @@ def hourly_pattern(lines: DataFrame, day: date, until: date | None = None) -> Da
         )
     )
     return (
-        hours.join(sums, "hour", "left")
+        hours.join(F.broadcast(sums), "hour", "left")  # at most one row per opening hour
         .select(
             "hour",
             zero_if_null(F.col("revenue")).alias("revenue"),
@@ -401,7 +403,7 @@ def monthly_sales(pos: DataFrame, start: date) -> DataFrame:
     """Revenue and lines per month from ``start`` on."""
     return (
         pos.where(F.col("date") >= F.lit(start).cast("timestamp_ntz"))
-        .groupBy(F.date_trunc("month", "date").cast("date").alias("month"))
+        .groupBy(F.trunc("date", "month").alias("month"))
         .agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("lines"))
         .orderBy("month")
     )

@@ -77,6 +77,18 @@ def pool_delta(qty: Column, src: Column, dest: Column, pool: Iterable[int]) -> C
     )
 
 
+def _ledger_moves(
+    moves: DataFrame, after: datetime, until: datetime, pool: Iterable[int]
+) -> DataFrame:
+    """(product_id, qty_delta) of each move with after < date <= until."""
+    delta = pool_delta(
+        F.col("qty_moved"), F.col("location_src_id"), F.col("location_dest_id"), pool
+    )
+    return moves.where((F.col("date") > moment(after)) & (F.col("date") <= moment(until))).select(
+        "product_id", delta.alias("qty_delta")
+    )
+
+
 def ledger_deltas(
     moves: DataFrame,
     after: datetime,
@@ -84,13 +96,10 @@ def ledger_deltas(
     pool: Iterable[int] = K.LEDGER_LOCATION_POOL,
 ) -> DataFrame:
     """Net quantity per product of the moves with after < date <= until."""
-    delta = pool_delta(
-        F.col("qty_moved"), F.col("location_src_id"), F.col("location_dest_id"), pool
-    )
     return (
-        moves.where((F.col("date") > moment(after)) & (F.col("date") <= moment(until)))
+        _ledger_moves(moves, after, until, pool)
         .groupBy("product_id")
-        .agg(F.sum(delta).alias("qty_delta"))
+        .agg(F.sum("qty_delta").alias("qty_delta"))
     )
 
 
@@ -108,14 +117,14 @@ def ledger_stock(
 ) -> DataFrame:
     """Stock per product: opening quantity plus moves, with cover and flags.
 
-    Opening quantities, deltas and sales are stacked and summed once per product
-    instead of being joined three times.  Products known from sales alone are not
+    Opening quantities, moves and sales are stacked and summed once per product:
+    one shuffle of partial sums, where separate sums would need three joins.  Products known from sales alone are not
     stocked.  A cutoff before the opening stock gives no rows.
     """
     lookback_days = max(1, lookback_days)
     cutoff = datetime.combine(as_of, time(K.LEDGER_CUTOFF_HOUR))
     first_sale_day = as_of - timedelta(days=lookback_days - 1)
-    deltas = ledger_deltas(moves, utc_of(baseline_local, zone), utc_of(cutoff, zone), pool)
+    deltas = _ledger_moves(moves, utc_of(baseline_local, zone), utc_of(cutoff, zone), pool)
     sold = sales.where(day_range(F.col("date"), first_sale_day, as_of))
 
     def part(df: DataFrame, on_hand: Column, units: Column, stocked: bool) -> DataFrame:

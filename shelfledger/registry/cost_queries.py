@@ -160,8 +160,7 @@ def _(t: Tables):
 
 @register("unified_cost_by_day", "SELECT * FROM product_day_costs", cost_unit_tax_in=4)
 def _(t: Tables):
-    days = t.taxed_lines.select("product_id", "date").distinct()
-    return costs.unified_cost_by_day(t.cost_events, t.legacy_costs, days)
+    return costs.unified_cost_by_day(t.cost_events, t.legacy_costs, t.taxed_lines)
 
 
 _AS_OF_COST = f"""
@@ -175,8 +174,7 @@ QUALIFY row_number() OVER (PARTITION BY d.product_id, d.date
 
 @register("cost_as_of_sale_day", _AS_OF_COST, cost_unit_tax_in=4)
 def _(t: Tables):
-    days = t.taxed_lines.select("product_id", "date").distinct()
-    return costs.cost_as_of(t.cost_events, days)
+    return costs.cost_as_of(t.cost_events, t.taxed_lines)
 
 
 @register(

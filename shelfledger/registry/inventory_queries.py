@@ -564,9 +564,7 @@ _POSITION_DIGITS = {
 
 def _position(t: Tables):
     recent = abc.abc_classes(t.agg_sales_by_product, t.dim_products, date(2000, 4, 1), AS_OF)
-    unit_costs = costs.inventory_cost(
-        costs.latest_cost_by_day(t.cost_events), t.beginning_costs, AS_OF
-    )
+    unit_costs = costs.inventory_cost(t.cost_events, t.beginning_costs, AS_OF)
     return actions.stock_position(_ledger(t), recent, unit_costs)
 
 
