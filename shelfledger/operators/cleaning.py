@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfledger import constants as K
 from shelfledger.functions.columns import conform, local_timestamp, parse_day, zero_if_null
+from shelfledger.functions.skew import splittable
 from shelfledger.schemas import (
     DAILY_TABLES,
     FACT_INVENTORY_MOVES,
@@ -71,8 +72,8 @@ def allocate_discounts(lines: DataFrame) -> DataFrame:
 
     Every other line's price shrinks by discount / gross of the document, and a
     discount line itself costs 0.  Only documents that have a discount reach the
-    join, and totals are summed before they are shuffled, so a document of any
-    size is handled (no window over a whole document).
+    join, and totals are summed before they are shuffled; there is no window over
+    a whole document, and the join can split a document of any size.
     """
     amount = F.col("price_unit") * F.col("quantity")
     is_discount = F.col("price_unit") < 0
@@ -91,7 +92,7 @@ def allocate_discounts(lines: DataFrame) -> DataFrame:
     names = lines.columns
     after = names.index("price_unit") + 1
     return (
-        lines.join(rates, "move_id", "left")
+        lines.join(splittable(rates), "move_id", "left")
         .withColumn("actual_price", price)
         .select(*names[:after], "actual_price", *names[after:])
     )

@@ -16,6 +16,7 @@ from shelfledger.functions.columns import (
     zero_if_null,
 )
 from shelfledger.functions.calendar import unit_of
+from shelfledger.functions.skew import splittable
 from shelfledger.operators.costs import cost_as_of, unified_cost_by_day
 from shelfledger.operators.sales import bucketed, change_pct, ranked_money, window_sums
 
@@ -73,7 +74,7 @@ def _priced(lines: DataFrame, zero_missing_cost: bool) -> DataFrame:
 
 def line_profit(sales: DataFrame, costs: DataFrame, zero_missing_cost: bool = False) -> DataFrame:
     """Profit per line from one cost per product (lines of one day, or one cost date)."""
-    costs = costs.select("product_id", "cost_unit_tax_in", "source_tax_id")
+    costs = splittable(costs.select("product_id", "cost_unit_tax_in", "source_tax_id"))
     return _priced(sales.join(costs, "product_id", "left"), zero_missing_cost)
 
 

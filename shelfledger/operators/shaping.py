@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfledger.functions.columns import as_json_ids, conform, first_filled, zero_if_null
+from shelfledger.functions.skew import splittable
 from shelfledger.schemas import RAW_INVENTORY_MOVES, Spec
 
 # Picking type code -> movement type.  Other codes have none.
@@ -57,7 +58,7 @@ def pos_lines(
     )
     return (
         lines.where(F.col("product_id").isNotNull())
-        .join(headers, "order_id")
+        .join(splittable(headers), "order_id")
         .join(attributes, "product_id", "left")
         .select(
             "order_date",
