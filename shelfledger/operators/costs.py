@@ -161,6 +161,7 @@ def unified_cost(
 ) -> DataFrame:
     """Best cost per product among purchase and legacy costs.
 
+    ``purchase_costs`` are daily snapshots or, equally, the cost events themselves.
     Candidates after ``as_of`` are left out before the best one is chosen, so a
     later purchase does not hide the cost that was known on that day.
     """
@@ -240,7 +241,10 @@ def cost_as_of(events: DataFrame, product_days: DataFrame) -> DataFrame:
 
 
 def inventory_cost(purchase_costs: DataFrame, beginning: DataFrame, as_of: date) -> DataFrame:
-    """Unit cost per product on ``as_of``: latest purchase cost, else opening cost."""
+    """Unit cost per product on ``as_of``: latest purchase cost, else opening cost.
+
+    ``purchase_costs`` are daily snapshots or the cost events themselves.
+    """
     bought = purchase_costs.where(
         (F.col("date") <= F.lit(as_of)) & (F.col("cost_unit_tax_in") > 0)
     ).select("product_id", F.lit(1).alias("rank"), "date", "source_move_id", "cost_unit_tax_in")

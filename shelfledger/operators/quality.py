@@ -182,6 +182,16 @@ def coverage(
     )
 
 
+def table_status(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, status, rows) of undated tables such as dimensions: ``Empty`` or ``OK``."""
+    counts = None
+    for name, df in tables.items():
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        counts = part if counts is None else counts.unionByName(part)
+    status = F.when(F.col("rows") == 0, F.lit("Empty")).otherwise(F.lit("OK"))
+    return counts.select("table", status.alias("status"), "rows")
+
+
 def date_ranges(days: DataFrame) -> DataFrame:
     """Consecutive days merged to (start_date, end_date, days).  Input: distinct ``date``."""
     island = F.date_sub(F.col("date"), F.row_number().over(Window.orderBy("date")))

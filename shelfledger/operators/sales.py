@@ -16,6 +16,7 @@ from shelfledger.functions.calendar import (
     unit_of,
 )
 from shelfledger.functions.columns import day_range, not_cancelled, product_label, ratio, zero_if_null
+from shelfledger.session import cut_lineage
 
 MONEY_DIGITS = 4
 
@@ -351,10 +352,12 @@ def category_flow(
 ) -> DataFrame:
     """Edges parent -> category -> brand for the largest categories and their brands.
 
-    The two short winner lists hold at most ``top_categories`` and ``top_brands``
-    rows, which bounds what is broadcast.
+    The brand totals are used several times, so they are stored once instead of
+    being summed from the sales again in every branch.  The two short winner
+    lists hold at most ``top_categories`` and ``top_brands`` rows, which bounds
+    what is broadcast.
     """
-    brands = overview.where(F.col("type") == "brand")
+    brands = cut_lineage(overview.where(F.col("type") == "brand"))
     categories = (
         brands.groupBy("parent_category", "category")
         .agg(F.sum("revenue").alias("total"))

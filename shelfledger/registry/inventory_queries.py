@@ -531,9 +531,7 @@ ON c.product_id = l.product_id
     est_stock_value=3,
 )
 def _(t: Tables):
-    unit_costs = costs.inventory_cost(
-        costs.latest_cost_by_day(t.cost_events), t.beginning_costs, EARLY_AS_OF
-    )
+    unit_costs = costs.inventory_cost(t.cost_events, t.beginning_costs, EARLY_AS_OF)
     return actions.cost_valuation(_ledger(t), unit_costs)
 
 

@@ -36,9 +36,7 @@ ON c.product_id = s.product_id
     **_MONEY,
 )
 def _(t: Tables):
-    unified = costs.unified_cost(
-        costs.latest_cost_by_day(t.cost_events), t.legacy_costs, AS_OF
-    )
+    unified = costs.unified_cost(t.cost_events, t.legacy_costs, AS_OF)
     return profit.line_profit(t.taxed_lines, unified)
 
 

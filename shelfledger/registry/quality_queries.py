@@ -110,6 +110,26 @@ def _(t: Tables):
     )
 
 
+@register(
+    "dimension_status",
+    """
+SELECT 'dim_products' AS "table", 'OK' AS status, count(*) AS rows FROM dim_products
+UNION ALL
+SELECT 'dim_partners', 'OK', count(*) FROM customer
+UNION ALL
+SELECT 'dim_lots', 'Empty', count(*) FROM part WHERE p_size < 0
+""",
+)
+def _(t: Tables):
+    return quality.table_status(
+        {
+            "dim_products": t.dim_products,
+            "dim_partners": t.given("customer"),
+            "dim_lots": t.given("part").where(F.col("p_size") < 0),
+        }
+    )
+
+
 @register(
     "missing_date_ranges",
     f"""
