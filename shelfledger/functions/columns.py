@@ -37,7 +37,7 @@ def ratio(top: Column, bottom: Column, scale: float = 1.0) -> Column:
 
 
 def zero_if_null(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0.0))
+    return F.nvl(value, F.lit(0.0))
 
 
 def blank_as_null(text: Column) -> Column:
@@ -51,7 +51,7 @@ def first_filled(*texts: Column) -> Column:
 
 
 def product_label(name: Column, product_id: Column) -> Column:
-    return F.coalesce(name, F.concat(F.lit("Product "), product_id.cast("string")))
+    return F.nvl(name, F.concat(F.lit("Product "), product_id.cast("string")))
 
 
 def parse_day(text: Column) -> Column:
@@ -99,14 +99,14 @@ def conform(df: DataFrame, spec: Spec) -> list[Column]:
     for name, kind, default in spec:
         value = F.col(name).try_cast(kind) if name in present else F.lit(None).cast(kind)
         if default is not None:
-            value = F.coalesce(value, F.lit(default).cast(kind))
+            value = F.nvl(value, F.lit(default).cast(kind))
         columns.append(value.alias(name))
     return columns
 
 
 def contains_text(column: Column, needle: str) -> Column:
     """Case-insensitive literal containment; NULL text does not match."""
-    return F.coalesce(F.lower(column).contains(needle.lower()), F.lit(False))
+    return F.nvl(F.lower(column).contains(needle.lower()), F.lit(False))
 
 
 def any_of(column: Column, values: Iterable) -> Column:

@@ -35,8 +35,8 @@ def global_rank(
         .agg(F.count(F.lit(1)).alias("_rows"), F.sum(measure).alias("_sum"))
         .select(
             "_range",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-            F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_sum_before"),
+            F.nvl(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+            F.nvl(F.sum("_sum").over(before), F.lit(0.0)).alias("_sum_before"),
             F.sum("_rows").over(everything).alias(count),
             F.sum("_sum").over(everything).alias(total),
         )

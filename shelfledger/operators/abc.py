@@ -52,8 +52,8 @@ def abc_classes(
     return ranked.join(names, "product_id", "left").select(
         "product_id",
         product_label(F.col("product_name"), F.col("product_id")).alias("product_name"),
-        F.coalesce("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("product_category"),
-        F.coalesce("product_brand", F.lit(K.UNKNOWN_BRAND)).alias("product_brand"),
+        F.nvl("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("product_category"),
+        F.nvl("product_brand", F.lit(K.UNKNOWN_BRAND)).alias("product_brand"),
         "units_sold",
         "revenue",
         ratio(F.col("revenue"), total).alias("revenue_share"),

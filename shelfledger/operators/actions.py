@@ -30,7 +30,7 @@ def stock_position(
         .join(priced, "product_id", "left")
         .withColumns(
             {
-                "abc_class": F.coalesce("abc_class", F.lit("C")),
+                "abc_class": F.nvl("abc_class", F.lit("C")),
                 "revenue": zero_if_null(F.col("revenue")),
                 "cost_unit_tax_in": zero_if_null(F.col("cost_unit_tax_in")),
                 "reorder_qty": F.ceil(F.greatest(wanted, F.lit(0.0))),
@@ -55,7 +55,7 @@ def _has_stock() -> Column:
 
 def needs_reorder(alert_days: int = K.REORDER_ALERT_DAYS) -> Column:
     """Class A or B that runs out soon, or has run out while it is in demand."""
-    low_cover = F.coalesce(F.col("days_of_cover") < alert_days, F.lit(False))
+    low_cover = F.nvl(F.col("days_of_cover") < alert_days, F.lit(False))
     sold_out = ~_has_stock() & (F.col("avg_daily_sold") > 0)
     return F.col("abc_class").isin("A", "B") & (low_cover | sold_out)
 
@@ -99,7 +99,7 @@ def top_performers(position: DataFrame) -> DataFrame:
 def action_summary(position: DataFrame, overstock_days: int = K.OVERSTOCK_DAYS) -> DataFrame:
     """Counts and money behind the action lists, in one pass."""
     reorder, markdown = needs_reorder(), needs_markdown()
-    overstock = F.coalesce(F.col("days_of_cover") > overstock_days, F.lit(False))
+    overstock = F.nvl(F.col("days_of_cover") > overstock_days, F.lit(False))
     value = F.col("est_stock_value")
 
     def total(condition: Column, amount: Column) -> Column:
@@ -171,7 +171,7 @@ def filter_options(products: DataFrame, purchases: DataFrame) -> DataFrame:
         .select(
             F.lit("distributor").alias("kind"),
             vendor.alias("value"),
-            F.coalesce(F.nullif(F.trim("vendor_name"), F.lit("")), vendor).alias("label"),
+            F.nvl(F.nullif(F.trim("vendor_name"), F.lit("")), vendor).alias("label"),
         )
         .distinct()
     )

@@ -39,13 +39,13 @@ def _clean_document_lines(raw: DataFrame, *roles: str) -> DataFrame:
     return raw.select(*conform(raw, RAW_INVOICE_LINES)).select(
         parse_day(F.col("move_date")).alias("date"),
         "move_id",
-        F.coalesce("move_name", F.lit("")).alias("move_name"),
+        F.nvl("move_name", F.lit("")).alias("move_name"),
         *[
             column
             for role in roles
             for column in (
                 F.col(f"{role}_id"),
-                F.coalesce(f"{role}_name", F.lit("")).alias(f"{role}_name"),
+                F.nvl(f"{role}_name", F.lit("")).alias(f"{role}_name"),
             )
         ],
         "move_line_id",
@@ -151,7 +151,7 @@ def clean_moves(
         "source_partner_name",
         "destination_partner_name",
     )
-    return joined.withColumns({name: F.coalesce(name, F.lit("")) for name in names}).select(
+    return joined.withColumns({name: F.nvl(name, F.lit("")) for name in names}).select(
         *[name for name, _, _ in FACT_INVENTORY_MOVES]
     )
 

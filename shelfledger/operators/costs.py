@@ -30,7 +30,7 @@ def cost_events(purchases: DataFrame) -> DataFrame:
         "product_id",
         (F.col("actual_price") * tax_multiplier(F.col("tax_id"))).alias("cost_unit_tax_in"),
         F.col("move_id").alias("source_move_id"),
-        F.coalesce("tax_id", F.lit(0)).alias("source_tax_id"),
+        F.nvl("tax_id", F.lit(0)).alias("source_tax_id"),
     )
 
 
@@ -97,7 +97,7 @@ def cost_history(events: DataFrame, start: date, end: date) -> DataFrame:
         .agg(_newest("date").alias("newest"))
     )
     following = F.lead("valid_from").over(Window.partitionBy("product_id").orderBy("valid_from"))
-    ranges = by_day.withColumn("valid_to", F.coalesce(F.date_sub(following, 1), F.lit(end)))
+    ranges = by_day.withColumn("valid_to", F.nvl(F.date_sub(following, 1), F.lit(end)))
     days = F.explode(F.sequence("valid_from", "valid_to", F.expr("interval 1 day")))
     return _unpack(ranges.withColumn("date", days), F.col("date"))
 
@@ -134,7 +134,7 @@ def _candidates(purchase_costs: DataFrame, legacy: DataFrame) -> DataFrame:
     )
     inherited = legacy.where(F.col("is_active") & (F.col("cost_unit_tax_in") > 0)).select(
         "product_id",
-        F.coalesce("priority", F.lit(3)).cast("int").alias("priority"),
+        F.nvl("priority", F.lit(3)).cast("int").alias("priority"),
         "effective_date",
         F.lit(0).cast("bigint").alias("source_move_id"),
         "cost_unit_tax_in",

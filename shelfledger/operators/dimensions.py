@@ -40,7 +40,7 @@ def dim_products(products: DataFrame) -> DataFrame:
         DIM_PRODUCTS,
         product_parent_category=parent,
         product_category=leaf,
-        product_brand=F.coalesce(first_filled(F.col("brand_name")), F.lit(K.UNKNOWN)),
+        product_brand=F.nvl(first_filled(F.col("brand_name")), F.lit(K.UNKNOWN)),
     )
 
 

@@ -28,18 +28,18 @@ def taxed_sales(pos: DataFrame, invoices: DataFrame) -> DataFrame:
     shop = pos.where(not_cancelled(F.col("order_ref"))).select(
         F.lit("pos").alias("channel"),
         F.col("date").cast("date").alias("date"),
-        F.coalesce("order_id", F.lit(0)).alias("txn_id"),
-        F.coalesce("line_id", F.lit(0)).alias("line_id"),
-        F.coalesce("product_id", F.lit(0)).alias("product_id"),
+        F.nvl("order_id", F.lit(0)).alias("txn_id"),
+        F.nvl("line_id", F.lit(0)).alias("line_id"),
+        F.nvl("product_id", F.lit(0)).alias("product_id"),
         zero_if_null(F.col("quantity")).alias("quantity"),
         zero_if_null(F.col("revenue")).alias("revenue_tax_in"),
     )
     billed = invoices.where(not_cancelled(F.col("move_name"))).select(
         F.lit("invoice").alias("channel"),
         F.col("date").cast("date").alias("date"),
-        F.coalesce("move_id", F.lit(0)).alias("txn_id"),
-        F.coalesce("move_line_id", F.lit(0)).alias("line_id"),
-        F.coalesce("product_id", F.lit(0)).alias("product_id"),
+        F.nvl("move_id", F.lit(0)).alias("txn_id"),
+        F.nvl("move_line_id", F.lit(0)).alias("line_id"),
+        F.nvl("product_id", F.lit(0)).alias("product_id"),
         zero_if_null(F.col("quantity")).alias("quantity"),
         (
             zero_if_null(F.col("price_unit"))
@@ -67,7 +67,7 @@ def _priced(lines: DataFrame, zero_missing_cost: bool) -> DataFrame:
         cogs.alias("cogs_tax_in"),
         (F.col("revenue_tax_in") - cogs).alias("gross_profit"),
         F.lit(None).cast("bigint").alias("source_cost_move_id"),
-        F.coalesce("source_tax_id", F.lit(0)).alias("source_cost_tax_id"),
+        F.nvl("source_tax_id", F.lit(0)).alias("source_cost_tax_id"),
         known.isNull().alias("cost_missing"),
     )
 
@@ -144,8 +144,8 @@ def profit_summary(daily: DataFrame, start: date, end: date) -> DataFrame:
         zero_if_null(F.sum("cogs_tax_in")).alias("cogs"),
         zero_if_null(F.sum("gross_profit")).alias("gross_profit"),
         zero_if_null(F.sum("quantity")).alias("quantity"),
-        F.coalesce(F.sum("transactions"), F.lit(0)).alias("transactions"),
-        F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"),
+        F.nvl(F.sum("transactions"), F.lit(0)).alias("transactions"),
+        F.nvl(F.sum("lines"), F.lit(0)).alias("lines"),
     )
     return sums.select(
         "*",
@@ -182,8 +182,8 @@ def profit_trend(daily: DataFrame, start: date, end: date, period: str = "daily"
             zero_if_null(F.col(name)).alias(name)
             for name in ("revenue", "cogs", "gross_profit", "items_sold")
         ],
-        F.coalesce("transactions", F.lit(0)).alias("transactions"),
-        F.coalesce("lines", F.lit(0)).alias("lines"),
+        F.nvl("transactions", F.lit(0)).alias("transactions"),
+        F.nvl("lines", F.lit(0)).alias("lines"),
         ratio(F.col("revenue"), F.col("transactions")).alias("avg_transaction_value"),
         zero_if_null(_margin(F.col("gross_profit"), F.col("revenue"))).alias("gross_margin_pct"),
     ).orderBy("date")
@@ -212,7 +212,7 @@ def profit_by_product(
         .select(
             "product_id",
             product_label(F.col("product_name"), F.col("product_id")).alias("product_name"),
-            F.coalesce("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("category"),
+            F.nvl("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("category"),
             "total_revenue",
             "total_cogs",
             "total_profit",
@@ -258,8 +258,8 @@ def profit_revenue_by_category(
     return (
         totals.join(labels, "product_id", "left")
         .groupBy(
-            F.coalesce("product_parent_category", F.lit(K.UNKNOWN)).alias("parent_category"),
-            F.coalesce("product_category", F.lit(K.UNKNOWN)).alias("category"),
+            F.nvl("product_parent_category", F.lit(K.UNKNOWN)).alias("parent_category"),
+            F.nvl("product_category", F.lit(K.UNKNOWN)).alias("category"),
         )
         .agg(F.sum("revenue").alias("revenue"))
         .orderBy(ranked_money("revenue").desc(), "parent_category", "category")

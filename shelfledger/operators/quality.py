@@ -77,7 +77,7 @@ TOLERANCE = 0.01
 
 
 def _differs(left: Column, right: Column) -> Column:
-    return F.coalesce(F.abs(left - right) > TOLERANCE, F.lit(False))
+    return F.nvl(F.abs(left - right) > TOLERANCE, F.lit(False))
 
 
 def profit_line_checks(lines: DataFrame) -> DataFrame:
@@ -127,8 +127,8 @@ def daily_total_checks(lines: DataFrame, daily: DataFrame) -> DataFrame:
     )
     wrong = F.col("lines") != 0
     for name in names:
-        wrong = wrong | (F.abs(F.coalesce(F.col(name), F.lit(0.0))) > TOLERANCE)
-    return gaps.select("date", F.coalesce(wrong, F.lit(True)).alias("mismatch"))
+        wrong = wrong | (F.abs(F.nvl(F.col(name), F.lit(0.0))) > TOLERANCE)
+    return gaps.select("date", F.nvl(wrong, F.lit(True)).alias("mismatch"))
 
 
 # --- coverage --------------------------------------------------------------------------------
@@ -176,7 +176,7 @@ def coverage(
             .when(F.col("rows") == 0, F.lit("Empty"))
             .otherwise(F.lit("OK"))
             .alias("status"),
-            F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.nvl("rows", F.lit(0)).alias("rows"),
         )
         .orderBy("date", "table")
     )

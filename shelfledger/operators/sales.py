@@ -39,9 +39,9 @@ def combined_sales(pos: DataFrame, invoices: DataFrame) -> DataFrame:
         F.lit("pos").alias("channel"),
         F.col("date").alias("sold_at"),
         F.col("date").cast("date").alias("date"),
-        F.coalesce("order_id", F.lit(0)).alias("txn_id"),
-        F.coalesce("line_id", F.lit(0)).alias("line_id"),
-        F.coalesce("product_id", F.lit(0)).alias("product_id"),
+        F.nvl("order_id", F.lit(0)).alias("txn_id"),
+        F.nvl("line_id", F.lit(0)).alias("line_id"),
+        F.nvl("product_id", F.lit(0)).alias("product_id"),
         zero_if_null(F.col("revenue")).alias("revenue"),
         zero_if_null(F.col("quantity")).alias("quantity"),
         F.col("order_ref"),
@@ -50,9 +50,9 @@ def combined_sales(pos: DataFrame, invoices: DataFrame) -> DataFrame:
         F.lit("invoice").alias("channel"),
         F.col("date").cast("timestamp_ntz").alias("sold_at"),
         F.col("date").cast("date").alias("date"),
-        F.coalesce("move_id", F.lit(0)).alias("txn_id"),
-        F.coalesce("move_line_id", F.lit(0)).alias("line_id"),
-        F.coalesce("product_id", F.lit(0)).alias("product_id"),
+        F.nvl("move_id", F.lit(0)).alias("txn_id"),
+        F.nvl("move_line_id", F.lit(0)).alias("line_id"),
+        F.nvl("product_id", F.lit(0)).alias("product_id"),
         (zero_if_null(F.col("price_unit")) * zero_if_null(F.col("quantity"))).alias("revenue"),
         zero_if_null(F.col("quantity")).alias("quantity"),
         F.col("move_name").alias("order_ref"),
@@ -159,7 +159,7 @@ def sales_trend(daily: DataFrame, start: date, end: date, period: str = "daily")
     return buckets.select(
         "date",
         zero_if_null(F.col("revenue")).alias("revenue"),
-        F.coalesce("transactions", F.lit(0)).alias("transactions"),
+        F.nvl("transactions", F.lit(0)).alias("transactions"),
         zero_if_null(F.col("items_sold")).alias("items_sold"),
         ratio(F.col("revenue"), F.col("transactions")).alias("avg_transaction_value"),
     ).orderBy("date")
@@ -195,7 +195,7 @@ def hourly_pattern(lines: DataFrame, day: date, until: date | None = None) -> Da
         .select(
             "hour",
             zero_if_null(F.col("revenue")).alias("revenue"),
-            F.coalesce("transactions", F.lit(0)).alias("transactions"),
+            F.nvl("transactions", F.lit(0)).alias("transactions"),
         )
         .orderBy("hour")
     )
@@ -243,7 +243,7 @@ def top_products(
         .select(
             "product_id",
             product_label(F.col("product_name"), F.col("product_id")).alias("product_name"),
-            F.coalesce("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("category"),
+            F.nvl("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("category"),
             F.col("units_sold").alias("quantity_sold"),
             F.col("revenue").alias("total_unit_price"),
         )
@@ -258,7 +258,7 @@ def window_sums(daily: DataFrame, start: date, end: date, measures: dict[str, st
     inside = {"cur": day_range(day, start, end), "prev": day_range(day, *before)}
     return daily.where(day_range(day, before[0], end)).agg(
         *[
-            F.coalesce(F.sum(F.when(condition, F.col(source))), F.lit(0)).alias(f"{side}_{name}")
+            F.nvl(F.sum(F.when(condition, F.col(source))), F.lit(0)).alias(f"{side}_{name}")
             for side, condition in inside.items()
             for name, source in measures.items()
         ]
@@ -307,9 +307,9 @@ def _categorised(totals: DataFrame, products: DataFrame) -> DataFrame:
     )
     return totals.join(labels, "product_id", "left").withColumns(
         {
-            "parent_category": F.coalesce("product_parent_category", F.lit(K.UNKNOWN)),
-            "category": F.coalesce("product_category", F.lit(K.UNKNOWN)),
-            "brand": F.coalesce("product_brand", F.lit(K.UNKNOWN)),
+            "parent_category": F.nvl("product_parent_category", F.lit(K.UNKNOWN)),
+            "category": F.nvl("product_category", F.lit(K.UNKNOWN)),
+            "brand": F.nvl("product_brand", F.lit(K.UNKNOWN)),
         }
     )
 
@@ -430,6 +430,6 @@ def product_join_totals(pos: DataFrame, products: DataFrame, start: date) -> Dat
         .agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"))
     )
     return sold.join(products.select("product_id"), "product_id").agg(
-        F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"),
+        F.nvl(F.sum("lines"), F.lit(0)).alias("lines"),
         zero_if_null(F.sum("revenue")).alias("revenue"),
     )

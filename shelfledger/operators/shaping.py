@@ -46,7 +46,7 @@ def pos_lines(
     payments has ``[]``; an unknown product has brand ``Unknown``.
     """
     headers = orders.join(payment_methods(payments), "order_id", "left").withColumn(
-        "payment_method_ids", F.coalesce("payment_method_ids", F.lit("[]"))
+        "payment_method_ids", F.nvl("payment_method_ids", F.lit("[]"))
     )
     attributes = products.select(
         "product_id",
@@ -74,7 +74,7 @@ def pos_lines(
             zero_if_null(F.col("qty")).alias("qty"),
             zero_if_null(F.col("price_subtotal_incl")).alias("price_subtotal_incl"),
             zero_if_null(F.col("discount_amount")).alias("discount_amount"),
-            F.coalesce("product_brand", F.lit("Unknown")).alias("product_brand"),
+            F.nvl("product_brand", F.lit("Unknown")).alias("product_brand"),
             "product_brand_id",
             "product_name",
             "product_category",
@@ -88,7 +88,7 @@ def pos_lines(
 
 def primary_tax(tax_ids: Column) -> tuple[Column, Column]:
     """(lowest tax id or NULL, all distinct ids sorted as JSON)."""
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(tax_ids, F.array().cast("array<bigint>")))))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.nvl(tax_ids, F.array().cast("array<bigint>")))))
     return F.get(ids, F.lit(0)), as_json_ids(ids)
 
 
@@ -130,7 +130,7 @@ def invoice_lines(
 
 
 def _inside(usage: Column) -> Column:
-    return F.coalesce(usage == "internal", F.lit(False))
+    return F.nvl(usage == "internal", F.lit(False))
 
 
 def signed_quantity(qty: Column, src_usage: Column, dest_usage: Column) -> Column:
@@ -142,7 +142,7 @@ def signed_quantity(qty: Column, src_usage: Column, dest_usage: Column) -> Colum
 def _is_adjustment(
     src_usage: Column, dest_usage: Column, raw_mo: Column, prod_mo: Column
 ) -> Column:
-    touches_inventory = F.coalesce(src_usage == "inventory", F.lit(False)) | F.coalesce(
+    touches_inventory = F.nvl(src_usage == "inventory", F.lit(False)) | F.nvl(
         dest_usage == "inventory", F.lit(False)
     )
     return touches_inventory & raw_mo.isNull() & prod_mo.isNull()
@@ -161,7 +161,7 @@ def movement_type(
     for code, name in PICKING_MOVEMENTS.items():
         by_picking = F.when(picking_code == code, F.lit(name)).otherwise(by_picking)
     return (
-        F.when(F.coalesce(dest_scrap, F.lit(False)), F.lit(None).cast("string"))
+        F.when(F.nvl(dest_scrap, F.lit(False)), F.lit(None).cast("string"))
         .when(raw_mo.isNotNull(), F.lit("production_out"))
         .when(prod_mo.isNotNull(), F.lit("production_in"))
         .when(_is_adjustment(src_usage, dest_usage, raw_mo, prod_mo), F.lit("adjustment"))
@@ -211,9 +211,9 @@ def move_lines(
     joined = (
         lines.where((F.col("qty_done") != 0) & F.col("move_line_id").isNotNull())
         .join(move, "move_id")
-        .withColumn("picking_id", F.coalesce("picking_id", "m_picking_id"))
+        .withColumn("picking_id", F.nvl("picking_id", "m_picking_id"))
         .join(picking, "picking_id", "left")
-        .withColumn("type_id", F.coalesce("p_picking_type_id", "m_picking_type_id"))
+        .withColumn("type_id", F.nvl("p_picking_type_id", "m_picking_type_id"))
         .join(types, "type_id", "left")
         .join(place("src").drop("src_scrap"), "location_src_id", "left")
         .join(place("dest"), "location_dest_id", "left")
@@ -241,7 +241,7 @@ def move_lines(
         _is_adjustment(src, dest, F.col("raw_mo"), F.col("prod_mo")).alias(
             "inventory_adjustment_flag"
         ),
-        F.coalesce("raw_mo", "prod_mo").alias("manufacturing_order_id"),
+        F.nvl("raw_mo", "prod_mo").alias("manufacturing_order_id"),
         "picking_id",
         "picking_type_code",
         first_filled(F.col("p_name"), F.col("m_reference"), F.col("m_name"), origin).alias(
@@ -250,7 +250,7 @@ def move_lines(
         origin.alias("origin_reference"),
         F.when(inbound, F.col("p_partner_id")).alias("source_partner_id"),
         F.when(outbound, F.col("p_partner_id")).alias("destination_partner_id"),
-        F.coalesce("create_uid", "m_create_uid").alias("created_by_user"),
+        F.nvl("create_uid", "m_create_uid").alias("created_by_user"),
         first_filled(F.col("create_date"), F.col("m_create_date")).alias("create_date"),
     )
     return normalise(shaped, RAW_INVENTORY_MOVES)

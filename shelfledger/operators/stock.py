@@ -33,10 +33,10 @@ def describe_products(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(products.select(*ITEM_COLUMNS), "product_id", "left").select(
         "product_id",
         product_label(F.col("product_name"), F.col("product_id")).alias("product_name"),
-        F.coalesce("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("product_category"),
-        F.coalesce("product_brand", F.lit(K.UNKNOWN_BRAND)).alias("product_brand"),
-        F.coalesce("product_barcode", F.lit("")).alias("product_barcode"),
-        F.coalesce("product_sku", F.lit("")).alias("product_sku"),
+        F.nvl("product_category", F.lit(K.UNKNOWN_CATEGORY)).alias("product_category"),
+        F.nvl("product_brand", F.lit(K.UNKNOWN_BRAND)).alias("product_brand"),
+        F.nvl("product_barcode", F.lit("")).alias("product_barcode"),
+        F.nvl("product_sku", F.lit("")).alias("product_sku"),
         *rest,
     )
 
@@ -68,8 +68,8 @@ def utc_of(local: datetime, zone: str = K.LOCAL_ZONE) -> datetime:
 def pool_delta(qty: Column, src: Column, dest: Column, pool: Iterable[int]) -> Column:
     """Into the pool +, out of it -, within it 0; an unknown location is outside."""
     pool = sorted(pool)
-    from_pool = F.coalesce(any_of(src, pool), F.lit(False))
-    to_pool = F.coalesce(any_of(dest, pool), F.lit(False))
+    from_pool = F.nvl(any_of(src, pool), F.lit(False))
+    to_pool = F.nvl(any_of(dest, pool), F.lit(False))
     return (
         F.when(to_pool & ~from_pool, F.abs(qty))
         .when(from_pool & ~to_pool, -F.abs(qty))
@@ -163,7 +163,7 @@ def ledger_stock(
             "units_sold",
             "avg_daily_sold",
             "days_of_cover",
-            F.coalesce(F.col("days_of_cover") < low_stock_days, F.lit(False)).alias(
+            F.nvl(F.col("days_of_cover") < low_stock_days, F.lit(False)).alias(
                 "low_stock_flag"
             ),
             ((F.col("on_hand_qty") > 0) & (F.col("units_sold") <= 0)).alias("dead_stock_flag"),
@@ -212,7 +212,7 @@ def cover_histogram(items: DataFrame, bins: int = 20) -> DataFrame:
             "bin",
             (low + F.col("bin") * width).alias("cover_from"),
             (low + (F.col("bin") + 1) * width).alias("cover_to"),
-            F.coalesce("sku_count", F.lit(0)).alias("sku_count"),
+            F.nvl("sku_count", F.lit(0)).alias("sku_count"),
         )
         .orderBy("bin")
     )

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from shelfledger import constants as K
 from shelfledger.functions.columns import day_range
 from shelfledger.operators import cleaning, costs, profit, refresh, sales
+from shelfledger.operators.shaping import normalise
 from shelfledger.schemas import (
+    PROFIT_LINES,
     RAW_INVENTORY_MOVES,
     RAW_INVOICE_LINES,
     RAW_POS_LINES,
@@ -34,14 +36,12 @@ RAW_DATASETS = {
 
 def save_raw(lake: Lake, dataset: str, records: DataFrame, start: date, end: date) -> None:
     """Store extracted records of a range of days, normalised, by their own day."""
-    from shelfledger.operators.shaping import normalise
-
     spec, column = RAW_DATASETS[dataset]
     rows = normalise(records, spec).withColumn(
         "_day", F.substring(column, 1, 10).try_cast("date")
     )
     # A record whose day cannot be read is kept with the first day of the range.
-    rows = rows.withColumn("_day", F.coalesce("_day", F.lit(start)))
+    rows = rows.withColumn("_day", F.nvl("_day", F.lit(start)))
     replace_days(rows, lake.raw(dataset), start, end, "_day")
 
 
@@ -147,8 +147,6 @@ def update_profit_aggregates(lake: Lake, start: date, end: date) -> None:
 
 
 def _stored_profit_lines(lake: Lake, start: date, end: date) -> DataFrame:
-    from shelfledger.schemas import PROFIT_LINES
-
     as_written = [(name, kind, None) for name, kind, _ in PROFIT_LINES]
     extra = [("channel", "string", None), ("cost_missing", "boolean", None)]
     return read_days(

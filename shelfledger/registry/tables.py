@@ -159,7 +159,7 @@ class Tables:
             (F.col("l_partkey") % 10).alias("location_dest_id"),
             F.col("l_quantity").alias("qty_moved"),
             kind.alias("movement_type"),
-            F.coalesce(kind == "adjustment", F.lit(False)).alias("inventory_adjustment_flag"),
+            F.nvl(kind == "adjustment", F.lit(False)).alias("inventory_adjustment_flag"),
         )
 
     @cached_property

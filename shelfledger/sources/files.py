@@ -33,10 +33,10 @@ def beginning_costs(raw: DataFrame, effective: date = K.OPENING_COST_DATE) -> Da
     """Check and shape opening costs; one pass counts all rule violations."""
     notes = F.col("notes") if "notes" in raw.columns else F.lit("")
     costs = raw.select(
-        F.coalesce(F.col("product_id").try_cast("bigint"), F.lit(0)).alias("product_id"),
-        F.coalesce(F.col("cost_unit").try_cast("double"), F.lit(0.0)).alias("cost_unit"),
-        F.coalesce(F.col("purchase_tax_id").try_cast("bigint"), F.lit(0)).alias("source_tax_id"),
-        F.coalesce(notes, F.lit("")).alias("notes"),
+        F.nvl(F.col("product_id").try_cast("bigint"), F.lit(0)).alias("product_id"),
+        F.nvl(F.col("cost_unit").try_cast("double"), F.lit(0.0)).alias("cost_unit"),
+        F.nvl(F.col("purchase_tax_id").try_cast("bigint"), F.lit(0)).alias("source_tax_id"),
+        F.nvl(notes, F.lit("")).alias("notes"),
     )
     found = costs.agg(
         F.count_if(F.col("product_id") <= 0).alias("bad_ids"),
@@ -76,7 +76,7 @@ def ledger_baseline(cells: DataFrame) -> DataFrame:
         .where(F.col("c.c0").isNull() | (F.col("c.c0") != RECONCILE_HEADER))
         .select(
             F.col("c.c1").try_cast("double").try_cast("bigint").alias("product_id"),
-            F.coalesce(F.col("c.c3").try_cast("double"), F.lit(0.0)).alias("qty"),
+            F.nvl(F.col("c.c3").try_cast("double"), F.lit(0.0)).alias("qty"),
         )
         .where(F.col("product_id").isNotNull())
         .groupBy("product_id")

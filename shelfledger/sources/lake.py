@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfledger.functions.columns import conform, day_range
+from shelfledger.operators.costs import unified_cost
+from shelfledger.operators.sales import combined_sales
 from shelfledger.schemas import (
     COST_TABLES,
     DAILY_TABLES,
@@ -50,15 +52,19 @@ def partition_day() -> Column:
 
 
 def typed(df: DataFrame, spec: Spec) -> DataFrame:
-    """Typed view of a stored table.
+    """Typed view of a stored table: values cast without failing, NULL becomes the default.
 
-    Values cast without failing, NULL becomes the default, and a missing ``date``
-    is taken from the partition folders.
+    A day column of a day-partitioned table is the day of its folder, so any
+    filter on it prunes folders.  A ``date`` with a time of day is stored in the
+    file and falls back to the folder.
     """
-    if "date" in (name for name, _, _ in spec) and set(DAY_COLUMNS) <= set(df.columns):
-        kind = next(kind for name, kind, _ in spec if name == "date")
-        stored = F.col("date").try_cast(kind) if "date" in df.columns else F.lit(None).cast(kind)
-        df = df.withColumn("date", F.coalesce(stored, partition_day().cast(kind)))
+    if set(DAY_COLUMNS) <= set(df.columns):
+        for name, kind, _ in spec:
+            if name in ("date", "snapshot_date") and kind == "date":
+                df = df.withColumn(name, partition_day())
+            elif name == "date":
+                stored = F.col(name).try_cast(kind) if name in df.columns else F.lit(None)
+                df = df.withColumn(name, F.nvl(stored.cast(kind), partition_day().cast(kind)))
     return df.select(*conform(df, spec))
 
 
@@ -113,26 +119,20 @@ def write_days(df: DataFrame, path: str, day_column: str = "date") -> None:
     )
 
 
-def stored_days(spark: SparkSession, path: str, start: date, end: date) -> set[date]:
-    """Days in [start, end] that have a file, with or without rows."""
-    files = day_files(spark, path)
-    days = files.where(F.col("date").between(F.lit(start), F.lit(end))).distinct()
-    return {row["date"] for row in days.collect()}  # at most one row per calendar day
-
-
 def day_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row (``date``) per Parquet file below a day-partitioned table."""
+    """One row (``date``, ``path``) per Parquet file below a day-partitioned table."""
+    nothing = spark.createDataFrame([], "date date, path string")
     try:
         files = (
             spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
         )
     except AnalysisException as error:
         if error.getCondition() in _NO_DATA:
-            return spark.createDataFrame([], "date date")
+            return nothing
         raise
     if not set(DAY_COLUMNS) <= set(files.columns):
-        return spark.createDataFrame([], "date date")
-    return files.select(partition_day().alias("date"))
+        return nothing
+    return files.select(partition_day().alias("date"), "path")
 
 
 def replace_days(
@@ -140,23 +140,27 @@ def replace_days(
 ) -> None:
     """Replace all days of [start, end]; a day without rows is left with an empty file.
 
-    Running it again gives the same lake, so a day whose rows have all gone does
-    not keep its old ones.
+    Running it again gives the same lake: a day whose rows have all gone does not
+    keep its old ones.  One file name per old day tells afterwards which days the
+    write did not reach, so ``df`` is computed only once.
     """
     spark = df.sparkSession
+    in_range = F.col("date").between(F.lit(start), F.lit(end))
+    old = (
+        day_files(spark, path).where(in_range).groupBy("date").agg(F.min("path").alias("path"))
+    ).collect()  # at most one row per calendar day
     day = F.col(day_column).cast("date")
-    inside = df.where(day.between(F.lit(start), F.lit(end)))
-    existing = stored_days(spark, path, start, end)
-    write_days(inside, path, day_column)
-    if not existing and start != end:
-        return
-    filled = {row["d"] for row in inside.select(day.alias("d")).distinct().collect()}
-    emptied = existing - filled
-    if start == end and start not in filled:
-        emptied.add(start)
-    nothing = df.limit(0)
-    for gone in sorted(emptied):
-        nothing.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(
+    write_days(df.where(day.between(F.lit(start), F.lit(end))), path, day_column)
+
+    files = day_files(spark, path)
+    empty_days = set()
+    if old:
+        kept = files.where(F.col("path").isin([row["path"] for row in old]))
+        empty_days = {row["date"] for row in kept.select("date").collect()}
+    if start == end and files.where(in_range).isEmpty():
+        empty_days.add(start)
+    for gone in sorted(empty_days):
+        df.limit(0).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(
             day_path(path, gone)
         )
 
@@ -182,7 +186,12 @@ class Lake:
         return f"{self.root}/star-schema/{table}"
 
     def table(self, name: str, start: date | None = None, end: date | None = None) -> DataFrame:
-        """Typed view of a star-schema table."""
+        """Typed view of a star-schema table.
+
+        Tables whose day column is a date prune their folders for any date filter.
+        ``fact_sales`` and ``fact_inventory_moves`` hold timestamps, so give their
+        range here.
+        """
         if name in DAILY_TABLES:
             return read_days(self.spark, self.star(name), DAILY_TABLES[name], start, end)
         if name in COST_TABLES:
@@ -195,9 +204,6 @@ class Lake:
 
     def register_views(self) -> list[str]:
         """Temp views for SQL users: every table, all sales lines, unified costs."""
-        from shelfledger.operators.costs import unified_cost
-        from shelfledger.operators.sales import combined_sales
-
         names = [*DAILY_TABLES, *COST_TABLES, *DIMENSIONS]
         for name in names:
             frame = self.table(name)

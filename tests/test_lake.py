@@ -86,6 +86,16 @@ def test_only_folders_of_the_range_are_read(spark, folder):
     assert len(df.inputFiles()) >= 2
 
 
+def test_report_filters_prune_folders(spark, tmp_path, folder):
+    write_days(
+        _daily(spark, [(D1 + timedelta(days=i), float(i), 1, 1.0, 1) for i in range(40)]), folder
+    )
+    report = sales.revenue_comparison(read_days(spark, folder, S.AGG_SALES_DAILY), D3, D3)
+    assert report.first()["cur_revenue"] == 2.0
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "make_date" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
 def test_date_comes_from_folders_when_the_column_is_missing(spark, folder):
     df = _daily(spark, [(D2, 7.0, 2, 1.0, 1)]).withColumn("when", F.col("date")).drop("date")
     write_days(df, folder, "when")
