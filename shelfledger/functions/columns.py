@@ -80,12 +80,12 @@ def day_range(column: Column, start: date, end: date) -> Column:
 
 
 def _day(value: date) -> Column:
-    return F.lit(value).cast("date")
+    return F.expr(f"DATE'{value.isoformat()}'")
 
 
 def moment(value: datetime) -> Column:
     """Literal zone-less timestamp."""
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.expr(f"TIMESTAMP_NTZ'{value:%Y-%m-%d %H:%M:%S}'")
 
 
 def conform(df: DataFrame, spec: Spec) -> list[Column]:
