@@ -16,6 +16,7 @@ from shelfledger.functions.columns import (
     product_label,
     zero_if_null,
 )
+from shelfledger.session import cut_lineage
 
 ITEM_COLUMNS = (
     "product_id",
@@ -185,10 +186,13 @@ def stock_totals(items: DataFrame) -> DataFrame:
 def cover_histogram(items: DataFrame, bins: int = 20) -> DataFrame:
     """SKU counts in equal-width bins of days of cover; empty bins are listed.
 
-    The bounds are a scalar subquery of one aggregate; every row finds its bin
-    by arithmetic and rows are counted on the map side.
+    The one column needed is stored once, as bounds and counts both read it.  The
+    bounds are a scalar subquery; every row finds its bin by arithmetic and rows
+    are counted on the map side.
     """
-    cover = items.where(F.col("days_of_cover").isNotNull()).select("days_of_cover")
+    cover = cut_lineage(
+        items.where(F.col("days_of_cover").isNotNull()).select("days_of_cover")
+    )
     bounds = cover.agg(
         F.struct(F.min("days_of_cover").alias("low"), F.max("days_of_cover").alias("high"))
     ).scalar()

@@ -22,6 +22,7 @@ from shelfledger.schemas import (
     RAW_POS_LINES,
     RAW_STOCK_QUANTS,
 )
+from shelfledger.sources.files import read_beginning_costs
 from shelfledger.sources.lake import Lake, read_days, replace_days, write_dimension
 
 # Raw dataset -> (columns, text column with the record's day).
@@ -91,6 +92,13 @@ def load_dimension(lake: Lake, name: str, df: DataFrame) -> None:
     write_dimension(df, lake.star(name))
 
 
+def load_beginning_costs(lake: Lake, csv_path: str) -> None:
+    """Checked opening costs; a later file replaces the earlier one."""
+    write_dimension(
+        read_beginning_costs(lake.spark, csv_path), lake.star("fact_product_beginning_costs")
+    )
+
+
 # --- costs ---------------------------------------------------------------------------------
 
 

@@ -154,6 +154,44 @@ def test_ledger_baseline_file(spark, tmp_path):
     assert sorted((r["product_id"], r["qty"]) for r in rows) == [(10, 7.5), (11, 0.0)]
 
 
+def test_beginning_costs_reach_the_lake(spark, tmp_path):
+    path = tmp_path / "costs.csv"
+    path.write_text("product_id,cost_unit,purchase_tax_id\n5,10,7\n")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert lake.table("fact_product_beginning_costs").count() == 0
+    for _ in range(2):
+        daily.load_beginning_costs(lake, str(path))
+    rows = lake.table("fact_product_beginning_costs").collect()
+    assert [(r["product_id"], r["is_active"]) for r in rows] == [(5, True)]
+    assert rows[0]["cost_unit_tax_in"] == pytest.approx(11.1)
+
+
+def test_hot_day_is_written_by_several_tasks_in_product_order(spark, folder):
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(0, 100_000, 1, 8).select(
+            F.when(F.col("id") % 3 > 0, F.lit(D1)).otherwise(
+                F.date_add(F.lit(D2), (F.col("id") % 7).cast("int"))
+            ).alias("date"),
+            (F.col("id") * 7919 % 1000).alias("product_id"),
+            F.rand(3).alias("revenue"),
+        )
+        write_days(df, folder, sort_by=("product_id",))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    hot = spark.read.parquet(day_path(folder, D1))
+    assert len(hot.inputFiles()) > 1
+    assert spark.read.parquet(folder).count() == 100_000
+    one = spark.read.parquet(hot.inputFiles()[0]).select("product_id").collect()
+    assert one == sorted(one)
+
+
 def test_exports(spark, tmp_path):
     df = _daily(spark, [(D1, 1.0, 1, 1.0, 1), (D2, 2.0, 1, 1.0, 1)]).orderBy("date")
     files.export_csv(df, str(tmp_path / "csv"))
