@@ -169,6 +169,46 @@ def test_hot_order_is_split_in_the_line_builder(spark, small_partitions):
     assert "skew=true" in _plan(shaped)
 
 
+def test_hot_keys_are_split_in_dimension_joins(spark, small_partitions):
+    pos = _hot(spark).select(
+        F.lit("2025-03-15 10:00:00").cast("timestamp_ntz").alias("date"),
+        F.col("txn_id").alias("order_id"),
+        "product_id",
+        (F.col("revenue_tax_in") + 1).alias("revenue"),
+    )
+    products = spark.range(1000).select(
+        F.col("id").alias("product_id"),
+        (F.col("id") % 5).cast("string").alias("product_category"),
+        F.concat(F.lit("P"), F.col("id").cast("string")).alias("product_name"),
+        F.lit("B").alias("product_brand"),
+    )
+    rollup = sales.category_rollup(pos, products, date(2025, 1, 1))
+    assert sum(r["orders"] for r in rollup.collect()) == 60_000
+    assert "skew=true" in _plan(rollup)
+
+    raw = _hot(spark).select(
+        F.col("txn_id").alias("move_id"),
+        "product_id",
+        F.col("product_id").alias("location_src_id"),
+        (F.col("line_id") % 100).alias("location_dest_id"),
+        F.col("quantity").alias("qty_moved"),
+        F.lit(1).cast("bigint").alias("uom_id"),
+    )
+    locations = spark.range(1000).select(
+        F.col("id").alias("location_id"),
+        F.concat(F.lit("L"), F.col("id").cast("string")).alias("location_name"),
+        F.lit("internal").alias("location_usage"),
+    )
+    uoms = spark.range(5).select(
+        F.col("id").alias("uom_id"), F.lit("u").alias("uom_name"), F.lit("c").alias("uom_category")
+    )
+    partners = spark.range(5).select(F.col("id").alias("partner_id"), F.lit("p").alias("partner_name"))
+    moves = cleaning.clean_moves(raw, products, locations, uoms, partners)
+    rows = moves.collect()
+    assert len(rows) == 60_000 and all(r["product_name"] for r in rows)
+    assert _plan(moves).split("Initial Plan")[0].count("skew=true") == 2  # product and source
+
+
 def test_hot_day_is_spread_before_transactions_are_counted(spark, tmp_path):
     path = str(tmp_path / "lines")
     _hot(spark).withColumnRenamed("revenue_tax_in", "revenue").write.parquet(path)
