@@ -119,8 +119,9 @@ def ledger_stock(
     """Stock per product: opening quantity plus moves, with cover and flags.
 
     Opening quantities, moves and sales are stacked and summed once per product:
-    one shuffle of partial sums, where separate sums would need three joins.  Products known from sales alone are not
-    stocked.  A cutoff before the opening stock gives no rows.
+    one shuffle of partial sums, where separate sums would need three joins.
+    Products known from sales alone are not stocked.  A cutoff before the opening
+    stock gives no rows.
     """
     lookback_days = max(1, lookback_days)
     cutoff = datetime.combine(as_of, time(K.LEDGER_CUTOFF_HOUR))

@@ -156,7 +156,7 @@ def update_profit_aggregates(lake: Lake, start: date, end: date) -> None:
 
 def _stored_profit_lines(lake: Lake, start: date, end: date) -> DataFrame:
     as_written = [(name, kind, None) for name, kind, _ in PROFIT_LINES]
-    extra = [("channel", "string", None), ("cost_missing", "boolean", None)]
+    extra = [("channel", "string", ""), ("cost_missing", "boolean", None)]
     return read_days(
         lake.spark, lake.star("fact_sales_lines_profit"), as_written + extra, start, end
     )

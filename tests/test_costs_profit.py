@@ -195,7 +195,15 @@ def test_as_of_costs_against_brute_force(spark, seed):
     rows, events = _random_events(spark, seed)
     rng = random.Random(seed + 100)
     legacy_rows = [
-        (p, float(rng.randrange(1, 50)), 5, DAY + timedelta(days=rng.randrange(30)), "old", rng.choice([2, 3]), p != 2)
+        (
+            p,
+            float(rng.randrange(1, 50)),
+            5,
+            DAY + timedelta(days=rng.randrange(30)),
+            "old",
+            rng.choice([2, 3]),
+            p != 2,
+        )
         for p in (1, 2, 3, 9)
         for _ in range(2)
     ]
