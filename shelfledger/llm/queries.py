@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfledger.llm import decontamination, language, quality, rules, simhash, toxicity
+from shelfledger.llm import (
+    chat,
+    decontamination,
+    html,
+    language,
+    pii,
+    quality,
+    rules,
+    sentencepiece,
+    simhash,
+    toxicity,
+)
 from shelfledger.llm.common import fold, read_table
 
+#: SentencePiece model file read by the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Secret of the surrogates; a real corpus takes its own.
+PII_KEY = "registered query"
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside fold 1 of 3."""
@@ -29,11 +45,27 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(docs, PII_KEY)[0]
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation under every participant's perspective."""
+    return chat.rotate(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned outside fold 0 of 5."""
     docs = read_table(spark, sf_dir, "documents")
@@ -60,16 +92,31 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    found = sentencepiece.encode(
+        read_table(spark, sf_dir, "documents"), sentencepiece.load(VOCABULARY)
+    )
+    return found.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "decodes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id,
         op2_quality,
+        op3_pii_surrogates,
         op4_simhash,
+        op5_html_text,
+        op6_chat_perspectives,
         op7_toxicity,
         op8_decontamination,
         op9_quality_rules,
+        op10_sentencepiece,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": rules.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_perspectives": chat.oracle(),
+    "op9_quality_rules": rules.oracle(),
+}

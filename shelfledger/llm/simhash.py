@@ -325,7 +325,7 @@ def near_duplicates(
     text: str = "text",
     node_limit: int = NODE_LIMIT,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(doc_id, fingerprint, component_id, root) of every row; root names the component.
 
     component_id is the smallest doc_id among all rows joined by links, the row itself
     included.  Null, empty and blank texts share fingerprint zero and are linked like any
@@ -339,9 +339,33 @@ def near_duplicates(
         reached.select(F.col("node").alias("bits"), "root"), "bits", "left"
     ).select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "root").select("bits", "component_id")
+    named = classes.join(smallest, "root").select("bits", "component_id", "root")
     return prints.join(named, "bits").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
-        "component_id",
+        "doc_id", _shown("bits").alias("fingerprint"), "component_id", _shown("root").alias("root")
     )
+
+
+def _shown(bits: str) -> Column:
+    return F.lpad(F.lower(F.hex(bits)), 16, "0")
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all columns: that of the smallest id, known ids first.
+
+    Among rows of one id in a component the smallest fingerprint wins, of repeated rows one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
+    keep = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k"))
+    # Ids as text, so that rows without one can be joined like others.
+    keep = keep.select(
+        F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("__id"),
+        F.col("k.fingerprint").alias("__print"),
+    )
+    marked = docs.withColumns(
+        {
+            "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+            "__bits": _fingerprint.asNondeterministic()(F.col(text)),
+        }
+    ).withColumn("__print", _shown("__bits"))
+    kept = marked.join(keep, ["__id", "__print"], "left_semi")
+    return kept.dropDuplicates(["__id", "__print"]).select(*docs.columns)
