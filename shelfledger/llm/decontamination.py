@@ -196,7 +196,7 @@ def item_blocks(
     for block in range(blocks):
         part = items
         if blocks > 1:
-            part = items.filter(F.pmod(F.xxhash64(item_id, text), F.lit(2 * blocks)) // 2 == block)
+            part = items.filter(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == block)
         yield sorted((tuple(r) for r in part.collect()), key=repr)
 
 
@@ -217,19 +217,16 @@ def contaminated(
     tokens matches nothing.  Null and empty texts hold nothing.  Repeated documents are
     reported each; repeated items once.  A null id stays null in the result.
     """
-    parts = []
+    out = None
     for items in item_blocks(benchmark, item_id, item_text, block_chars):
+        if out is not None:
+            out = written(out)  # one index in memory at a time
         index = ItemIndex(items, min_match)
         found = columns(docs, doc_id, text).select(
             F.col(doc_id).alias("doc_id"), F.explode(hits_in(text, index, coverage)).alias("hit")
         )
-        parts.append(found.select("doc_id", "hit.*"))
-    if len(parts) == 1:
-        return parts[0]
-    parts = [written(part) for part in parts]  # one index in memory at a time
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        found = found.select("doc_id", "hit.*")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
