@@ -27,6 +27,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Cutoffs in parts per thousand, strict to lenient; a document above the cutoff is rejected.
 CUTOFFS = (0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stutters", "n_repeat_words")
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "stutter_share")
 RISK = 0.05
 ERROR = 0.05
@@ -103,7 +104,10 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         | F.coalesce(F.get("s", k + 1)["x"] == v["x"], F.lit(False)),
     )
     found = found.withColumn("at", F.array_sort(F.transform(twice, lambda v: v["k"]))).drop("s")
-    return found.withColumn("n_repeat_words", _repeated(F.col("at")).cast("long")).drop("at")
+    # A filter of the caller must not be pushed below this line: it would put the arrays above
+    # inside their own lambdas.  No filter on the output of a generator passes it.
+    counts = F.struct(*COUNTS[:-1], _repeated(F.col("at")).cast("long").alias(COUNTS[-1]))
+    return found.select("doc_id", F.inline(F.array(counts)))
 
 
 def _share(part: Column, whole: Column) -> Column:
