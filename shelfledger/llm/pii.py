@@ -34,8 +34,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?(?![\p{{L}}\d])",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: Cheap test that every text with an entity passes.
-HINT = rf"[\d@]|(?:{_TITLE})\.? \p{{Lu}}"
+#: Cheap tests, one of which every text with an entity other than a name passes.
+HINT = r"[0-9@]"
+KEY_MARKS = ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 #: Syllables and endings of made-up names, by script; more syllables are drawn at each new round.
 SYLLABLES = {
@@ -58,7 +59,10 @@ def mentions(text: Column) -> Column:
     """All entities of a text as written, in order; empty for null."""
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(text.rlike(HINT), found), none)
+    hint = text.rlike(HINT) | text.rlike(PATTERNS["name"])
+    for mark in KEY_MARKS:
+        hint = hint | text.contains(mark)
+    return F.coalesce(F.when(hint, found), none)
 
 
 def entity_type(mention: Column) -> Column:
