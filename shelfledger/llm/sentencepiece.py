@@ -170,42 +170,35 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown_score:
             F.coalesce("score", F.lit(unknown_score)).alias("score"),
         ).alias("edge"),
     )
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-
-    def step(state: Column, edge: Column) -> Column:
-        """Edges come by end: ``best`` and ``came`` hold the finished places, ``last`` the open one."""
-        opened = edge["end"] > F.size(state["came"])
-        best = F.when(opened, F.concat(state["best"], F.array(state["last"]["sum"]))).otherwise(state["best"])
-        came = F.when(
-            opened, F.concat(state["came"], F.array(F.struct(state["last"]["start"].alias("start"), state["last"]["id"].alias("id"))))
-        ).otherwise(state["came"])
-        total = F.get(best, edge["start"]) + edge["score"]
-        new = F.struct(total.alias("sum"), edge["start"].alias("start"), edge["id"].alias("id"))
-        last = F.when(opened | (total > state["last"]["sum"]), new).otherwise(state["last"])
-        return F.struct(best.alias("best"), came.alias("came"), last.alias("last"))
-
-    # Place 0 is open at first; it is finished when the first edge arrives.
-    zero = F.struct(
-        F.array().cast("array<double>").alias("best"),
-        F.array().cast("array<struct<start:int,id:int>>").alias("came"),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(-1).alias("id")).alias("last"),
-    )
-    folded = grouped.select("word", F.aggregate("edges", zero, step).alias("f"))
-    folded = folded.select(
-        "word",
-        F.concat("f.came", F.array(F.struct("f.last.start", "f.last.id"))).alias("came"),
+    grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    # The edges into each place, in order of the places.
+    into = F.transform(
+        F.sequence(F.lit(1), F.length("word")), lambda k: F.filter("edges", lambda e: e["end"] == k)
     )
+    grouped = grouped.select("word", into.alias("into"))
+
+    def step(best: Column, edges_in: Column) -> Column:
+        """``best`` has for each place so far the largest sum and the edge that gives it."""
+
+        def reached(e: Column) -> Column:
+            total = F.get(best, e["start"])["sum"] + e["score"]
+            return F.struct(total.alias("sum"), (-e["start"]).alias("back"), e["id"].alias("id"))
+
+        return F.concat(best, F.array(F.array_max(F.transform(edges_in, reached))))
+
+    zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
+    folded = grouped.select("word", F.aggregate("into", zero, step).alias("best"))
 
     def back(state: Column, k: Column) -> Column:
-        here = F.get("came", k)
+        here = F.get("best", k)
         hit = state["at"] == k
-        path = F.concat(F.array(here), state["path"])
+        edge = F.struct((-here["back"]).alias("start"), here["id"].alias("id"))
         return F.struct(
-            F.when(hit, here["start"]).otherwise(state["at"]).alias("at"),
-            F.when(hit, path).otherwise(state["path"]).alias("path"),
+            F.when(hit, -here["back"]).otherwise(state["at"]).alias("at"),
+            F.when(hit, F.concat(F.array(edge), state["path"])).otherwise(state["path"]).alias("path"),
         )
 
-    end = F.size("came") - 1
+    end = F.size("best") - 1
     start = F.struct(end.alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
     path = F.aggregate(F.sequence(end, F.lit(1), F.lit(-1)), start, back)
     return folded.select("word", path["path"].alias("path"))
