@@ -27,7 +27,8 @@ ABC_B_SHARE = 0.5
 STOCK_LOOKBACK_DAYS = 30
 LOW_STOCK_DAYS = 7
 SUMMARY_LOW_STOCK_DAYS = 14
-SUMMARY_MAX_LOOKBACK_DAYS = 90
+# Folder day of raw records whose own day cannot be read; it does not depend on the call.
+UNKNOWN_DAY = date(1970, 1, 1)
 NO_SALES_COVER = 999999
 REORDER_TARGET_DAYS = 30
 REORDER_ALERT_DAYS = 14

@@ -113,13 +113,11 @@ def line_profit_as_of(
 
 def profit_daily(lines: DataFrame) -> DataFrame:
     """Sums, distinct transactions, lines, and lines without a known cost, per day."""
-    missing = F.count_if("cost_missing") if "cost_missing" in lines.columns else F.lit(None)
-    keys = ["channel", "txn_id"] if "channel" in lines.columns else ["txn_id"]
     return lines.groupBy("date").agg(
         *[F.sum(name).alias(name) for name in MEASURES],
-        F.countDistinct(*keys).alias("transactions"),
+        F.countDistinct("channel", "txn_id").alias("transactions"),
         F.count(F.lit(1)).alias("lines"),
-        missing.cast("bigint").alias("cost_missing"),
+        F.count_if("cost_missing").cast("bigint").alias("cost_missing"),
     )
 
 

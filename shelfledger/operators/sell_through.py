@@ -99,7 +99,7 @@ def top_categories(rollup: DataFrame, limit: int = 12) -> DataFrame:
     )
 
 
-def most_sold(items: DataFrame, limit: int = 5000) -> DataFrame:
+def most_sold(items: DataFrame, limit: int) -> DataFrame:
     """The reporting list: products with the most units sold."""
     return items.orderBy(F.col("units_sold").desc(), "product_id").limit(limit)
 

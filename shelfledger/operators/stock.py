@@ -266,7 +266,6 @@ def stock_status(
 
     Sales count only for products with a non-zero quantity.
     """
-    lookback_days = min(lookback_days, K.SUMMARY_MAX_LOOKBACK_DAYS)
     first_day = snapshot_date - timedelta(days=lookback_days - 1)
     stock = snapshots.where(F.col("snapshot_date") == F.lit(snapshot_date)).select(
         "product_id",

@@ -7,12 +7,13 @@ job with a longer range, not a loop over days.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from shelfledger import constants as K
-from shelfledger.functions.columns import day_range
+from shelfledger.functions.columns import parse_day, parse_second
 from shelfledger.operators import cleaning, costs, profit, refresh, sales
 from shelfledger.operators.shaping import normalise
 from shelfledger.schemas import (
@@ -23,7 +24,20 @@ from shelfledger.schemas import (
     RAW_STOCK_QUANTS,
 )
 from shelfledger.sources.files import read_beginning_costs
-from shelfledger.sources.lake import Lake, read_days, replace_days, write_dimension
+from shelfledger.session import cut_lineage
+from shelfledger.sources.lake import (
+    DAY_COLUMNS,
+    Lake,
+    partition_day,
+    read_days,
+    read_or_empty,
+    replace_days,
+    stored_days,
+    stored_files,
+    typed,
+    write_days,
+    write_dimension,
+)
 
 # Raw dataset -> (columns, text column with the record's day).
 RAW_DATASETS = {
@@ -34,58 +48,124 @@ RAW_DATASETS = {
     "stock_quants": (RAW_STOCK_QUANTS, "snapshot_date"),
 }
 
+# The table that run_range writes last.
+LAST_TABLE = "agg_profit_daily_by_product"
+
 
 def save_raw(lake: Lake, dataset: str, records: DataFrame, start: date, end: date) -> None:
-    """Store extracted records of a range of days, normalised, by their own day."""
+    """Store extracted records of a range of days, normalised, by their own day.
+
+    No record is lost: one with a readable day outside the range is an error and nothing is written.
+    One whose day cannot be read goes to the folder of ``K.UNKNOWN_DAY``, which does not depend on the call and
+    keeps what earlier calls put there; an identical record is kept once.
+    """
     spec, column = RAW_DATASETS[dataset]
     rows = normalise(records, spec).withColumn(
         "_day", F.substring(column, 1, 10).try_cast("date")
     )
-    # A record whose day cannot be read is kept with the first day of the range.
-    rows = rows.withColumn("_day", F.nvl("_day", F.lit(start)))
-    replace_days(rows, lake.raw(dataset), start, end, "_day")
+    known = F.col("_day").isNotNull()
+    counts = rows.agg(
+        F.count_if(known & ~F.col("_day").between(F.lit(start), F.lit(end))).alias("outside"),
+        F.count_if(~known).alias("unknown"),
+    ).first()
+    if counts["outside"]:
+        raise ValueError(f"{dataset}: {counts['outside']} records are not from {start} to {end}")
+    replace_days(rows.where(known), lake.raw(dataset), start, end, "_day")
+    if counts["unknown"]:
+        earlier = _raw(lake, dataset, K.UNKNOWN_DAY, K.UNKNOWN_DAY).drop("_day")
+        unknown = rows.where(~known).drop("_day").unionByName(earlier).distinct()
+        unknown = cut_lineage(unknown.withColumn("_day", F.lit(K.UNKNOWN_DAY)))
+        replace_days(unknown, lake.raw(dataset), K.UNKNOWN_DAY, K.UNKNOWN_DAY, "_day")
 
 
 def _raw(lake: Lake, dataset: str, start: date, end: date) -> DataFrame:
+    """Stored records of the folders in [start, end], with their folder day as ``_day``."""
     spec, _ = RAW_DATASETS[dataset]
-    return read_days(lake.spark, lake.raw(dataset), spec, start, end)
+    rows = read_or_empty(lake.spark, lake.raw(dataset), spec)
+    if not set(DAY_COLUMNS) <= set(rows.columns):
+        return rows.withColumn("_day", F.lit(None).cast("date"))
+    rows = rows.where(partition_day().between(F.lit(start), F.lit(end)))
+    return typed(rows.withColumn("_day", partition_day()), [*spec, ("_day", "date", None)])
+
+
+def _load(
+    lake: Lake,
+    dataset: str,
+    table: str,
+    clean: Callable[[DataFrame], DataFrame],
+    start: date,
+    end: date,
+    *,
+    day: str = "date",
+    margin: int = 0,
+    zone: str | None = None,
+) -> None:
+    """Replace the days of a fact table; a record with an unreadable date takes its folder's day.
+
+    Records of the unknown day are loaded as well, into the unknown day of the table.
+    """
+    _, column = RAW_DATASETS[dataset]
+    ranges = [(start, end)]
+    unknown_known = (
+        stored_files(lake.spark, lake.raw(dataset), [K.UNKNOWN_DAY]),
+        stored_files(lake.spark, lake.star(table), [K.UNKNOWN_DAY]),
+    )
+    if any(unknown_known) and not start <= K.UNKNOWN_DAY <= end:
+        ranges.append((K.UNKNOWN_DAY, K.UNKNOWN_DAY))
+    for first, last in ranges:
+        around = timedelta(days=margin)
+        raw = _raw(lake, dataset, first - around, last + around)
+        text = F.col(column)
+        if zone is None:
+            readable = text.rlike(r"^\d{4}-\d{2}-\d{2}") & F.substring(text, 1, 10).try_cast("date").isNotNull()
+            if dataset != "inventory_moves":
+                readable = parse_day(text).isNotNull()
+            shown = F.date_format("_day", "yyyy-MM-dd")
+        else:  # local midnight of the folder day, as UTC text
+            readable = parse_second(text).isNotNull()
+            midnight = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("_day").cast("timestamp_ntz"))
+            shown = F.date_format(midnight, "yyyy-MM-dd HH:mm:ss")
+        raw = raw.withColumn(column, F.when(F.nvl(readable, F.lit(False)), text).otherwise(shown))
+        rows = cleaning.load_fact(clean(raw.drop("_day")), table)
+        lake.replace(table, rows, first, last, day)
 
 
 def load_sales(lake: Lake, start: date, end: date, zone: str = K.LOCAL_ZONE) -> None:
     """POS facts by local day.  A local day touches the UTC days on both sides of it."""
-    raw = _raw(lake, "pos_order_lines", start - timedelta(days=1), end + timedelta(days=1))
-    rows = cleaning.clean_pos(raw, zone).where(day_range(F.col("date"), start, end))
-    lake.replace("fact_sales", cleaning.load_fact(rows, "fact_sales"), start, end)
+    _load(
+        lake, "pos_order_lines", "fact_sales",
+        lambda raw: cleaning.clean_pos(raw, zone), start, end, margin=1, zone=zone,
+    )
 
 
 def load_invoices(lake: Lake, start: date, end: date) -> None:
-    raw = _raw(lake, "account_move_out_invoice_lines", start, end)
-    rows = cleaning.load_fact(cleaning.clean_invoices(raw), "fact_invoice_sales")
-    lake.replace("fact_invoice_sales", rows, start, end)
+    _load(
+        lake, "account_move_out_invoice_lines", "fact_invoice_sales",
+        cleaning.clean_invoices, start, end,
+    )
 
 
 def load_purchases(lake: Lake, start: date, end: date) -> None:
-    raw = _raw(lake, "account_move_in_invoice_lines", start, end)
-    rows = cleaning.load_fact(cleaning.clean_bills(raw), "fact_purchases")
-    lake.replace("fact_purchases", rows, start, end)
+    _load(
+        lake, "account_move_in_invoice_lines", "fact_purchases", cleaning.clean_bills, start, end
+    )
 
 
 def load_moves(lake: Lake, start: date, end: date) -> None:
-    clean = cleaning.clean_moves(
-        _raw(lake, "inventory_moves", start, end),
-        lake.table("dim_products"),
-        lake.table("dim_locations"),
-        lake.table("dim_uoms"),
-        lake.table("dim_partners"),
-    )
-    lake.replace(
-        "fact_inventory_moves", cleaning.load_fact(clean, "fact_inventory_moves"), start, end
-    )
+    dimensions = [
+        lake.table(name) for name in ("dim_products", "dim_locations", "dim_uoms", "dim_partners")
+    ]
+    _load(
+        lake, "inventory_moves", "fact_inventory_moves",
+        lambda raw: cleaning.clean_moves(raw, *dimensions), start, end,
+    )
 
 
 def load_quants(lake: Lake, start: date, end: date) -> None:
-    clean = cleaning.clean_quants(_raw(lake, "stock_quants", start, end))
-    lake.replace("fact_stock_on_hand_snapshot", clean, start, end, "snapshot_date")
+    _load(
+        lake, "stock_quants", "fact_stock_on_hand_snapshot",
+        cleaning.clean_quants, start, end, day="snapshot_date",
+    )
 
 
 def load_dimension(lake: Lake, name: str, df: DataFrame) -> None:
@@ -108,20 +188,13 @@ def update_cost_events(lake: Lake, start: date, end: date) -> None:
 
 
 def update_cost_snapshots(lake: Lake, start: date, end: date) -> None:
-    """Snapshots of all days in the range.
+    """Snapshots of all days in the range, from all events up to its end.
 
-    With a snapshot of the day before, only that one and the events of the range
-    are read; without it, the whole event history.
+    A bill that arrives late for an earlier day so reaches every later snapshot, however the days
+    are cut into ranges.
     """
-    previous = lake.days_before("fact_product_cost_latest_daily", start)
-    events = lake.table("fact_product_cost_events", start, end)
-    if previous.isEmpty():
-        history = lake.table("fact_product_cost_events", None, end)
-        snapshots = costs.cost_history(history, start, end)
-    elif start == end:
-        snapshots = costs.cost_snapshot_next(previous, events, start)
-    else:
-        snapshots = costs.cost_history(previous.unionByName(events), start, end)
+    history = lake.table("fact_product_cost_events", None, end)
+    snapshots = costs.cost_history(history, start, end)
     lake.replace("fact_product_cost_latest_daily", snapshots, start, end)
 
 
@@ -179,27 +252,50 @@ def update_sales_aggregates(lake: Lake, start: date, end: date) -> None:
 
 
 def run_range(lake: Lake, start: date, end: date, zone: str = K.LOCAL_ZONE) -> None:
-    """Everything from raw records to aggregates for the days of the range."""
+    """Everything from raw records to aggregates for the days of the range.
+
+    Facts of the unknown day go through to its own aggregates.
+    """
     load_sales(lake, start, end, zone)
     load_invoices(lake, start, end)
     load_purchases(lake, start, end)
     load_moves(lake, start, end)
     load_quants(lake, start, end)
-    update_sales_aggregates(lake, start, end)
-    update_cost_events(lake, start, end)
-    update_cost_snapshots(lake, start, end)
-    update_profit_lines(lake, start, end)
-    update_profit_aggregates(lake, start, end)
+    ranges = [(start, end)]
+    facts = ("fact_sales", "fact_invoice_sales", "fact_purchases")
+    stored = any(stored_files(lake.spark, lake.star(name), [K.UNKNOWN_DAY]) for name in facts)
+    if stored and not start <= K.UNKNOWN_DAY <= end:
+        ranges.insert(0, (K.UNKNOWN_DAY, K.UNKNOWN_DAY))
+    for first, last in ranges:
+        update_sales_aggregates(lake, first, last)
+        update_cost_events(lake, first, last)
+        update_cost_snapshots(lake, first, last)
+        update_profit_lines(lake, first, last)
+        update_profit_aggregates(lake, first, last)
 
 
 def catch_up(lake: Lake, as_of: date, zone: str = K.LOCAL_ZONE) -> tuple[date, date] | None:
-    """Load the full days after the last loaded one, up to the day before ``as_of``."""
-    last = lake.table("agg_sales_daily").agg(F.max("date")).first()[0]
-    if last is None or (as_of - last).days <= 1:
+    """Load the missing full days up to the day before ``as_of``; gaps inside are filled as well.
+
+    A day is loaded when the table that the chain writes last has its folder, so a chain that broke off is
+    repeated.  Returns the first and the last day loaded.
+    """
+    have = {d for d in stored_days(lake.spark, lake.star(LAST_TABLE)) if d != K.UNKNOWN_DAY}
+    if not have:
         return None
-    start, end = last + timedelta(days=1), as_of - timedelta(days=1)
-    run_range(lake, start, end, zone)
-    return start, end
+    days = [min(have) + timedelta(days=k) for k in range((as_of - min(have)).days)]
+    missing = [d for d in days if d not in have]
+    if not missing:
+        return None
+    runs: list[list[date]] = []
+    for day in missing:
+        if runs and day - runs[-1][1] == timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    for first, last in runs:
+        run_range(lake, first, last, zone)
+    return missing[0], missing[-1]
 
 
 def refresh_aggregate(
@@ -211,11 +307,9 @@ def refresh_aggregate(
     one are added, or everything is loaded when nothing is stored.  Days are
     replaced, never appended, so a repeated refresh does not double rows.
     """
-    stored = lake.table(name)
     if start is None or end is None:
-        source = refresh.newer_than(source, stored)
-        bounds = source.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-        if bounds["first"] is None:
-            return
-        start, end = start or bounds["first"], end or bounds["last"]
-    lake.replace(name, source, start, end)
+        write_days(
+            refresh.newer_than(source, lake.table(name)), lake.star(name), sort_by=lake.order(source)
+        )
+    else:
+        lake.replace(name, source, start, end)

@@ -223,12 +223,12 @@ FROM (
     FROM (
       SELECT q.product_id, q.on_hand_qty,
              coalesce(s.units_sold, 0) AS units_sold, coalesce(s.revenue, 0) AS revenue,
-             coalesce(s.units_sold, 0) / CAST(90 AS DOUBLE) AS avg_daily_sold
+             coalesce(s.units_sold, 0) / CAST(120 AS DOUBLE) AS avg_daily_sold
       FROM (SELECT product_id, sum(quantity) AS on_hand_qty FROM stock_snapshots
             WHERE snapshot_date = DATE '2000-06-01' GROUP BY product_id) q
       LEFT JOIN (SELECT product_id, sum(quantity) AS units_sold, sum(revenue) AS revenue
                  FROM agg_sales_daily_by_product
-                 WHERE date > DATE '2000-06-01' - 90 AND date < DATE '2000-06-02'
+                 WHERE date > DATE '2000-06-01' - 120 AND date < DATE '2000-06-02'
                  GROUP BY product_id) s
       ON s.product_id = q.product_id AND q.on_hand_qty <> 0)))
 """
@@ -236,7 +236,7 @@ FROM (
 
 def _status(t: Tables):
     return stock.stock_status(
-        t.stock_snapshots, t.agg_sales_by_product, SNAPSHOT_DAY, lookback_days=365
+        t.stock_snapshots, t.agg_sales_by_product, SNAPSHOT_DAY, lookback_days=120
     )
 
 

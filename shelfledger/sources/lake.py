@@ -140,6 +140,32 @@ def day_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(partition_day().alias("date"), "path")
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored_files(spark: SparkSession, path: str, days: list[date]) -> dict[date, frozenset[str]]:
+    """Names of the Parquet files of each given day; only the folders of these days are listed."""
+    fs, system = _file_system(spark, path)
+    found = {}
+    for day in days:
+        folder = fs.Path(day_path(path, day))
+        if system.exists(folder):
+            names = (entry.getPath().getName() for entry in system.listStatus(folder))
+            found[day] = frozenset(name for name in names if name.endswith(".parquet"))
+    return found
+
+
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """Days that have a folder, in order.  Folder names are listed, no files."""
+    fs, system = _file_system(spark, path)
+    entries = system.globStatus(fs.Path(f"{path}/year=*/month=*/day=*")) or []
+    parts = [[part.split("=")[1] for part in str(e.getPath()).split("/")[-3:]] for e in entries]
+    return sorted(date(int(y), int(m), int(d)) for y, m, d in parts)
+
+
 def replace_days(
     df: DataFrame,
     path: str,
@@ -150,29 +176,29 @@ def replace_days(
 ) -> None:
     """Replace all days of [start, end]; a day without rows is left with an empty file.
 
-    Running it again gives the same lake: a day whose rows have all gone does not
-    keep its old ones.  One file name per old day tells afterwards which days the
-    write did not reach, so ``df`` is computed only once.
+    Running it again gives the same lake, and one range gives the same as its days one by one: a day whose rows
+    have all gone does not keep its old ones, and a day without rows is there and empty.  Only the
+    folders of the range are listed, and ``df`` is computed once.  Rows outside the range are not written; the
+    caller decides about them.
     """
     spark = df.sparkSession
-    in_range = F.col("date").between(F.lit(start), F.lit(end))
-    old = (
-        day_files(spark, path).where(in_range).groupBy("date").agg(F.min("path").alias("path"))
-    ).collect()  # at most one row per calendar day
+    days = [start + timedelta(days=k) for k in range((end - start).days + 1)]
+    before = stored_files(spark, path, days)
     day = F.col(day_column).cast("date")
     write_days(df.where(day.between(F.lit(start), F.lit(end))), path, day_column, sort_by)
-
-    files = day_files(spark, path)
-    empty_days = set()
-    if old:
-        kept = files.where(F.col("path").isin([row["path"] for row in old]))
-        empty_days = {row["date"] for row in kept.select("date").collect()}
-    if start == end and files.where(in_range).isEmpty():
-        empty_days.add(start)
-    for gone in sorted(empty_days):
-        df.limit(0).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(
-            day_path(path, gone)
-        )
+    after = stored_files(spark, path, days)
+    # A day that the write did not reach is gone, or never was there.
+    empty = [d for d in days if not after.get(d) or after[d] == before.get(d)]
+    if not empty:
+        return
+    first = day_path(path, empty[0])
+    df.limit(0).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(first)
+    fs, system = _file_system(spark, path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for other in empty[1:]:
+        target = fs.Path(day_path(path, other))
+        system.delete(target, True)
+        fs.FileUtil.copy(system, fs.Path(first), system, target, False, True, conf)
 
 
 def write_dimension(df: DataFrame, path: str) -> None:
@@ -213,25 +239,45 @@ class Lake:
         return typed(read_or_empty(self.spark, self.star(name), spec), spec)
 
     def register_views(self) -> list[str]:
-        """Temp views for SQL users: every table, all sales lines, unified costs."""
+        """Temp views for SQL users: every table, all sales lines, unified costs.
+
+        In ``fact_sales``, ``fact_sales_all`` and ``fact_inventory_moves`` the day column (``date``,
+        ``movement_date``) is the day of the folder; the time is in ``sold_at`` or ``moved_at``.
+        """
         names = [*DAILY_TABLES, *COST_TABLES, *DIMENSIONS]
         for name in names:
-            frame = self.table(name)
-            if name == "fact_inventory_moves":
-                frame = frame.withColumnRenamed("date", "movement_date")
-            frame.createOrReplaceTempView(name)
-        combined_sales(
-            self.table("fact_sales"), self.table("fact_invoice_sales")
+            self.table(name).createOrReplaceTempView(name)
+        # Day columns of timestamp tables are the folder days, so a filter on them prunes folders.
+        by_day = {
+            name: self._by_folder_day(name) for name in ("fact_sales", "fact_inventory_moves")
+        }
+        by_day["fact_sales"].createOrReplaceTempView("fact_sales")
+        by_day["fact_inventory_moves"].withColumnsRenamed(
+            {"sold_at": "moved_at", "date": "movement_date"}
+        ).createOrReplaceTempView("fact_inventory_moves")
+        combined_sales(by_day["fact_sales"], self.table("fact_invoice_sales")).drop(
+            "sold_at"
         ).createOrReplaceTempView("fact_sales_all")
         unified_cost(
             self.table("fact_product_cost_latest_daily"), self.table("fact_product_legacy_costs")
         ).createOrReplaceTempView("fact_product_costs_unified")
         return [*names, "fact_sales_all", "fact_product_costs_unified"]
 
+    def _by_folder_day(self, name: str) -> DataFrame:
+        """A timestamp table with ``date`` as the folder day and the time in ``sold_at``."""
+        spec = DAILY_TABLES[name]
+        stored = read_or_empty(self.spark, self.star(name), spec)
+        day = partition_day() if set(DAY_COLUMNS) <= set(stored.columns) else F.col("date").cast("date")
+        rows = typed(stored.withColumn("__day", day), [*spec, ("__day", "date", None)])
+        return rows.withColumnRenamed("date", "sold_at").withColumnRenamed("__day", "date")
+
     def replace(self, name: str, df: DataFrame, start: date, end: date, day: str = "date") -> None:
         """Replace the days of a range; rows of a day are kept in product order."""
-        sort_by = ("product_id",) if "product_id" in df.columns else ()
-        replace_days(df, self.star(name), start, end, day, sort_by)
+        replace_days(df, self.star(name), start, end, day, self.order(df))
+
+    @staticmethod
+    def order(df: DataFrame) -> tuple[str, ...]:
+        return ("product_id",) if "product_id" in df.columns else ()
 
     def days_before(self, name: str, day: date) -> DataFrame:
         """Rows of the partition of the day before ``day``."""

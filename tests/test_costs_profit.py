@@ -111,13 +111,13 @@ def test_unknown_cost_is_null_or_zero(spark):
 def test_profit_aggregates(spark):
     lines = spark.createDataFrame(
         [
-            (DAY, 1, 10, 1, 2.0, 25.0, 20.0, 5.0),
-            (DAY, 2, 20, 2, 1.0, 22.2, 20.0, 2.2),
-            (DAY, 2, 21, 2, 1.0, 11.1, 20.0, -8.9),
-            (DAY, 3, 30, 1, 3.0, 45.0, 30.0, 15.0),
+            (DAY, "pos", 1, 10, 1, 2.0, 25.0, 20.0, 5.0, False),
+            (DAY, "pos", 2, 20, 2, 1.0, 22.2, 20.0, 2.2, False),
+            (DAY, "pos", 2, 21, 2, 1.0, 11.1, 20.0, -8.9, False),
+            (DAY, "pos", 3, 30, 1, 3.0, 45.0, 30.0, 15.0, False),
         ],
-        "date date, txn_id long, line_id long, product_id long, quantity double,"
-        " revenue_tax_in double, cogs_tax_in double, gross_profit double",
+        "date date, channel string, txn_id long, line_id long, product_id long, quantity double,"
+        " revenue_tax_in double, cogs_tax_in double, gross_profit double, cost_missing boolean",
     )
     day = profit.profit_daily(lines).first()
     assert day["revenue_tax_in"] == pytest.approx(103.3)

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from shelfledger import constants as K
 from shelfledger import schemas as S
 from shelfledger.operators import costs, quality, sales
 from shelfledger.plans import daily
@@ -339,3 +340,89 @@ def test_incremental_snapshot_equals_full(lake):
         costs.cost_snapshot(events, D2), events.where(F.col("date") == F.lit(D3)), D3
     )
     assert _rows(full, *full.columns) == _rows(step, *full.columns)
+
+
+def test_records_outside_the_range_are_an_error(lake, spark):
+    row = spark.createDataFrame([(9, "2025-04-01", 10, 4.0)], "quant_id long, snapshot_date string, product_id long, quantity double")
+    with pytest.raises(ValueError, match="1 records"):
+        daily.save_raw(lake, "stock_quants", row, D1, D3)
+
+
+def _bad_dates(spark):
+    return spark.createDataFrame(
+        [("2025-03-15 xx", 50, "A", 51, 10, 1.0, 7.0, 0.0), ("soon", 60, "B", 61, 10, 1.0, 8.0, 0.0), (None, 70, "C", 71, 10, 1.0, 9.0, 0.0)],
+        "order_date string, order_id long, order_ref string, line_id long, product_id long,"
+        " qty double, price_subtotal_incl double, discount_amount double",
+    )
+
+
+def test_unreadable_dates_reach_the_facts_on_their_folder_day(lake, spark):
+    for start in (D2, D2 - timedelta(days=1)):  # overlapping ranges store no record twice
+        daily.save_raw(lake, "pos_order_lines", _bad_dates(spark), start, D2)
+    unknown = spark.read.parquet(lake.raw("pos_order_lines")).where("year = 1970")
+    assert sorted(r["order_id"] for r in unknown.collect()) == [60, 70]
+    daily.run_range(lake, D1, D3)
+    found = _rows(lake.table("fact_sales").where("order_id >= 50"), "order_id", F.to_date("date"))
+    assert found == [(50, D2), (60, K.UNKNOWN_DAY), (70, K.UNKNOWN_DAY)]
+    for name, column in (("agg_sales_daily", "revenue"), ("agg_profit_daily", "revenue_tax_in")):
+        assert lake.table(name, K.UNKNOWN_DAY, K.UNKNOWN_DAY).first()[column] == 17.0
+
+
+def test_a_range_gives_the_same_lake_as_its_days(lake, spark, tmp_path):
+    from shelfledger.sources.lake import stored_days
+
+    daily.save_raw(lake, "account_move_out_invoice_lines", spark.createDataFrame([], "move_id long, move_date string"), D3, D3)
+    daily.run_range(lake, D1, D3)
+    tables = list(S.DAILY_TABLES)
+    tables = [name for name in tables if stored_days(spark, lake.star(name))]
+    whole = {name: (_rows(lake.table(name), *lake.table(name).columns), stored_days(spark, lake.star(name))) for name in tables}
+    other = Lake(spark, str(tmp_path / "other"))
+    import shutil
+
+    shutil.copytree(f"{lake.root}/raw", f"{other.root}/raw")
+    shutil.copytree(lake.star("dim_products"), other.star("dim_products"))
+    for day in (D1, D2, D3):
+        daily.run_range(other, day, day)
+    for name in tables:
+        assert _rows(other.table(name), *other.table(name).columns) == whole[name][0], name
+        assert stored_days(spark, other.star(name)) == whole[name][1] == [D1, D2, D3], name
+
+
+def test_catch_up_repairs_a_chain_that_broke_off(lake, monkeypatch):
+    daily.run_range(lake, D1, D1)
+    with monkeypatch.context() as broken:
+        broken.setattr(daily, "update_profit_lines", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            daily.run_range(lake, D2, D2)
+    daily.run_range(lake, D3, D3)
+    assert daily.catch_up(lake, D3 + timedelta(days=1)) == (D2, D2)
+    assert lake.table("agg_profit_daily", D2, D2).count() == 1
+    assert daily.catch_up(lake, D3 + timedelta(days=1)) is None
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT sum(revenue) FROM fact_sales WHERE date = DATE '2025-03-15'",
+        "SELECT sum(revenue) FROM fact_sales_all WHERE date BETWEEN DATE '2025-03-15' AND DATE '2025-03-16'",
+        "SELECT count(*) FROM fact_inventory_moves WHERE movement_date >= DATE '2025-03-15'",
+    ],
+)
+def test_a_date_filter_on_a_view_prunes_folders(lake, spark, query):
+    daily.run_range(lake, D1, D3)
+    lake.register_views()
+    plan = spark.sql(query)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("PartitionFilters: []" not in line for line in scans)
+
+
+def test_a_one_day_run_lists_only_its_own_folders(spark, folder, monkeypatch):
+    from shelfledger.sources import lake as module
+
+    rows = _daily(spark, [(D1 + timedelta(days=k), 1.0, 1, 1.0, 1) for k in range(200)])
+    write_days(rows, folder)
+    listed = []
+    own = module.day_path
+    monkeypatch.setattr(module, "day_path", lambda path, day: listed.append(day) or own(path, day))
+    replace_days(_daily(spark, [(D2, 5.0, 1, 1.0, 1)]), folder, D2, D2)
+    assert set(listed) == {D2}
