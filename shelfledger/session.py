@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             "spark.checkpoint.dir", None
         )
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="shelfledger-checkpoint-")
         context.setCheckpointDir(folder)
