@@ -56,6 +56,8 @@ VOTE_SHARE = 0.2
 WIN_SHARE = 0.3
 #: Winning paths kept for a host.
 WINNERS = 5
+#: Keys over which the pages of one host are spread.
+SALTS = 32
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|"
@@ -278,7 +280,10 @@ def extract(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
         host_of(F.col(url)).alias("host"),
     )
-    rows = rows.join(winners, "host", "left")
+    # A host may hold a third of all pages: its pages are dealt to SALTS keys, its one row of winners to each.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    winners = winners.select("host", "winners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.join(winners, ["host", "salt"], "left")
     rows = rows.withColumn("text", again.asNondeterministic()(F.col("html"), F.col("winners")))
     return rows.select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host",
