@@ -30,7 +30,7 @@ from shelfledger.llm.common import columns
 
 SPACE = "▁"
 #: Bytes of text in one group of documents.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 4_000_000
 #: A longer word is folded by the same recurrence in the task that holds its document.
 LONG_WORD = 256
 #: How far an unknown character scores below the lowest piece.
@@ -224,7 +224,7 @@ def _words_of_groups(cut: Cutter):
                 seen.setdefault(group.as_py(), set()).update(
                     w for w in cut(text.as_py()) if len(w) <= LONG_WORD
                 )
-            if sum(map(len, seen.values())) > 1_000_000:
+            if sum(map(len, seen.values())) > 200_000:
                 yield rows()
                 seen.clear()
         yield rows()
