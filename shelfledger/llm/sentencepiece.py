@@ -30,7 +30,7 @@ from shelfledger.llm.common import columns
 
 SPACE = "▁"
 #: Bytes of text in one group of documents.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 6_000_000
 #: A longer word is folded by the same recurrence in the task that holds its document.
 LONG_WORD = 256
 #: How far an unknown character scores below the lowest piece.
@@ -242,11 +242,11 @@ def decoded(ids, vocabulary: Vocabulary) -> str:
 def _assemble(cut: Cutter, vocabulary: Vocabulary):
     def assemble(key: tuple, docs: pa.Table, paths: pa.Table) -> pa.Table:
         words = dict(zip(paths.column("word").to_pylist(), range(paths.num_rows), strict=True))
-        listed = paths.column("path").combine_chunks()
+        listed = paths.column("piece_ids").combine_chunks()
         if isinstance(listed, pa.ChunkedArray):
             listed = pa.concat_arrays(listed.chunks) if listed.num_chunks else pa.array([], listed.type)
         offsets = listed.offsets.to_numpy().astype(np.int64)
-        values = listed.values.field("id").to_numpy()
+        values = listed.values.to_numpy()
         sizes, first = np.diff(offsets), offsets[:-1]
         extra: dict[str, list[int]] = {}
         ids_of_docs, counts, same = [], [], []
@@ -302,9 +302,11 @@ def encode(
     cut = Cutter(vocabulary)
     # One shuffle of the texts serves the words and the assembly.
     words = dealt.mapInArrow(_words_of_groups(cut), "group long, word string").repartition(F.col("word"))
-    distinct = words.groupBy("word").agg(F.min("group").alias("one")).select("word")
+    # The filter is always true; it keeps the group, so that one exchange of words serves both uses.
+    distinct = words.groupBy("word").agg(F.min("group").alias("one")).filter("one >= 0").select("word")
     paths = best_paths(distinct, piece_table(spark, vocabulary), vocabulary.longest, vocabulary.unknown_score)
-    met = words.join(paths, "word").select("group", "word", "path")
+    met = words.join(paths.select("word", F.col("path.id").alias("piece_ids")), "word")
+    met = met.select("group", "word", "piece_ids")
     return (
         dealt.groupBy("group")
         .cogroup(met.groupBy("group"))
