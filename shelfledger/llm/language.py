@@ -156,7 +156,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         rows = []
         split = [words_of(t) for t in texts]
-        for words, marginals in zip(split, self.label(split), strict=True):
+        labelled = self.label(split) if self.labels else [None] * len(split)
+        for words, marginals in zip(split, labelled, strict=True):
             if not words or not self.labels:
                 rows.append((UNKNOWN, 0.0, len(words), 0, {}))
                 continue

@@ -38,7 +38,9 @@ MIN_Z = 4.0
 ERRORS_DOWN = 1.64
 MIN_SCORE = 1.0
 GAP = 0.5
+#: Weight of the prior in tokens: a share of the sample, up to a bound.
 PRIOR_TOKENS = 10_000.0
+PRIOR_SHARE = 0.01
 STEM_LETTERS = (4, 5, 6, 7, 8)
 CACHE_WORDS = 300_000
 SCORE_CAP = 6.0
@@ -236,12 +238,13 @@ def unit_scores(
     """(z, score) by log-odds with an informative Dirichlet prior, of units with z above MIN_Z."""
     n1, n0 = counts.get("", (0, 0))
     total = max(prior.get("", 0), 1)
+    weight = min(PRIOR_TOKENS, max(PRIOR_SHARE * (n1 + n0), 1.0))
     out = []
     for unit, (y1, y0) in counts.items():
         if not unit:
             continue
-        a = PRIOR_TOKENS * max(prior.get(unit, 0), 1) / total
-        rest1, rest0 = n1 + PRIOR_TOKENS - y1 - a, n0 + PRIOR_TOKENS - y0 - a
+        a = weight * max(prior.get(unit, 0), 1) / total
+        rest1, rest0 = n1 + weight - y1 - a, n0 + weight - y0 - a
         delta = math.log((y1 + a) / max(rest1, 1.0)) - math.log((y0 + a) / max(rest0, 1.0))
         error = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
         score = min(delta - ERRORS_DOWN * error, SCORE_CAP)
