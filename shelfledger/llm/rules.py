@@ -1,6 +1,6 @@
 r"""Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Text statistics give each document a few junk ratios.  On a labelled holdout, the cutoff of
+Text statistics give each document a few junk ratios.  On all labelled documents, the cutoff of
 every (stratum, rule) is the strictest one whose false rejection rate is proven small: the exact
 binomial test of "more than ``risk`` of good documents are rejected" must be
 refused.  Cutoffs of a rule are nested, so they are tested in a fixed sequence from lenient to
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfledger.llm.common import bounded_sample, columns
+from shelfledger.llm.common import columns, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,8 +31,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stu
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "stutter_share")
 RISK = 0.05
 ERROR = 0.05
-#: Labelled documents used for the proof, those with the lowest hash of their id.
-HOLDOUT_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +40,6 @@ class Control:
     risk: float = RISK
     error: float = ERROR
     cutoffs: tuple[int, ...] = CUTOFFS
-    holdout_rows: int = HOLDOUT_ROWS
 
 
 def words(text: Column) -> Column:
@@ -161,8 +158,11 @@ def proven_cutoffs(holdout: DataFrame, control: Control = Control()) -> DataFram
     )
     strata = holdout.filter("good").agg(F.countDistinct("stratum").alias("strata"))
     level = F.lit(control.error) / (F.col("strata") * len(RULES))
+    risk = control.risk / len(RULES)
+    # From the mean on the tail is at least one half, so its long sum need not be made.
+    open_ = (level >= 0.5) | (F.col("x") < F.ceil(F.col("n") * F.lit(risk)))
     tested = counts.crossJoin(F.broadcast(strata)).filter(  # one row
-        binomial_tail(F.col("x"), F.col("n"), control.risk / len(RULES)) <= level
+        F.when(open_, binomial_tail(F.col("x"), F.col("n"), risk) <= level)
     )
     return tested.groupBy("stratum").agg(
         *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES]
@@ -183,6 +183,7 @@ def judge(
     A null text counts as empty and fails the base rules.  A null stratum is a stratum of its own.
     Labels without id or value, and ids with two different labels, prove nothing.
     Repeated documents are judged each.  Without labels only the base rules hold.
+    Every label of a document counts for the proof, whatever their number.
     """
     group = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
     known = columns(labels, doc_id, label).filter(
@@ -190,20 +191,16 @@ def judge(
     )
     known = known.groupBy(doc_id).agg(F.min(label).alias("low"), F.max(label).alias("high"))
     known = known.filter(F.col("low") == F.col("high"))
-    known = bounded_sample(known.select(doc_id, (F.col("low") > 0).alias("good")), doc_id, control.holdout_rows)
+    known = known.select(F.col(doc_id).alias("doc_id"), (F.col("low") > 0).alias("good"))
 
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), group)
     # The stratum travels in the key, so that statistics() sees one id column.
     keyed = texts.select(F.struct("doc_id", "stratum").alias("doc_id"), "text")
-    marked = texts.join(F.broadcast(known.withColumnRenamed(doc_id, "doc_id")), "doc_id")
-    marked = marked.select(F.struct("doc_id", "stratum", "good").alias("doc_id"), "text")
-    holdout = ratios(statistics(marked)).select(
-        F.col("doc_id.stratum").alias("stratum"), F.col("doc_id.good").alias("good"), *RULES
-    )
-    cutoffs = proven_cutoffs(holdout, control)
+    # Written once for proof and verdict: labels meet counts, no text is read twice or shuffled.
+    judged = written(ratios(statistics(keyed)))
+    judged = judged.withColumn("stratum", F.col("doc_id.stratum")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    cutoffs = proven_cutoffs(judged.select("doc_id", "stratum", *RULES).join(known, "doc_id"), control)
 
-    judged = ratios(statistics(keyed)).withColumn("stratum", F.col("doc_id.stratum"))
-    judged = judged.withColumn("doc_id", F.col("doc_id.doc_id"))
     judged = judged.join(F.broadcast(cutoffs), "stratum", "left")
     above = F.lit(False)
     for r in RULES:
@@ -216,7 +213,7 @@ def judge(
 
 
 def oracle(control: Control = Control()) -> str:
-    """The same in DuckDB SQL, as long as the labels fit into the holdout."""
+    """The same in DuckDB SQL."""
     cutoffs = ", ".join(map(str, control.cutoffs))
     shares = {
         "symbol_share": ("n_symbols", "word_chars"),

@@ -82,6 +82,14 @@ def test_edge_cases(spark):
     assert R.judge(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_labels_without_a_document_take_no_place_in_the_proof(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.range(400).selectExpr("id AS doc_id", f"'{text}' AS text", "'en' AS lang")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
+    found = R.judge(docs, labels).collect()
+    assert len(found) == 400 and {r.symbol_share_cutoff for r in found} == {0}  # 349 good ones prove it
+
+
 def test_given_tables_equal_sql(spark):
     from shelfledger.llm.queries import op9_quality_rules
     from tests.oracle import compare, connect
