@@ -30,6 +30,8 @@ LEXICON_WORDS = 400
 MIN_COUNT = 3
 #: Words whose scores a task remembers; more are computed again.
 CACHE_WORDS = 300_000
+#: Letters of a long word whose n-grams are counted together; all of its letters count.
+PIECE_LETTERS = 10_000
 #: Words labelled together; one longer document is a batch of its own.
 BATCH_WORDS = 200_000
 
@@ -42,12 +44,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def word_features(word: str, lexicon: dict[str, int] | set[str]) -> list[str]:
-    """Affixes of up to three letters, bigrams and trigrams with edges, lexicon entry, script."""
+def _ngrams(marked: str, first: int, last: int) -> list[str]:
+    """Bigrams and trigrams that begin at ``first`` to ``last - 1``."""
+    out = [marked[k : k + 2] for k in range(first, min(last, len(marked) - 1))]
+    return out + [marked[k : k + 3] for k in range(first, min(last, len(marked) - 2))]
+
+
+def word_features(word: str, lexicon: dict[str, int] | set[str], ngrams: bool = True) -> list[str]:
+    """Affixes of up to three letters, all bigrams and trigrams with edges, lexicon entry, script."""
     marked = f"^{word}$"
     out = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    out += [marked[k : k + 2] for k in range(len(marked) - 1)][:40]
-    out += [marked[k : k + 3] for k in range(len(marked) - 2)][:40]
+    if ngrams:
+        out += _ngrams(marked, 0, len(marked))
     if word in lexicon:
         out.append(f"w{word}")
     out.append(f"u{ord(word[0]) >> 7}")
@@ -109,9 +117,14 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_ids": {}, "_scores": np.empty((0, len(self.labels)))}
 
-    def _score(self, word: str) -> np.ndarray:
-        known = [self.features[f] for f in word_features(word, self.lexicon) if f in self.features]
-        return self.weights[known].sum(axis=0) if known else np.zeros(len(self.labels))
+    def _long_score(self, word: str) -> np.ndarray:
+        """Score of a word of any length; its n-grams are counted piece by piece."""
+        counts = Counter(f for f in word_features(word, self.lexicon, ngrams=False) if f in self.features)
+        marked = f"^{word}$"
+        for at in range(0, len(marked), PIECE_LETTERS):
+            counts.update(f for f in _ngrams(marked, at, at + PIECE_LETTERS) if f in self.features)
+        ids = np.array([self.features[f] for f in counts], np.int64)
+        return np.array(list(counts.values()), np.float64) @ self.weights[ids]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if len(self._ids) > CACHE_WORDS:
@@ -122,14 +135,19 @@ class Model:
             ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
             flat, ends = [], []
             features, lexicon = self.features, self.lexicon
+            long = [k for k, word in enumerate(new) if len(word) > PIECE_LETTERS]
             for word in new:
-                flat += [features[f] for f in word_features(word, lexicon) if f in features]
+                if len(word) <= PIECE_LETTERS:
+                    flat += [features[f] for f in word_features(word, lexicon) if f in features]
                 ends.append(len(flat))
             total = np.zeros((len(new) + 1, len(self.labels)))
             if flat:
                 sums = np.cumsum(self.weights[np.array(flat)], axis=0)
                 total[1:] = np.concatenate([total[:1], sums])[np.array(ends)]
-            self._scores = np.concatenate([self._scores, np.diff(total, axis=0)])
+            scores = np.diff(total, axis=0)
+            for k in long:
+                scores[k] = self._long_score(new[k])
+            self._scores = np.concatenate([self._scores, scores])
         return self._scores[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:

@@ -55,6 +55,20 @@ def test_labels_do_not_depend_on_the_batch(model):
         assert np.allclose(model.label([text])[0], marginals)
 
 
+def test_all_letters_of_a_long_run_count(model):
+    run = "dashausundder" * 4 + "thehouseandthegardenwiththatthing" * 20 + "und"
+    assert len("dashausundder" * 4) > 40
+    assert model.predict([run]).lang[0] == "en"
+
+
+def test_long_words_are_scored_like_others(model, monkeypatch):
+    run = "thehouseanddashausundder" * 9
+    plain = model.emissions([run, "the"])
+    monkeypatch.setattr(L, "PIECE_LETTERS", 7)
+    again = L.Model(model.labels, model.features, model.weights, model.start, model.transitions, model.lexicon)
+    assert np.allclose(again.emissions([run, "the"]), plain)
+
+
 def test_edge_cases(spark, model):
     rows = [(1, None, "x", "clash", 0.0), (2, "", None, None, None), (3, "12 | 3!", "en", "", 1.0)]
     rows += [(None, "the garden and the house", "en", "", 1.0), (5, "das Haus und DER Garten", None, "", 1.0)]
