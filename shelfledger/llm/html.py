@@ -2,9 +2,10 @@
 
 Each page is cut into text blocks, each below a path of containers.  Every path is
 generalised (tag and class, numbers left out) and scored by the text it holds less its
-links; pages vote for their best paths, and the votes are added up per host in Spark.
+links; pages vote for their paths, and the votes are added up per host in Spark.
 Every page is then extracted again with the winning paths of its host, so a page whose own scores mislead
-follows the others.  Menus, headers, footers, notices, forms and comments are never part
+follows the others, and with all its other paths but those whose text the host repeats from page to page.
+Menus, headers, footers, notices, forms and comments are never part
 of the text, whatever the votes.
 """
 
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from shelfledger.llm.common import columns
+from shelfledger.llm.common import columns, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
@@ -50,12 +52,10 @@ BAD_WORDS = re.compile(
 GOOD_WORDS = re.compile(r"[.-](?:article|content|entry|post|story|text|body|main)(?![a-z])")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 
-#: Share of a page's score that a path needs to be voted for.
-VOTE_SHARE = 0.2
 #: Share of the host's leading path that other winners need.
 WIN_SHARE = 0.3
-#: Winning paths kept for a host.
-WINNERS = 5
+#: Share of a path's pages whose text there stands on another page too, above which it is boilerplate.
+REPEATED_SHARE = 0.5
 #: Keys over which the pages of one host are spread.
 SALTS = 32
 
@@ -67,7 +67,12 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NUMBER = re.compile(r"\d+")
 
-VOTE = StructType([StructField("path", StringType()), StructField("score", DoubleType())])
+VOTE = StructType(
+    [
+        StructField("path", StringType()), StructField("score", DoubleType()),
+        StructField("text", LongType()), StructField("page", LongType()), StructField("leads", BooleanType()),
+    ]
+)
 
 
 def _generalised(tag: str, attributes: str) -> tuple[str, bool]:
@@ -198,15 +203,43 @@ def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
     return {p: s for p, s in scores.items() if s > 0}
 
 
-def main_text(html: str | None, winners: list[str] | None) -> str:
-    """The text below the winning paths; without one on this page, below the page's own best path."""
+def path_texts(found: list[tuple[str, str, int, bool]]) -> dict[str, int]:
+    """Hash of the text that each container of a page holds, over the blocks that count."""
+    texts: dict[str, xxhash.xxh64] = {}
+    for path, text, _, bad in found:
+        if not bad:
+            texts.setdefault(root_of(path), xxhash.xxh64(seed=42)).update(f"{text}\n".encode("utf-8", "replace"))
+    return {p: _signed(h.intdigest()) for p, h in texts.items()}
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def candidate_paths(found: list[tuple[str, str, int, bool]]) -> list[str]:
+    """Containers of a page's text and all that hold them, in alphabetical order."""
+    out = set()
+    for path, _, _, bad in found:
+        if not bad:
+            parts = path.split("/")
+            out.update("/".join(parts[: k + 1]) for k in range(len(parts)))
+    return sorted(out)
+
+
+def main_text(html: str | None, winners: list[str] | None, repeated: list[str] | None = None) -> str:
+    """The text below the winning paths, without one on this page below the page's own best path,
+    and below all other paths with a score that are not ``repeated`` boilerplate."""
     found = blocks(html)
+    own = path_scores(found)
     chosen = [w for w in winners or [] if any(_below(p, w) and not bad for p, _, _, bad in found)]
     if not chosen:
-        own = path_scores(found)
         chosen = [max(own, key=lambda p: (own[p], p))] if own else []
+    again = set(repeated or [])
+    others = {p for p in own if p not in again}
     kept = [
-        text for path, text, _, bad in found if not bad and any(_below(path, w) for w in chosen)
+        text
+        for path, text, _, bad in found
+        if not bad and (root_of(path) in others or any(_below(path, w) for w in chosen))
     ]
     return "\n".join(kept)
 
@@ -222,34 +255,50 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, score): the votes of all pages, added up per host."""
+    """(host, path, pages, score, repeated, varied): the votes of all pages, added up per host.
+
+    Every path with a score is voted for.  ``repeated`` counts the votes whose text stands below
+    the same path of another page and is not the best of each of these pages, as an article's copies
+    are.  ``varied``: the pages of the path are not all copies of one page.
+    """
 
     @F.pandas_udf(ArrayType(VOTE))
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             rows = []
             for text in texts:
-                own = path_scores(blocks(text))
+                found = blocks(text)
+                own, hashes = path_scores(found), path_texts(found)
                 total = sum(own.values())
-                rows.append([(p, s / total) for p, s in sorted(own.items()) if s >= VOTE_SHARE * total])
+                page = _signed(xxhash.xxh64_intdigest(repr(sorted(hashes.items())), 42))
+                top = max(own.values(), default=0.0)
+                rows.append([(p, s / total, hashes[p], page, s == top) for p, s in sorted(own.items())])
             yield pd.Series(rows)
 
     rows = columns(pages, url, html).select(host_of(F.col(url)).alias("host"), F.explode(vote(F.col(html))).alias("v"))
-    return rows.groupBy("host", "v.path").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("v.score").alias("score")
+    # Equal texts meet first, so that a host's pages are spread over as many keys as it has texts.
+    texts = rows.groupBy("host", "v.path", "v.text").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("v.score").alias("score"),
+        F.min("v.page").alias("first"), F.max("v.page").alias("last"), F.every("v.leads").alias("leads"),
+    )
+    again = (F.col("pages") > 1) & ~F.col("leads")
+    return texts.groupBy("host", "path").agg(
+        F.sum("pages").alias("pages"), F.sum("score").alias("score"),
+        F.sum(F.when(again, F.col("pages")).otherwise(0)).alias("repeated"),
+        (F.min("first") != F.max("last")).alias("varied"),
     )
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """(host, winners): the paths with at least WIN_SHARE of the leading path's score, best first."""
+    """(host, path, won, boilerplate) of every path voted for.
+
+    ``won``: it has at least WIN_SHARE of the score of the host's leading path.
+    """
     ranked = voted.groupBy("host").agg(F.max("score").alias("top"))
-    kept = voted.join(ranked, "host").filter(F.col("score") >= WIN_SHARE * F.col("top"))
-    # Few paths of a host can have so much of the leader's score.
-    listed = kept.groupBy("host").agg(
-        F.collect_list(F.struct((-F.col("score")).alias("s"), "path")).alias("w")
+    return voted.join(ranked, "host").select(
+        "host", "path", (F.col("score") >= WIN_SHARE * F.col("top")).alias("won"),
+        (F.col("varied") & (F.col("repeated") > REPEATED_SHARE * F.col("pages"))).alias("boilerplate"),
     )
-    best = F.slice(F.array_sort("w"), 1, WINNERS)
-    return listed.select("host", F.transform(best, lambda x: x["path"]).alias("winners"))
 
 
 def extract(
@@ -263,15 +312,20 @@ def extract(
     Null and empty html give empty text.  Pages without a host vote as one host.  Repeated
     pages are extracted each.  Ties between paths go to the first in alphabetical order.
     """
-    winners = winning_paths(votes(pages, url, html))
+    judged = written(winning_paths(votes(pages, url, html)))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([candidate_paths(blocks(t)) for t in texts], dtype=object)
 
     @F.pandas_udf(StringType())
-    def again(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, paths in batches:
+    def again(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, won, repeated in batches:
             yield pd.Series(
                 [
-                    main_text(t, None if p is None else list(p))
-                    for t, p in zip(texts, paths, strict=True)
+                    main_text(t, None if w is None else list(w), None if r is None else list(r))
+                    for t, w, r in zip(texts, won, repeated, strict=True)
                 ],
                 dtype=object,
             )
@@ -280,12 +334,23 @@ def extract(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
         host_of(F.col(url)).alias("host"),
     )
-    # A host may hold a third of all pages: its pages are dealt to SALTS keys, its one row of winners to each.
+    # Pages with the same containers share one layout; its lists hold paths of its own page only, so
+    # they stay short however many paths a host has.
+    rows = rows.withColumn("paths", candidates.asNondeterministic()(F.col("html")))
+    layouts = written(rows.select("host", "paths").distinct())
+    marked = layouts.select("host", "paths", F.explode("paths").alias("path")).join(judged, ["host", "path"])
+    marked = marked.groupBy("host", "paths").agg(
+        F.sort_array(F.collect_list(F.when(F.col("won"), F.col("path")))).alias("winners"),
+        F.sort_array(F.collect_list(F.when(F.col("boilerplate"), F.col("path")))).alias("repeated"),
+    )
+    n_winners = judged.groupBy("host").agg(F.count_if("won").cast("int").alias("n_winners"))
+    # A host may hold a third of all pages: its pages are dealt to SALTS keys, each row of its layouts to all.
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    winners = winners.select("host", "winners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.join(winners, ["host", "salt"], "left")
-    rows = rows.withColumn("text", again.asNondeterministic()(F.col("html"), F.col("winners")))
+    marked = layouts.join(marked, ["host", "paths"], "left").join(n_winners, "host", "left")
+    marked = marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(marked, ["host", "paths", "salt"], "left")
+    rows = rows.withColumn("text", again.asNondeterministic()(F.col("html"), F.col("winners"), F.col("repeated")))
     return rows.select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host",
-        F.coalesce(F.size("winners"), F.lit(0)).alias("n_winners"),
+        F.coalesce("n_winners", F.lit(0)).alias("n_winners"),
     )

@@ -46,6 +46,20 @@ def test_the_host_outvotes_a_page(spark):
     assert found[50] == "Short story." and found[60] == LONG.strip() and found[0] == LONG.strip()
 
 
+def test_text_outside_the_leading_path_stays(spark):
+    """A short lead, seven equal sections and a minority template; only what the host repeats goes."""
+    legal = "<div class='legal'>The same words stand on every page.</div>"
+    names = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    rows = [page(f"<div class='lead'>Lead {k}</div><div class='story'><p>{LONG}{k}</p></div>{legal}", k=k) for k in range(8)]
+    rows += [page(f"<div class='lead'>Lead 20</div><div class='other'><p>{LONG}20</p></div>{legal}", k=20)]
+    rows += [page(f"<div class='lead'>Copy</div><div class='twin'>{LONG}21</div>{legal}", k=k) for k in (21, 22)]
+    rows += [page("".join(f"<div class='{n}'><p>{LONG}{n} {k}</p></div>" for n in names), host="c.example", k=k) for k in (30, 31)]
+    found = extract(spark, rows)
+    assert all(found[k] == f"Lead {k}\n{LONG}{k}" for k in (*range(8), 20))
+    assert found[21] == found[22] == f"Copy\n{LONG}21"
+    assert all(found[k] == "\n".join(f"{LONG}{n} {k}" for n in names) for k in (30, 31))
+
+
 def test_edge_cases(spark):
     rows = [(1, "https://a/x", None, "", ""), (2, None, "", "", ""), (3, "nonsense", "plain text", "", ""), (None, "http://A.b:80/", "<p>x", "", "")]
     rows += [(5, "https://a/x", "<p>" + "word " * 50_000, "", "")] * 2 + [(6, "https://a/y", "<nav>menu</nav>", "", "")]
