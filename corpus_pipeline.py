@@ -15,20 +15,16 @@ from shelfledger.llm import decontamination, language, pii, sentencepiece, simha
 from shelfledger.llm.common import read_table, written
 from shelfledger.llm.queries import PII_KEY, VOCABULARY
 
-#: A document whose best language holds less of its letters is rejected.
-MIN_LANGUAGE_SHARE = 0.4
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a clear language; ``lang`` becomes the predicted one.
+    """Keeps documents with a language; ``lang`` becomes the predicted one.
 
-    Learns from the documents' own languages.  Null texts and texts without a letter are rejected.
+    Learns from the documents' own languages.  Null texts and texts without a letter are rejected,
+    texts in several languages are not, however evenly these share the letters.
     """
     model = language.learn(docs)
     found = docs.withColumn("__found", language.predict(model, "text"))
-    found = found.filter(
-        (F.col("__found.lang") != language.UNKNOWN) & (F.col("__found.score") >= MIN_LANGUAGE_SHARE)
-    )
+    found = found.filter(F.col("__found.lang") != language.UNKNOWN)
     return found.withColumn("lang", F.col("__found.lang")).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as C
-from shelfledger.llm import decontamination, sentencepiece, simhash
+from shelfledger.llm import decontamination, language, sentencepiece, simhash
 from shelfledger.llm.queries import VOCABULARY
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,6 +47,19 @@ def test_run_equals_the_stages(spark, stages):
     assert got == {r.doc_id: r.ids for r in stages[-1].collect()}
 
 
+def test_evenly_mixed_documents_stay(spark, stages):
+    texts = {}
+    for r in stages[0].orderBy("doc_id").collect():
+        if r.lang and r.text and len(r.text) > 400:
+            texts.setdefault(r.lang, r.text[:400])
+    assert len(texts) >= 3
+    mixed = spark.createDataFrame([(-1, " ".join(texts.values()), "en", "s", 1)], stages[0].schema)
+    model = language.learn(stages[0])
+    assert model.predict([" ".join(texts.values())]).score[0] < 0.4
+    kept = C.language_id(spark, stages[0].union(mixed), FOLDER)
+    assert kept.filter("doc_id = -1").count() == 1
+
+
 def test_edge_cases(spark, stages):
     schema = stages[0].schema
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "the and with that for was in the", "en", None, 3)]
