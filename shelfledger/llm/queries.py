@@ -12,6 +12,7 @@ from shelfledger.llm import (
     decontamination,
     html,
     language,
+    periods,
     pii,
     quality,
     rules,
@@ -100,6 +101,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "decodes")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, after every tenth one was made to repeat itself."""
+    docs = periods.planted(read_table(spark, sf_dir, "documents"))
+    return periods.digests(periods.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_quality_rules,
         op10_sentencepiece,
+        op13_periodic_runs,
     )
 }
 
