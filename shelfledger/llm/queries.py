@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfledger.llm import (
+    centroids,
     chat,
     decontamination,
     html,
@@ -101,6 +102,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "decodes")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector."""
+    assigned, points = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, points)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, after every tenth one was made to repeat itself."""
     docs = periods.planted(read_table(spark, sf_dir, "documents"))
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_quality_rules,
         op10_sentencepiece,
+        op11_centroid_clusters,
         op13_periodic_runs,
     )
 }
@@ -127,4 +135,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_perspectives": chat.oracle(),
     "op9_quality_rules": rules.oracle(),
+    "op11_centroid_clusters": centroids.oracle(),
 }
