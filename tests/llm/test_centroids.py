@@ -41,7 +41,7 @@ def sample(rng, n, dims, spread=1.0):
     return rows + [(n + 7, [-0.001] * dims), (n + 8, [-0.0] * dims)]
 
 
-def compare(spark, rows, k, rounds, dims, scale=256, partitions=5):
+def check(spark, rows, k, rounds, dims, scale=256, partitions=5):
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA).repartition(partitions)
     assigned, points = C.cluster_vectors(table, clusters=k, rounds=rounds, components=dims, scale=scale)
     expected, expected_points = brute(rows, k, rounds, dims, scale)
@@ -52,7 +52,7 @@ def compare(spark, rows, k, rounds, dims, scale=256, partitions=5):
 
 
 def test_equals_brute_force(spark):
-    assigned, points = compare(spark, sample(random.Random(1), 300, 3), 12, 4, 3)
+    assigned, points = check(spark, sample(random.Random(1), 300, 3), 12, 4, 3)
     rows = C.with_inertia(assigned, points).collect()
     for row in rows:
         mine = [r["distance"] for r in rows if r["cluster"] == row["cluster"]]
@@ -63,16 +63,16 @@ def test_equals_brute_force(spark):
 
 def test_ties_and_few_vectors(spark):
     grid = [(i, [float(i % 3), float(i // 3 % 3)]) for i in range(90)]
-    compare(spark, grid, 20, 3, 2, scale=2)
-    compare(spark, grid[:4] * 3, 40, 2, 2, scale=1)
+    check(spark, grid, 20, 3, 2, scale=2)
+    check(spark, grid[:4] * 3, 40, 2, 2, scale=1)
 
 
 def test_numbers_beyond_64_bits(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([1e300, -1e200, 3e30, 0.5, 1.7e308]) * rng.random() for _ in range(2)]) for i in range(40)]
-    assigned, points = compare(spark, rows, 5, 3, 2)
+    assigned, points = check(spark, rows, 5, 3, 2)
     assert any(row["inertia"] is None for row in C.with_inertia(assigned, points).collect())
-    compare(spark, [(i, [rng.choice([1e6, 3e9, 0.25])]) for i in range(60)], 6, 3, 1, scale=10)
+    check(spark, [(i, [rng.choice([1e6, 3e9, 0.25])]) for i in range(60)], 6, 3, 1, scale=10)
 
 
 def test_empty_table(spark):
@@ -90,3 +90,16 @@ def test_search_prunes_and_keeps_ties():
     number, best = C.nearest(rows, points, C.build_tree(points))
     away = ((rows[:, None, :] - np.array(points)[None]) ** 2).sum(axis=2)
     assert np.array_equal(best, away.min(axis=1)) and np.array_equal(number, away.argmin(axis=1))
+
+
+def test_query_equals_sql(spark):
+    from shelfledger.llm.queries import op11_centroid_clusters
+    from tests.oracle import compare, connect
+
+    class Query:
+        frame = staticmethod(op11_centroid_clusters)
+        oracle = staticmethod(C.oracle)
+
+    folder = "/root/testdata/sf0.001"
+    n, problems = compare(spark, folder, Query, connect(folder))
+    assert n > 0 and not problems
