@@ -19,6 +19,7 @@ from shelfledger.llm import (
     rules,
     sentencepiece,
     simhash,
+    suffixes,
     toxicity,
 )
 from shelfledger.llm.common import fold, read_table
@@ -108,6 +109,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(assigned, points)
 
 
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier one holds."""
+    return suffixes.digests(suffixes.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, after every tenth one was made to repeat itself."""
     docs = periods.planted(read_table(spark, sf_dir, "documents"))
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_sentencepiece,
         op11_centroid_clusters,
+        op12_suffix_repeats,
         op13_periodic_runs,
     )
 }
