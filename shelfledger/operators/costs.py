@@ -97,9 +97,14 @@ def cost_history(events: DataFrame, start: date, end: date) -> DataFrame:
         .agg(_newest("date").alias("newest"))
     )
     following = F.lead("valid_from").over(Window.partitionBy("product_id").orderBy("valid_from"))
-    ranges = by_day.withColumn("valid_to", F.nvl(F.date_sub(following, 1), F.lit(end)))
+    ranges = by_day.select(
+        "product_id",
+        "valid_from",
+        F.nvl(F.date_sub(following, 1), F.lit(end)).alias("valid_to"),
+        *[F.col(f"newest.{name}").alias(name) for name in COST_COLUMNS[2:]],
+    )
     days = F.explode(F.sequence("valid_from", "valid_to", F.expr("interval 1 day")))
-    return _unpack(ranges.withColumn("date", days), F.col("date"))
+    return ranges.withColumn("date", days).select(*COST_COLUMNS)
 
 
 def cost_intervals(events: DataFrame) -> DataFrame:
@@ -119,6 +124,106 @@ def cost_intervals(events: DataFrame) -> DataFrame:
     )
 
 
+# --- late changes ---------------------------------------------------------------------
+
+
+def changed_costs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(product_id, date) whose last cost of the day differs between two sets of events.
+
+    Added, corrected and removed bills all show here; a bill that another one of the
+    same day outranks changes nothing.  One shuffle of one row per product day.
+    """
+    newest = F.struct("source_move_id", "cost_unit_tax_in", "source_tax_id")
+
+    def side(events: DataFrame, name: str) -> DataFrame:
+        other = {"old": "new", "new": "old"}[name]
+        kind = "struct<source_move_id:bigint,cost_unit_tax_in:double,source_tax_id:bigint>"
+        return events.select(
+            "product_id",
+            "date",
+            newest.cast(kind).alias(name),
+            F.lit(None).cast(kind).alias(other),
+        )
+
+    return (
+        side(before, "old")
+        .unionByName(side(after, "new"))
+        .groupBy("product_id", "date")
+        .agg(F.max("old").alias("old"), F.max("new").alias("new"))
+        .where(~F.col("old").eqNullSafe(F.col("new")))
+        .select("product_id", "date")
+    )
+
+
+def dirty_ranges(changes: DataFrame, events: DataFrame, last: date) -> DataFrame:
+    """(product_id, first_day, last_day) in which changed bills change the known cost.
+
+    A change holds from its day to the day before the product's next purchase, at most to
+    ``last``; ranges that touch are merged.  ``events`` are all events after the first change; only
+    those of changed products are looked at, at most one row per product and calendar day.
+    """
+    touched = changes.select("product_id").distinct()
+    marks = changes.select("product_id", "date", F.lit(True).alias("changed")).unionByName(
+        events.join(touched, "product_id", "left_semi").select(
+            "product_id", "date", F.lit(False).alias("changed")
+        )
+    )
+    days = (
+        marks.where(F.col("date") <= F.lit(last))
+        .groupBy("product_id", "date")
+        .agg(F.max("changed").alias("changed"))
+    )
+    order = Window.partitionBy("product_id").orderBy("date")
+    opens = F.col("changed") & ~F.lag("changed", 1, False).over(order)
+    following = F.lead("date").over(order)
+    return (
+        days.withColumns(
+            {
+                "_range": F.sum(opens.cast("int")).over(order),
+                "_until": F.nvl(F.date_sub(following, 1), F.lit(last)),
+            }
+        )
+        .where("changed")
+        .groupBy("product_id", "_range")
+        .agg(F.min("date").alias("first_day"), F.max("_until").alias("last_day"))
+        .drop("_range")
+    )
+
+
+def cost_history_in(events: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Snapshot rows of the product days in ``ranges``; days without a known cost have none.
+
+    ``events`` hold what is known before and inside the ranges: a stored snapshot counts as the
+    events of its day.  Costs become intervals, which are cut to the ranges and only then
+    written out day by day.
+    """
+    wanted = events.join(ranges.select("product_id").distinct(), "product_id", "left_semi")
+    known = latest_cost_by_day(wanted).withColumnRenamed("date", "valid_from")
+    following = F.lead("valid_from").over(Window.partitionBy("product_id").orderBy("valid_from"))
+    cut = (
+        known.withColumn("valid_to", F.date_sub(following, 1))
+        .join(ranges, "product_id")
+        .withColumn("from", F.greatest("valid_from", "first_day"))
+        .withColumn("to", F.least("valid_to", "last_day"))
+        .where(F.col("from") <= F.col("to"))
+    )
+    days = F.explode(F.sequence("from", "to", F.expr("interval 1 day")))
+    return cut.withColumn("date", days).select(*COST_COLUMNS)
+
+
+def days_of(ranges: DataFrame) -> DataFrame:
+    """(product_id, date) of every day of the ranges."""
+    days = F.explode(F.sequence("first_day", "last_day", F.expr("interval 1 day")))
+    return ranges.select("product_id", days.alias("date"))
+
+
+def patched(stored: DataFrame, fresh: DataFrame, dirty: DataFrame) -> DataFrame:
+    """``stored`` with the rows of dirty product days replaced by ``fresh``."""
+    marks = dirty.select("product_id", "date", F.lit(True).alias("_dirty"))
+    kept = stored.join(marks, ["product_id", "date"], "left").where(F.col("_dirty").isNull())
+    return kept.select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
 # --- unified cost --------------------------------------------------------------------
 
 

@@ -182,6 +182,31 @@ def coverage(
     )
 
 
+def layer_status(
+    layers: Mapping[str, DataFrame], start: date, end: date
+) -> DataFrame:
+    """(date, then status and rows of each layer) for every day: raw, clean and fact side by side.
+
+    ``layers`` maps a layer to its (date, rows), where 0 rows stand for a day that is stored and empty.
+    """
+    spark = next(iter(layers.values())).sparkSession
+    stacked = None
+    for name, counts in layers.items():
+        part = counts.select("date", F.lit(name).alias("layer"), "rows")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    wide = stacked.groupBy("date").agg(
+        *[F.sum(F.when(F.col("layer") == name, F.col("rows"))).alias(name) for name in layers]
+    )
+    columns = ["date"]
+    for name in layers:
+        rows = F.col(name)
+        status = F.when(rows.isNull(), F.lit("Missing")).when(rows == 0, F.lit("Empty"))
+        columns.append(status.otherwise(F.lit("OK")).alias(f"{name}_status"))
+        columns.append(F.nvl(rows, F.lit(0)).alias(f"{name}_rows"))
+    days = calendar(spark, start, end).select("date")
+    return days.join(wide, "date", "left").select(*columns).orderBy("date")
+
+
 def table_status(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, status, rows) of undated tables such as dimensions: ``Empty`` or ``OK``."""
     counts = None

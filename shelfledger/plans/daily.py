@@ -14,42 +14,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfledger import constants as K
 from shelfledger.functions.columns import parse_day, parse_second
-from shelfledger.operators import cleaning, costs, profit, refresh, sales
+from shelfledger.operators import cleaning, costs, profit, quality, refresh, sales
 from shelfledger.operators.shaping import normalise
-from shelfledger.schemas import (
-    PROFIT_LINES,
-    RAW_INVENTORY_MOVES,
-    RAW_INVOICE_LINES,
-    RAW_POS_LINES,
-    RAW_STOCK_QUANTS,
-)
-from shelfledger.sources.files import read_beginning_costs
+from shelfledger.schemas import COST_ROWS, PROFIT_LINES, RAW_TABLES
 from shelfledger.session import cut_lineage
-from shelfledger.sources.lake import (
-    DAY_COLUMNS,
-    Lake,
-    partition_day,
-    read_days,
-    read_or_empty,
-    replace_days,
-    stored_days,
-    stored_files,
-    typed,
-    write_days,
-    write_dimension,
-)
-
-# Raw dataset -> (columns, text column with the record's day).
-RAW_DATASETS = {
-    "pos_order_lines": (RAW_POS_LINES, "order_date"),
-    "account_move_out_invoice_lines": (RAW_INVOICE_LINES, "move_date"),
-    "account_move_in_invoice_lines": (RAW_INVOICE_LINES, "move_date"),
-    "inventory_moves": (RAW_INVENTORY_MOVES, "movement_date"),
-    "stock_quants": (RAW_STOCK_QUANTS, "snapshot_date"),
+from shelfledger.sources.files import read_beginning_costs
+from shelfledger.sources.lake import FOLDER_DAY, Lake
+
+# Raw dataset -> text column with the record's day.
+RAW_DAYS = {
+    "pos_order_lines": "order_date",
+    "account_move_out_invoice_lines": "move_date",
+    "account_move_in_invoice_lines": "move_date",
+    "inventory_moves": "movement_date",
+    "stock_quants": "snapshot_date",
 }
 
 # The table that run_range writes last.
 LAST_TABLE = "agg_profit_daily_by_product"
+EVENTS, SNAPSHOTS = "fact_product_cost_events", "fact_product_cost_latest_daily"
 
 
 def save_raw(lake: Lake, dataset: str, records: DataFrame, start: date, end: date) -> None:
@@ -59,33 +42,34 @@ def save_raw(lake: Lake, dataset: str, records: DataFrame, start: date, end: dat
     One whose day cannot be read goes to the folder of ``K.UNKNOWN_DAY``, which does not depend on the call and
     keeps what earlier calls put there; an identical record is kept once.
     """
-    spec, column = RAW_DATASETS[dataset]
+    spec, column = RAW_TABLES[dataset], RAW_DAYS[dataset]
     rows = normalise(records, spec).withColumn(
-        "_day", F.substring(column, 1, 10).try_cast("date")
+        FOLDER_DAY, F.substring(column, 1, 10).try_cast("date")
     )
-    known = F.col("_day").isNotNull()
+    known = F.col(FOLDER_DAY).isNotNull()
     counts = rows.agg(
-        F.count_if(known & ~F.col("_day").between(F.lit(start), F.lit(end))).alias("outside"),
+        F.count_if(known & ~F.col(FOLDER_DAY).between(F.lit(start), F.lit(end))).alias("outside"),
         F.count_if(~known).alias("unknown"),
     ).first()
     if counts["outside"]:
         raise ValueError(f"{dataset}: {counts['outside']} records are not from {start} to {end}")
-    replace_days(rows.where(known), lake.raw(dataset), start, end, "_day")
-    if counts["unknown"]:
-        earlier = _raw(lake, dataset, K.UNKNOWN_DAY, K.UNKNOWN_DAY).drop("_day")
-        unknown = rows.where(~known).drop("_day").unionByName(earlier).distinct()
-        unknown = cut_lineage(unknown.withColumn("_day", F.lit(K.UNKNOWN_DAY)))
-        replace_days(unknown, lake.raw(dataset), K.UNKNOWN_DAY, K.UNKNOWN_DAY, "_day")
+    with lake.transaction():
+        lake.replace_days(lake.raw(dataset), rows.where(known), _days(start, end), FOLDER_DAY)
+        if counts["unknown"]:
+            earlier = _raw(lake, dataset, K.UNKNOWN_DAY, K.UNKNOWN_DAY).drop(FOLDER_DAY)
+            unknown = rows.where(~known).drop(FOLDER_DAY).unionByName(earlier).distinct()
+            unknown = cut_lineage(unknown.withColumn(FOLDER_DAY, F.lit(K.UNKNOWN_DAY)))
+            lake.replace_days(lake.raw(dataset), unknown, [K.UNKNOWN_DAY], FOLDER_DAY)
+
+
+def _days(start: date, end: date) -> list[date]:
+    return [start + timedelta(days=k) for k in range((end - start).days + 1)]
 
 
 def _raw(lake: Lake, dataset: str, start: date, end: date) -> DataFrame:
-    """Stored records of the folders in [start, end], with their folder day as ``_day``."""
-    spec, _ = RAW_DATASETS[dataset]
-    rows = read_or_empty(lake.spark, lake.raw(dataset), spec)
-    if not set(DAY_COLUMNS) <= set(rows.columns):
-        return rows.withColumn("_day", F.lit(None).cast("date"))
-    rows = rows.where(partition_day().between(F.lit(start), F.lit(end)))
-    return typed(rows.withColumn("_day", partition_day()), [*spec, ("_day", "date", None)])
+    """Stored records of the folders in [start, end], with their folder day."""
+    spec = [*RAW_TABLES[dataset], (FOLDER_DAY, "date", None)]
+    return lake.read(lake.raw(dataset), spec, _days(start, end))
 
 
 def _load(
@@ -100,17 +84,15 @@ def _load(
     margin: int = 0,
     zone: str | None = None,
 ) -> None:
-    """Replace the days of a fact table; a record with an unreadable date takes its folder's day.
+    """Replace the days of the clean layer and of a fact table.
 
-    Records of the unknown day are loaded as well, into the unknown day of the table.
+    The clean rows are stored once and the fact is read from them.  A record with an unreadable date takes
+    its folder's day.  Records of the unknown day are loaded as well, into the unknown day of the table.
     """
-    _, column = RAW_DATASETS[dataset]
+    column = RAW_DAYS[dataset]
     ranges = [(start, end)]
-    unknown_known = (
-        stored_files(lake.spark, lake.raw(dataset), [K.UNKNOWN_DAY]),
-        stored_files(lake.spark, lake.star(table), [K.UNKNOWN_DAY]),
-    )
-    if any(unknown_known) and not start <= K.UNKNOWN_DAY <= end:
+    paths = (lake.raw(dataset), lake.star(table))
+    if any(K.UNKNOWN_DAY in lake.versions(path) for path in paths) and not start <= K.UNKNOWN_DAY <= end:
         ranges.append((K.UNKNOWN_DAY, K.UNKNOWN_DAY))
     for first, last in ranges:
         around = timedelta(days=margin)
@@ -120,14 +102,16 @@ def _load(
             readable = text.rlike(r"^\d{4}-\d{2}-\d{2}") & F.substring(text, 1, 10).try_cast("date").isNotNull()
             if dataset != "inventory_moves":
                 readable = parse_day(text).isNotNull()
-            shown = F.date_format("_day", "yyyy-MM-dd")
+            shown = F.date_format(FOLDER_DAY, "yyyy-MM-dd")
         else:  # local midnight of the folder day, as UTC text
             readable = parse_second(text).isNotNull()
-            midnight = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("_day").cast("timestamp_ntz"))
+            midnight = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col(FOLDER_DAY).cast("timestamp_ntz"))
             shown = F.date_format(midnight, "yyyy-MM-dd HH:mm:ss")
         raw = raw.withColumn(column, F.when(F.nvl(readable, F.lit(False)), text).otherwise(shown))
-        rows = cleaning.load_fact(clean(raw.drop("_day")), table)
-        lake.replace(table, rows, first, last, day)
+        stored = lake.clean(dataset)
+        lake.replace_days(stored, clean(raw.drop(FOLDER_DAY)), _days(first, last), day)
+        rows = lake.read_as_written(stored, _days(first, last))
+        lake.replace(table, cleaning.load_fact(rows, table), first, last, day)
 
 
 def load_sales(lake: Lake, start: date, end: date, zone: str = K.LOCAL_ZONE) -> None:
@@ -168,15 +152,31 @@ def load_quants(lake: Lake, start: date, end: date) -> None:
     )
 
 
+# Fact table -> raw dataset it is loaded from.
+FACT_SOURCES = {
+    "fact_sales": "pos_order_lines",
+    "fact_invoice_sales": "account_move_out_invoice_lines",
+    "fact_purchases": "account_move_in_invoice_lines",
+    "fact_inventory_moves": "inventory_moves",
+    "fact_stock_on_hand_snapshot": "stock_quants",
+}
+
+
+def day_status(lake: Lake, table: str, start: date, end: date) -> DataFrame:
+    """Status and rows of a fact's raw, clean and fact layers on every day of the range."""
+    dataset = FACT_SOURCES[table]
+    paths = {"raw": lake.raw(dataset), "clean": lake.clean(dataset), "fact": lake.star(table)}
+    counts = {layer: lake.row_counts(path, start, end) for layer, path in paths.items()}
+    return quality.layer_status(counts, start, end)
+
+
 def load_dimension(lake: Lake, name: str, df: DataFrame) -> None:
-    write_dimension(df, lake.star(name))
+    lake.replace_flat(name, df)
 
 
 def load_beginning_costs(lake: Lake, csv_path: str) -> None:
     """Checked opening costs; a later file replaces the earlier one."""
-    write_dimension(
-        read_beginning_costs(lake.spark, csv_path), lake.star("fact_product_beginning_costs")
-    )
+    lake.replace_flat("fact_product_beginning_costs", read_beginning_costs(lake.spark, csv_path))
 
 
 # --- costs ---------------------------------------------------------------------------------
@@ -187,52 +187,165 @@ def update_cost_events(lake: Lake, start: date, end: date) -> None:
     lake.replace("fact_product_cost_events", events, start, end)
 
 
-def update_cost_snapshots(lake: Lake, start: date, end: date) -> None:
-    """Snapshots of all days in the range, from all events up to its end.
+def update_cost_snapshots(lake: Lake, start: date, end: date) -> DataFrame:
+    """Snapshots of the range, and of every later stored day that its bills reach.
+
+    Returns the dirty ranges (product_id, first_day, last_day): product days before and after the range's
+    end whose known cost has changed.  Call it in the transaction that replaced the events, so
+    that their former state is still there to compare with.
 
-    A bill that arrives late for an earlier day so reaches every later snapshot, however the days
-    are cut into ranges.
+    A stored day is patched: only days with a changed cost are written, and only its
+    dirty product days are computed.  A new day starts from the stored snapshot before it.  Events are read from
+    there on, never from the beginning, unless nothing is stored before the range.
     """
-    history = lake.table("fact_product_cost_events", None, end)
-    snapshots = costs.cost_history(history, start, end)
-    lake.replace("fact_product_cost_latest_daily", snapshots, start, end)
+    path = lake.star(SNAPSHOTS)
+    stored = [day for day in lake.versions(path, pending=False) if day != K.UNKNOWN_DAY]
+    asked = [day for day in _days(start, end) if day != K.UNKNOWN_DAY]
+    if K.UNKNOWN_DAY in _days(start, end):  # a day of its own: its costs reach no other day
+        known = lake.table(EVENTS, K.UNKNOWN_DAY, K.UNKNOWN_DAY)
+        snapshot = costs.cost_snapshot(known, K.UNKNOWN_DAY)
+        lake.replace_days(path, snapshot, [K.UNKNOWN_DAY])
+    if not asked:
+        return lake.spark.createDataFrame([], RANGES)
+    start, end = asked[0], asked[-1]
+    last = max([*stored, end])
+    changes = costs.changed_costs(
+        lake.published(EVENTS, start, end), lake.table(EVENTS, start, end)
+    )
+    ranges = costs.dirty_ranges(changes, lake.table(EVENTS, start, last), last)
+    ranges = cut_lineage(ranges)  # small, and used for snapshots, lines and aggregates
+    later = [day for day in stored if start <= day]
+    reached = _reached(ranges, later)
+    if reached:
+        base = _known_before(lake, start, last)
+        dirty = costs.days_of(ranges)
+        fresh = costs.cost_history_in(base, ranges)
+        rows = costs.patched(lake.read(path, COST_ROWS, reached), fresh, dirty)
+        lake.replace_days(path, rows, reached)
+    for first, final in _runs(sorted(set(asked) - set(stored))):
+        rows = costs.cost_history(_known_before(lake, first, final), first, final)
+        lake.replace_days(path, rows, _days(first, final))
+    return ranges
+
+
+RANGES = "product_id bigint, first_day date, last_day date"
+
+
+def _known_before(lake: Lake, first: date, last: date) -> DataFrame:
+    """What fixes the costs of [first, last]: the last stored snapshot before, and the events since."""
+    stored = lake.versions(lake.star(SNAPSHOTS))
+    before = max((d for d in stored if d < first and d != K.UNKNOWN_DAY), default=None)
+    if before is None:
+        everything = lake.table(EVENTS, None, last)
+        return everything.where(F.col("date") != F.lit(K.UNKNOWN_DAY))
+    since = lake.table(EVENTS, before + timedelta(days=1), last)
+    return lake.table(SNAPSHOTS, before, before).unionByName(since)
+
+
+def _reached(ranges: DataFrame, days: list[date]) -> list[date]:
+    """The given days that lie in a range.  Distinct days come to the driver, never products."""
+    if not days:
+        return []
+    inside = costs.days_of(ranges).select("date").distinct()
+    found = {row["date"] for row in inside.collect()}
+    return sorted(found & set(days))
+
+
+def _runs(days: list[date]) -> list[tuple[date, date]]:
+    """Consecutive days merged to (first, last)."""
+    runs: list[tuple[date, date]] = []
+    for day in days:
+        if runs and day - runs[-1][1] == timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
 
 
 # --- profit and aggregates -------------------------------------------------------------------
 
 
+def _profit_lines(
+    lake: Lake, shop: DataFrame, billed: DataFrame, day_costs: DataFrame, zero_missing_cost: bool
+) -> DataFrame:
+    return profit.line_profit_by_day(
+        profit.taxed_sales(shop, billed),
+        day_costs,
+        lake.table("fact_product_legacy_costs"),
+        zero_missing_cost,
+    )
+
+
 def update_profit_lines(lake: Lake, start: date, end: date, zero_missing_cost: bool = False) -> None:
     """Profit per sales line; costs are the snapshots of the range and legacy costs."""
-    lines = profit.line_profit_by_day(
-        profit.taxed_sales(
-            lake.table("fact_sales", start, end), lake.table("fact_invoice_sales", start, end)
-        ),
-        lake.table("fact_product_cost_latest_daily", start, end),
-        lake.table("fact_product_legacy_costs"),
+    lines = _profit_lines(
+        lake,
+        lake.table("fact_sales", start, end),
+        lake.table("fact_invoice_sales", start, end),
+        lake.table(SNAPSHOTS, start, end),
         zero_missing_cost,
     )
     lake.replace("fact_sales_lines_profit", lines, start, end)
 
 
+def update_dirty_profit(
+    lake: Lake, ranges: DataFrame, after: date, zero_missing_cost: bool = False
+) -> list[date]:
+    """Profit of the stored days behind ``after`` whose costs have changed; returns the days written.
+
+    Only lines of dirty product days are computed again, and only days that sold such a product are
+    written, with their aggregates.
+    """
+    table = lake.star("fact_sales_lines_profit")
+    later = [day for day in lake.versions(table) if day > after and day != K.UNKNOWN_DAY]
+    days = _reached(ranges, later)
+    if not days:
+        return []
+    dirty = cut_lineage(costs.days_of(ranges).where(F.col("date").isin(days)))
+    stored = lake.read(table, _AS_WRITTEN, days)
+    sold = stored.join(dirty, ["product_id", "date"], "left_semi").select("date").distinct()
+    days = sorted(row["date"] for row in sold.collect())
+    if not days:
+        return []
+    first, last = days[0], days[-1]
+
+    def of_dirty(df: DataFrame) -> DataFrame:
+        keyed = df.withColumns({"_p": F.nvl("product_id", F.lit(0)), "_d": F.col("date").cast("date")})
+        keys = dirty.select(F.col("product_id").alias("_p"), F.col("date").alias("_d"))
+        return keyed.join(keys, ["_p", "_d"], "left_semi").drop("_p", "_d")
+
+    fresh = _profit_lines(
+        lake,
+        of_dirty(lake.table("fact_sales", first, last)),
+        of_dirty(lake.table("fact_invoice_sales", first, last)),
+        lake.table(SNAPSHOTS, first, last).join(dirty, ["product_id", "date"], "left_semi"),
+        zero_missing_cost,
+    )
+    rows = costs.patched(lake.read(table, _AS_WRITTEN, days), fresh, dirty)
+    lake.replace_days(table, rows, days)
+    for some in _runs(days):
+        update_profit_aggregates(lake, *some)
+    return days
+
+
 def update_profit_aggregates(lake: Lake, start: date, end: date) -> None:
     """Aggregates of the stored lines, which are not computed again.
 
     The stored file keeps channel, missing-cost mark and NULLs that the typed view
     of the lines fills, so it is read as written.
     """
-    lines = _stored_profit_lines(lake, start, end)
+    lines = lake.read(lake.star("fact_sales_lines_profit"), _AS_WRITTEN, _days(start, end))
     lake.replace("agg_profit_daily", profit.profit_daily(lines), start, end)
     lake.replace(
         "agg_profit_daily_by_product", profit.profit_daily_by_product(lines), start, end
     )
 
 
-def _stored_profit_lines(lake: Lake, start: date, end: date) -> DataFrame:
-    as_written = [(name, kind, None) for name, kind, _ in PROFIT_LINES]
-    extra = [("channel", "string", ""), ("cost_missing", "boolean", None)]
-    return read_days(
-        lake.spark, lake.star("fact_sales_lines_profit"), as_written + extra, start, end
-    )
+_AS_WRITTEN = [
+    *[(name, kind, None) for name, kind, _ in PROFIT_LINES],
+    ("channel", "string", ""),
+    ("cost_missing", "boolean", None),
+]
 
 
 def update_sales_aggregates(lake: Lake, start: date, end: date) -> None:
@@ -252,48 +365,44 @@ def update_sales_aggregates(lake: Lake, start: date, end: date) -> None:
 
 
 def run_range(lake: Lake, start: date, end: date, zone: str = K.LOCAL_ZONE) -> None:
-    """Everything from raw records to aggregates for the days of the range.
+    """Everything from raw records to aggregates for the days of the range, published as one change.
 
-    Facts of the unknown day go through to its own aggregates.
+    A run that is stopped at any step leaves the lake as it was.  Facts of the unknown day go through to its
+    own aggregates.  Bills of the range that change costs of later stored days reach their
+    snapshots, profit lines and profit aggregates too.
     """
-    load_sales(lake, start, end, zone)
-    load_invoices(lake, start, end)
-    load_purchases(lake, start, end)
-    load_moves(lake, start, end)
-    load_quants(lake, start, end)
-    ranges = [(start, end)]
-    facts = ("fact_sales", "fact_invoice_sales", "fact_purchases")
-    stored = any(stored_files(lake.spark, lake.star(name), [K.UNKNOWN_DAY]) for name in facts)
-    if stored and not start <= K.UNKNOWN_DAY <= end:
-        ranges.insert(0, (K.UNKNOWN_DAY, K.UNKNOWN_DAY))
-    for first, last in ranges:
-        update_sales_aggregates(lake, first, last)
-        update_cost_events(lake, first, last)
-        update_cost_snapshots(lake, first, last)
-        update_profit_lines(lake, first, last)
-        update_profit_aggregates(lake, first, last)
+    with lake.transaction():
+        load_sales(lake, start, end, zone)
+        load_invoices(lake, start, end)
+        load_purchases(lake, start, end)
+        load_moves(lake, start, end)
+        load_quants(lake, start, end)
+        ranges = [(start, end)]
+        facts = ("fact_sales", "fact_invoice_sales", "fact_purchases")
+        stored = any(K.UNKNOWN_DAY in lake.versions(lake.star(name)) for name in facts)
+        if stored and not start <= K.UNKNOWN_DAY <= end:
+            ranges.insert(0, (K.UNKNOWN_DAY, K.UNKNOWN_DAY))
+        for first, last in ranges:
+            update_sales_aggregates(lake, first, last)
+            update_cost_events(lake, first, last)
+            dirty = update_cost_snapshots(lake, first, last)
+            update_profit_lines(lake, first, last)
+            update_profit_aggregates(lake, first, last)
+            update_dirty_profit(lake, dirty, last)
 
 
 def catch_up(lake: Lake, as_of: date, zone: str = K.LOCAL_ZONE) -> tuple[date, date] | None:
     """Load the missing full days up to the day before ``as_of``; gaps inside are filled as well.
 
-    A day is loaded when the table that the chain writes last has its folder, so a chain that broke off is
-    repeated.  Returns the first and the last day loaded.
+    A day is loaded when the table that the chain writes last has it.  Returns the first and the last day loaded.
     """
-    have = {d for d in stored_days(lake.spark, lake.star(LAST_TABLE)) if d != K.UNKNOWN_DAY}
+    have = {d for d in lake.days(LAST_TABLE) if d != K.UNKNOWN_DAY}
     if not have:
         return None
-    days = [min(have) + timedelta(days=k) for k in range((as_of - min(have)).days)]
-    missing = [d for d in days if d not in have]
+    missing = [d for d in _days(min(have), as_of - timedelta(days=1)) if d not in have]
     if not missing:
         return None
-    runs: list[list[date]] = []
-    for day in missing:
-        if runs and day - runs[-1][1] == timedelta(days=1):
-            runs[-1][1] = day
-        else:
-            runs.append([day, day])
-    for first, last in runs:
+    for first, last in _runs(missing):
         run_range(lake, first, last, zone)
     return missing[0], missing[-1]
 
@@ -308,8 +417,11 @@ def refresh_aggregate(
     replaced, never appended, so a repeated refresh does not double rows.
     """
     if start is None or end is None:
-        write_days(
-            refresh.newer_than(source, lake.table(name)), lake.star(name), sort_by=lake.order(source)
-        )
+        stored = lake.table(name)
+        newer = refresh.newer_than(source, stored)
+        day = F.col("date").cast("date")
+        bounds = newer.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+        if bounds["first"] is not None:
+            lake.replace(name, newer, bounds["first"], bounds["last"])
     else:
         lake.replace(name, source, start, end)

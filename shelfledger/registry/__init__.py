@@ -4,6 +4,7 @@ from shelfledger.registry.core import QUERIES, Query
 from shelfledger.registry import (  # noqa: F401  (registration)
     cost_queries,
     inventory_queries,
+    lake_queries,
     profit_queries,
     quality_queries,
     sales_queries,

@@ -122,6 +122,72 @@ def _(t: Tables):
     return costs.cost_history(t.cost_events, HISTORY_START, AS_OF)
 
 
+# Bills that arrive after the history was stored: every tenth one of three months.
+LATE_START, LATE_END = date(2000, 4, 11), date(2000, 6, 11)
+
+
+def _late():
+    return (F.col("source_move_id") % 10 == 3) & F.col("date").between(
+        F.lit(LATE_START), F.lit(LATE_END)
+    )
+
+
+def _late_ranges(t: Tables):
+    known = t.cost_events.where(~_late())
+    inside = F.col("date").between(F.lit(LATE_START), F.lit(LATE_END))
+    changes = costs.changed_costs(known.where(inside), t.cost_events.where(inside))
+    return costs.dirty_ranges(changes, t.cost_events.where(F.col("date") >= F.lit(LATE_START)), AS_OF)
+
+
+@register(
+    "late_bill_history",
+    f"""
+SELECT CAST(c.d AS DATE) AS date, e.product_id, e.cost_unit_tax_in, e.source_move_id,
+       e.source_tax_id
+FROM generate_series(TIMESTAMP '2000-04-01', TIMESTAMP '2000-06-30', INTERVAL 1 DAY) AS c(d)
+JOIN cost_events e ON e.date <= CAST(c.d AS DATE)
+QUALIFY row_number() OVER (PARTITION BY e.product_id, c.d ORDER BY e.date DESC, {_NEWEST}) = 1
+""",
+    cost_unit_tax_in=4,
+)
+def _(t: Tables):
+    """The history stored without the late bills, patched where they change it: equal to one load."""
+    stored = costs.cost_history(t.cost_events.where(~_late()), HISTORY_START, AS_OF)
+    ranges = _late_ranges(t)
+    # What is known: the stored snapshot of the day before the first change, and the events since.
+    before = LATE_START - timedelta(days=1)
+    snapshot = stored.where(F.col("date") == F.lit(before))
+    since = t.cost_events.where(F.col("date").between(F.lit(LATE_START), F.lit(AS_OF)))
+    fresh = costs.cost_history_in(snapshot.unionByName(since.select(*snapshot.columns)), ranges)
+    return costs.patched(stored, fresh, costs.days_of(ranges))
+
+
+@register(
+    "late_bill_ranges",
+    f"""
+WITH ranked AS (
+  SELECT *, source_move_id % 10 = 3 AND date BETWEEN DATE '2000-04-11' AND DATE '2000-06-11' AS late
+  FROM cost_events WHERE date BETWEEN DATE '2000-04-11' AND DATE '2000-06-30'),
+days AS (
+  SELECT product_id, date, lead(date) OVER (PARTITION BY product_id ORDER BY date) AS next_day, late
+  FROM (SELECT product_id, date, late FROM ranked
+        QUALIFY row_number() OVER (PARTITION BY product_id, date ORDER BY {_NEWEST}) = 1)),
+changed AS (
+  SELECT product_id, date, CAST(coalesce(next_day - 1, DATE '2000-06-30') AS DATE) AS until
+  FROM days WHERE late),
+starts AS (
+  SELECT *, CASE WHEN lag(until) OVER (PARTITION BY product_id ORDER BY date) = date - 1
+                 THEN 0 ELSE 1 END AS opens
+  FROM changed)
+SELECT product_id, min(date) AS first_day, max(until) AS last_day
+FROM (SELECT *, sum(opens) OVER (PARTITION BY product_id ORDER BY date) AS island FROM starts)
+GROUP BY product_id, island
+""",
+)
+def _(t: Tables):
+    return _late_ranges(t)
+
+
 @register(
     "cost_history_intervals",
     f"""

@@ -122,6 +122,35 @@ def _(t: Tables):
     )
 
 
+@register(
+    "layer_status_by_day",
+    f"""
+WITH raw AS (SELECT date, count(*) AS n FROM fact_purchases GROUP BY 1),
+clean AS (SELECT date, count(*) AS n FROM fact_purchases WHERE day(date) <> 7 GROUP BY 1),
+fact AS (SELECT date, CAST(count_if(quantity > 3) AS BIGINT) AS n FROM fact_purchases WHERE day(date) <> 9 GROUP BY 1)
+SELECT d.date,
+  CASE WHEN raw.n IS NULL THEN 'Missing' WHEN raw.n = 0 THEN 'Empty' ELSE 'OK' END AS raw_status,
+  coalesce(raw.n, 0) AS raw_rows,
+  CASE WHEN clean.n IS NULL THEN 'Missing' WHEN clean.n = 0 THEN 'Empty' ELSE 'OK' END AS clean_status,
+  coalesce(clean.n, 0) AS clean_rows,
+  CASE WHEN fact.n IS NULL THEN 'Missing' WHEN fact.n = 0 THEN 'Empty' ELSE 'OK' END AS fact_status,
+  coalesce(fact.n, 0) AS fact_rows
+FROM ({_DAYS}) d LEFT JOIN raw ON raw.date = d.date LEFT JOIN clean ON clean.date = d.date
+LEFT JOIN fact ON fact.date = d.date
+""",
+)
+def _(t: Tables):
+    bills, day = t.fact_purchases, F.dayofmonth("date")
+    layers = {
+        "raw": quality.day_counts(bills),
+        "clean": quality.day_counts(bills.where(day != 7)),
+        "fact": bills.where(day != 9)
+        .groupBy("date")
+        .agg(F.count_if(F.col("quantity") > 3).alias("rows")),
+    }
+    return quality.layer_status(layers, FIRST_DAY, LAST_DAY)
+
+
 @register(
     "dimension_status",
     """

@@ -326,6 +326,14 @@ DIM_LOTS: Spec = [
 
 # Table name in the lake -> column list.  Facts, costs and aggregates are stored
 # by day; dimensions are one folder each.
+RAW_TABLES: dict[str, Spec] = {
+    "pos_order_lines": RAW_POS_LINES,
+    "account_move_out_invoice_lines": RAW_INVOICE_LINES,
+    "account_move_in_invoice_lines": RAW_INVOICE_LINES,
+    "inventory_moves": RAW_INVENTORY_MOVES,
+    "stock_quants": RAW_STOCK_QUANTS,
+}
+
 DAILY_TABLES: dict[str, Spec] = {
     "fact_sales": FACT_SALES,
     "fact_invoice_sales": FACT_INVOICE_SALES,

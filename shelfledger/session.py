@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Listing of many day folders: a fixed number of tasks, not one for each folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -44,15 +46,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder named by spark.checkpoint.dir.
-
-    The data survives the loss of executors, and anything derived from a task's
-    position (such as a partition number) stays the same on every later read.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local master may fall back to a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
             "spark.checkpoint.dir", None
         )
         if folder is None:
@@ -60,4 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="shelfledger-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the folder named by spark.checkpoint.dir.
+
+    The data survives the loss of executors, and anything derived from a task's
+    position (such as a partition number) stays the same on every later read.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
