@@ -319,6 +319,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # --- operator -------------------------------------------------------------------------------
 
 
+def _named(bits: DataFrame, node_limit: int) -> DataFrame:
+    """(bits, first_id, root) of each distinct fingerprint; root names its component."""
+    classes = bits.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
+    reached = components(links(classes.select("bits"), node_limit))
+    return classes.join(
+        reached.select(F.col("node").alias("bits"), "root"), "bits", "left"
+    ).select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -330,14 +339,11 @@ def near_duplicates(
     component_id is the smallest doc_id among all rows joined by links, the row itself
     included.  Null, empty and blank texts share fingerprint zero and are linked like any
     others.  Repeated rows stay repeated.  A null doc_id takes part, but never becomes
-    a component_id unless its component has no other.  An empty table gives no rows.
+    a component_id unless its component has no other.  An empty table gives no rows; other columns, whatever
+    their names, are left out.  Long texts count whole: shingles are hashed some thousands at a time.
     """
     prints = written(fingerprints(docs, doc_id, text))
-    classes = prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
-    reached = components(links(classes.select("bits"), node_limit))
-    classes = classes.join(
-        reached.select(F.col("node").alias("bits"), "root"), "bits", "left"
-    ).select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
+    classes = _named(prints, node_limit)
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(smallest, "root").select("bits", "component_id", "root")
     return prints.join(named, "bits").select(
@@ -349,23 +355,39 @@ def _shown(bits: str) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", node_limit: int = NODE_LIMIT
+) -> DataFrame:
     """One row of each component, with all columns: that of the smallest id, known ids first.
 
-    Among rows of one id in a component the smallest fingerprint wins, of repeated rows one stays.
+    Among rows of one id in a component the smallest fingerprint wins, then the smallest digest of the
+    text; of repeated rows one stays.  Null, empty and blank texts are one component.  An empty table gives no
+    rows; further columns stay, and none of them is read.
+
+    Texts are fingerprinted once.  Components are found on ids, digests and fingerprints; then the texts
+    meet the winners, which are the hashed side, so no text is sorted or grouped.
     """
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
-    keep = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k"))
-    # Ids as text, so that rows without one can be joined like others.
-    keep = keep.select(
-        F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("__id"),
-        F.col("k.fingerprint").alias("__print"),
+    marks = {
+        "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+        "__known": F.col(doc_id).isNotNull(),
+        "__digest": F.xxhash64(text),
+    }
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in marks.items()], text)
+    rows = rows.withColumn("bits", _fingerprint.asNondeterministic()(F.col(text))).drop(text)
+    prints = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")))
+    order = F.struct(~F.col("__known"), "doc_id", _shown("bits"), "__id", "__known", "__digest", "copies")
+    winners = (
+        prints.join(_named(prints, node_limit).select("bits", "root"), "bits")
+        .groupBy("root")
+        .agg(F.min(order).alias("first"))
+        .select(*[F.col(f"first.{name}").alias(name) for name in (*marks, "copies")])
     )
-    marked = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
-            "__bits": _fingerprint.asNondeterministic()(F.col(text)),
-        }
-    ).withColumn("__print", _shown("__bits"))
-    kept = marked.join(keep, ["__id", "__print"], "left_semi")
-    return kept.dropDuplicates(["__id", "__print"]).select(*docs.columns)
+    winners = written(winners)
+    marked = docs.withColumns(marks)
+    once = winners.where("copies = 1").select(*marks).hint("shuffle_hash")
+    kept = marked.join(once, [*marks], "left_semi")
+    again = winners.where("copies > 1").select(*marks)
+    if not again.isEmpty():  # repeated rows: one of each stays
+        copies = marked.join(again.hint("shuffle_hash"), [*marks], "left_semi")
+        kept = kept.unionByName(copies.dropDuplicates([*marks]))
+    return kept.select(*docs.columns)
