@@ -4,8 +4,8 @@ Texts are cut where no piece of the vocabulary can reach across, which gives wor
 distinct words of the corpus are a relation: their substrings up to the longest piece are exploded and
 joined to the piece table on equality; the edges so found are grouped by word, and a higher-order
 aggregate folds them into the path with the largest sum of piece scores (Viterbi).
-Documents are dealt into groups of bounded size; each group meets the paths of its own words
-and strings them together.
+The paths of the most frequent words, a fixed number of them, go to every task; documents are dealt
+into groups of bounded size, and each group asks for the paths of its other words only.
 
 The text is encoded as SentencePiece does for a unigram vocabulary: spaces become U+2581, one is put in
 front, characters without a piece become bytes.  The vocabulary file is a parameter.  Scores of a
@@ -14,23 +14,28 @@ BPE vocabulary are merge ranks; the path maximises their sum, which need not be
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from shelfledger.llm.common import columns
+from shelfledger.llm.common import columns, written
 
 SPACE = "▁"
 #: Bytes of text in one group of documents.
 GROUP_BYTES = 6_000_000
+#: Words whose paths every task holds: the most frequent ones of at most FREQUENT_CHARS characters.
+FREQUENT_WORDS = 100_000
+FREQUENT_CHARS = 32
 #: A longer word is folded by the same recurrence in the task that holds its document.
 LONG_WORD = 256
 #: How far an unknown character scores below the lowest piece.
@@ -54,19 +59,25 @@ class Vocabulary:
         many = [p for p in self.pieces if len(p) > 1]
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_BELOW
-        letter = regex.compile(r"\p{L}")
         pairs = {(a, b) for p in many for a, b in zip(p, p[1:], strict=False)}
         inside = {b for a, b in pairs if a != SPACE and b == SPACE}
+
+        def letter(c: str) -> bool:
+            return unicodedata.category(c)[0] == "L"
+
         # Characters that some piece holds after a letter cannot begin a word there.
-        tied = {b for a, b in pairs if letter.match(a) and not letter.match(b)} - {SPACE}
-        tied = "".join(map(regex.escape, sorted(tied)))
+        tied = {b for a, b in pairs if letter(a) and not letter(b)} - {SPACE}
+        # Numbers that count as word characters for the pattern, but may be followed by others in a piece.
+        odd = {c for pair in pairs for c in pair if not letter(c) and re.match(r"[^\W\d_]", c)} - tied
+        tied, odd = ("".join(map(re.escape, sorted(some))) for some in (tied, odd))
         line_end = "" if any("\n" in p for p in many) else "\n"
-        rest = rf"[^{SPACE}{line_end}\p{{L}}{tied}]"
-        word = rf"[\p{{L}}{tied}]"
+        rest = rf"(?:(?![{SPACE}{line_end}{tied}])[\W\d_{odd}])"
+        word = rf"(?:[^\W\d_{odd}]+|[{tied}]+)" if tied else rf"(?:[^\W\d_{odd}]+)"
         if inside:  # pieces reach over spaces: only line ends cut
             self.pattern = r"\n|[^\n]+" if line_end else r"(?s:.+)"
         else:
-            self.pattern = rf"{SPACE}+{rest}*{word}*|{rest}+{word}*|{word}+"
+            many_words = f"{word}*" if tied else f"{word}?"
+            self.pattern = rf"{SPACE}+{rest}*{many_words}|{rest}+{many_words}|{word}+"
             self.pattern += r"|\n" if line_end else ""
 
 
@@ -101,7 +112,7 @@ class Cutter:
         if not text:
             return []
         if self.find is None:
-            self.find = regex.compile(self.pattern).findall
+            self.find = re.compile(self.pattern).findall
         return self.find(self.prefix + text.replace(" ", SPACE))
 
 
@@ -204,32 +215,62 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown_score:
     return folded.select("word", path["path"].alias("path"))
 
 
+def piece_ids(path: Column, word: Column, vocabulary: Vocabulary) -> Column:
+    """Ids along a path; an unknown character becomes the ids of its UTF-8 bytes."""
+    known = [k if k >= 0 else vocabulary.unknown_id for k in vocabulary.bytes]
+    table = F.array(*[F.lit(k) for k in known])
+
+    def in_bytes(start: Column) -> Column:
+        char = F.hex(F.encode(F.substring(word, start + 1, F.lit(1)), "UTF-8"))
+        return F.transform(
+            F.sequence(F.lit(0), F.shiftright(F.length(char), 1) - 1),
+            lambda i: F.get(table, F.conv(F.substring(char, 2 * i + 1, F.lit(2)), 16, 10).cast("int")),
+        )
+
+    return F.flatten(
+        F.transform(path, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(in_bytes(e["start"])))
+    )
+
+
 # --- operators ------------------------------------------------------------------------------
 
 
-def _words_of_groups(cut: Cutter):
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+def _counted(cut: Cutter):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            groups = [g for g, ws in seen.items() for _ in ws]
-            listed = [w for ws in seen.values() for w in ws]
+            words = [w for w in seen if len(w) <= LONG_WORD]
+            numbers = [seen[w] for w in words]
             return pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.int64()), pa.array(listed, pa.string())], names=["group", "word"]
+                [pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"]
             )
 
         for batch in batches:
-            texts, groups = batch.column("text"), batch.column("group")
-            for text, group in zip(texts, groups, strict=True):
-                seen.setdefault(group.as_py(), set()).update(
-                    w for w in cut(text.as_py()) if len(w) <= LONG_WORD
-                )
-            if sum(map(len, seen.values())) > 200_000:
+            for text in batch.column(0):
+                seen.update(cut(text.as_py()))
+            if len(seen) > 300_000:
                 yield rows()
                 seen.clear()
         yield rows()
 
-    return words
+    return counts
+
+
+def _rare_words(cut: Cutter, frequent):
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value[0].keys()
+        for batch in batches:
+            asked: dict[int, set[str]] = {}
+            for text, group in zip(batch.column("text"), batch.column("group").to_pylist(), strict=True):
+                asked.setdefault(group, set()).update(set(cut(text.as_py())) - known)
+            rows = [(g, w) for g, ws in asked.items() for w in ws if len(w) <= LONG_WORD]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())],
+                names=["group", "word"],
+            )
+
+    return rare
 
 
 def decoded(ids, vocabulary: Vocabulary) -> str:
@@ -239,43 +280,55 @@ def decoded(ids, vocabulary: Vocabulary) -> str:
     return full[1:] if vocabulary.dummy_prefix and full.startswith(" ") else full
 
 
-def _assemble(cut: Cutter, vocabulary: Vocabulary):
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of an array of lists."""
+    return lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+
+
+def _assemble(cut: Cutter, vocabulary: Vocabulary, frequent):
     def assemble(key: tuple, docs: pa.Table, paths: pa.Table) -> pa.Table:
-        words = dict(zip(paths.column("word").to_pylist(), range(paths.num_rows), strict=True))
-        listed = paths.column("piece_ids").combine_chunks()
-        if isinstance(listed, pa.ChunkedArray):
-            listed = pa.concat_arrays(listed.chunks) if listed.num_chunks else pa.array([], listed.type)
-        offsets = listed.offsets.to_numpy().astype(np.int64)
-        values = listed.values.to_numpy()
-        sizes, first = np.diff(offsets), offsets[:-1]
-        extra: dict[str, list[int]] = {}
+        common, bounds, values = frequent.value
+        rare_bounds, rare_values = _flat(pa.concat_arrays(
+            [c.cast(pa.list_(pa.int32())) for c in paths.column("piece_ids").chunks]
+            or [pa.array([], pa.list_(pa.int32()))]
+        ))
+        words = {w: len(common) + k for k, w in enumerate(paths.column("word").to_pylist())}
+        first = np.concatenate([bounds[:-1], rare_bounds[:-1] + len(values)])
+        sizes = np.concatenate([np.diff(bounds), np.diff(rare_bounds)])
+        extra: list[list[int]] = []  # words beyond the relation
         ids_of_docs, counts, same = [], [], []
+        values = np.concatenate([values, rare_values])
+
+        def place(word: str) -> int:
+            at = words.get(word)
+            if at is None:
+                at = words[word] = -len(extra) - 1
+                extra.append(viterbi(word, vocabulary))
+            return at
+
         for value in docs.column("text"):
             text = value.as_py()
             cuts = cut(text)
-            at = np.fromiter((words.get(w, -1) for w in cuts), np.int64, len(cuts))
-            if (at >= 0).all():
+            places = [common.get(w, -1) for w in cuts]
+            at = np.array(places, np.int64)
+            long = False
+            for k in np.flatnonzero(at < 0).tolist():
+                at[k] = place(cuts[k])
+                long = long or at[k] < 0
+            if long:
+                parts = [extra[-k - 1] if k < 0 else values[first[k] : first[k] + sizes[k]] for k in at.tolist()]
+                ids = np.concatenate([np.asarray(part, np.int32) for part in parts])
+            else:
                 n = sizes[at]
                 ends = np.cumsum(n)
                 flat = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
                 ids = values[flat]
-            else:
-                ids = None
-            if ids is None or (ids < 0).any():  # a long word or an unknown character
-                ids = []
-                for w, k in zip(cuts, at, strict=True):
-                    if w not in extra:
-                        part = values[first[k] : first[k] + sizes[k]] if k >= 0 else None
-                        extra[w] = part.tolist() if part is not None and (part >= 0).all() else viterbi(w, vocabulary)
-                    ids += extra[w]
-                if len(extra) > 100_000:
-                    extra.clear()
-            ids_of_docs.append(np.asarray(ids, np.int32))
-            counts.append(len(ids_of_docs[-1]))
-            same.append(decoded(ids_of_docs[-1].tolist(), vocabulary) == (text or ""))
+            ids_of_docs.append(ids.astype(np.int32, copy=False))
+            counts.append(len(ids))
+            same.append(decoded(ids.tolist(), vocabulary) == (text or ""))
         flat_ids = np.concatenate(ids_of_docs) if ids_of_docs else np.empty(0, np.int32)
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat_ids, pa.int32()))
+        bounds_of_docs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(bounds_of_docs), pa.array(flat_ids, pa.int32()))
         return pa.table({"doc_id": docs.column("doc_id"), "ids": ids, "decodes": pa.array(same, pa.bool_())})
 
     return assemble
@@ -287,31 +340,45 @@ def encode(
     doc_id: str = "doc_id",
     text: str = "text",
     group_bytes: int = GROUP_BYTES,
+    frequent_words: int = FREQUENT_WORDS,
 ) -> DataFrame:
     """(doc_id, ids, decodes) of every row; ``decodes`` says whether the ids give the text back.
 
     Null and empty texts have no ids.  Repeated rows are encoded each; a null id stays null.  A literal
-    U+2581 is taken for a space, as the library does; only such texts do not decode.
+    U+2581 is taken for a space, as the library does; only such texts do not decode.  An empty table gives no rows;
+    other columns are left out.  Texts of any length are encoded whole.
+
+    Every distinct word goes through the lattice once.  ``frequent_words`` bounds what is sent to
+    each task; the paths of all other words travel to the groups of documents that hold them.
     """
     spark = docs.sparkSession
     texts = columns(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    cut = Cutter(vocabulary)
+    words = texts.select("text").mapInArrow(_counted(cut), "word string, n bigint")
+    words = words.groupBy("word").agg(F.sum("n").alias("n"))
+    # An exchange by word follows in the fold; the counts go along.
+    paths = best_paths(words.select("word"), piece_table(spark, vocabulary), vocabulary.longest, vocabulary.unknown_score)
+    paths = paths.select("word", piece_ids(F.col("path"), F.col("word"), vocabulary).alias("piece_ids"))
+    paths = written(paths.join(words, "word"))
+    top = paths.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(frequent_words)
+    rows = top.select("word", F.col("piece_ids").cast("array<int>").alias("piece_ids")).toArrow()
+    lists = pa.concat_arrays(
+        [c.cast(pa.list_(pa.int32())) for c in rows.column(1).chunks] or [pa.array([], pa.list_(pa.int32()))]
+    )
+    numbered = {w: k for k, w in enumerate(rows.column(0).to_pylist())}
+    frequent = spark.sparkContext.broadcast((numbered, *_flat(lists)))
+
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + int(size // group_bytes)
     dealt = texts.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups).cast("long")))
-    dealt = dealt.repartition(F.col("group"))
-    cut = Cutter(vocabulary)
-    # One shuffle of the texts serves the words and the assembly.
-    words = dealt.mapInArrow(_words_of_groups(cut), "group long, word string").repartition(F.col("word"))
-    # The filter is always true; it keeps the group, so that one exchange of words serves both uses.
-    distinct = words.groupBy("word").agg(F.min("group").alias("one")).filter("one >= 0").select("word")
-    paths = best_paths(distinct, piece_table(spark, vocabulary), vocabulary.longest, vocabulary.unknown_score)
-    met = words.join(paths.select("word", F.col("path.id").alias("piece_ids")), "word")
-    met = met.select("group", "word", "piece_ids")
+    dealt = dealt.repartition(F.col("group"))  # one shuffle of the texts serves questions and assembly
+    asked = dealt.select("group", "text").mapInArrow(_rare_words(cut, frequent), "group long, word string")
+    met = asked.distinct().join(paths.select("word", "piece_ids"), "word")
     return (
         dealt.groupBy("group")
         .cogroup(met.groupBy("group"))
         .applyInArrow(
-            _assemble(cut, vocabulary),
+            _assemble(cut, vocabulary, frequent),
             dealt.select("doc_id").schema.add("ids", ArrayType(IntegerType())).add("decodes", "boolean"),
         )
     )
