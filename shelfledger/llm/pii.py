@@ -18,20 +18,30 @@ from shelfledger.llm.common import drop_table, write_table
 
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
-_TITLE = "|".join((*FEMALE, *MALE))
+#: Titles of either gender: their names get endings of neither.
+NEUTRAL = ("Dr", "Prof", "Mx", "Доктор", "Профессор")
 
-#: Patterns by type; the first that fits a mention names its type.
+
+def _titles(names: tuple[str, ...]) -> str:
+    """The titles as written here or in capitals."""
+    return "|".join(dict.fromkeys(form for name in names for form in (name, name.upper())))
+
+
+_TITLE = _titles((*FEMALE, *MALE, *NEUTRAL))
+
+#: Patterns by type; the first that fits a mention names its type.  Their repeated groups are possessive, so a
+#: match needs no stack, and long runs are bounded: a local part of 64 characters, labels of 63, keys of 512.
 PATTERNS = {
-    "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]++@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]{1,64}+@[\p{L}\d-]{1,63}+(?:\.[\p{L}\d-]{1,63}+){1,126}+",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,512}+|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])(?=[a-fA-F]{0,512}\d)[0-9a-fA-F]{32,512}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)"
     r"|(?<![\d+])\+\d{8,15}(?!\d)",
-    "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?(?![\p{{L}}\d])",
+    "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?(?![\p{{L}}\d])",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Cheap tests, one of which every text with an entity other than a name passes.
@@ -48,8 +58,11 @@ ENDINGS = {
     ("latin", "f"): "na", ("latin", "m"): "ron",
     ("cyrillic", "f"): "на", ("cyrillic", "m"): "н",
     ("greek", "f"): "να", ("greek", "m"): "νος",
+    ("latin", "n"): "li", ("cyrillic", "n"): "ко", ("greek", "n"): "ου",
 }
 MAX_ROUNDS = 50
+#: From this round on, addresses and social security numbers come from their whole range.
+WIDE_ROUND = 5
 
 
 # --- detection ------------------------------------------------------------------------------
@@ -82,8 +95,9 @@ def _name(mention: Column) -> Column:
 
 
 def _gender(mention: Column) -> Column:
-    female = mention.rlike(rf"^(?:{'|'.join(FEMALE)})\.? ")
-    return F.when(female, F.lit("f")).otherwise(F.lit("m"))
+    female = mention.rlike(rf"^(?:{_titles(FEMALE)})\.? ")
+    neutral = mention.rlike(rf"^(?:{_titles(NEUTRAL)})\.? ")
+    return F.when(female, F.lit("f")).when(neutral, F.lit("n")).otherwise(F.lit("m"))
 
 
 def _script(text: Column) -> Column:
@@ -193,7 +207,13 @@ def _made_up_name(key: str, norm: Column, round_: Column) -> Column:
     for which in SYLLABLES:
         own = _Stream(key, F.lit("surname"), surname, round_, F.lit(200))
         last = F.initcap(_syllables(own, which, 0, F.least(round_ + 3, F.lit(80))))
-        for sex in ("f", "m"):
+        if which == "cyrillic":  # surnames that show a gender go on showing it
+            shows = surname.rlike("(?:ова|ева|ина|ая)$")
+            last = F.concat(last, F.when(shows, F.lit("ова")).otherwise(F.lit("")))
+        half = _Stream(key, F.lit("second surname"), surname, round_, F.lit(200))
+        second = F.initcap(_syllables(half, which, 0, F.lit(2)))
+        last = F.when(surname.rlike(r"\p{L}-\p{L}"), F.concat_ws("-", last, second)).otherwise(last)
+        for sex in ("f", "m", "n"):
             first = _Stream(key, F.lit(f"given {sex}"), given, F.lit(0), F.lit(20))
             called = F.initcap(F.concat(_syllables(first, which, 0, F.lit(2)), F.lit(ENDINGS[which, sex])))
             full = F.when(given.isNull(), last).otherwise(F.concat_ws(" ", called, last))
@@ -205,6 +225,9 @@ def surrogate(key: str, kind: Column, norm: Column, round_: Column) -> Column:
     """Normalised surrogate of a normalised entity."""
     stream = _Stream(key, kind, norm, round_, F.length(norm) + 8)
     octet = [stream.byte(k).cast("string") for k in (0, 1, 2)]
+    # Private addresses and unissued numbers first; entities that find them taken draw from all.
+    wide = round_ >= WIDE_ROUND
+    network = F.when(wide, F.lit(1) + stream.byte(3) % 223).otherwise(F.lit(10)).cast("string")
     local = F.substring_index(norm, "@", 1)
     host = (stream.byte(F.length(norm) + 1) * 256 + stream.byte(F.length(norm) + 2)).cast("string")
     domain = F.get(F.array(F.lit("com"), F.lit("org"), F.lit("net")), stream.byte(F.length(norm) + 3) % 3)
@@ -214,7 +237,8 @@ def surrogate(key: str, kind: Column, norm: Column, round_: Column) -> Column:
         .when(kind == "hex", hexes)
         .when(kind == "key", _shaped(norm, stream, keep=4))
         .when(kind == "iban", _shaped(norm, stream, keep=2))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *octet))
+        .when(kind == "ip", F.concat_ws(".", network, *octet))
+        .when((kind == "ssn") & wide, _shaped(norm, stream))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_shaped(norm, stream), 2, 99)))
         .when(kind == "card", _card(norm, stream))
         .when(kind == "phone", _shaped(norm, stream, keep=2))
@@ -246,6 +270,7 @@ def rendered(kind: Column, mention: Column, drawn: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn", "phone"), fill(digits, r"[^0-9]"))
         .when(kind == "iban", fill(drawn, " "))
+        .when((kind == "name") & loud, F.concat(body, F.upper(drawn)))
         .when(kind == "name", F.concat(body, drawn))
         .when(kind.isin("email", "hex") & loud, F.upper(drawn))
         .otherwise(drawn)
@@ -315,7 +340,9 @@ def replaced(
 
     The first frame has all rows and columns of ``docs``; only ``text`` changes.  The second has
     doc_id, place, kind, mention and surrogate of each entity.  Null and empty texts stay as they
-    are, repeated rows are treated alike, and a null id is a value like any other.
+    are, repeated rows are treated alike, and a null id is a value like any other.  An empty table gives two empty
+    frames.  Texts of any length are searched whole.  Columns that begin with two underscores are
+    for the operator itself; all others may have any name.
     """
     found, _ = write_table(entity_mentions(docs, doc_id, text))
     table = surrogate_table(found, key)

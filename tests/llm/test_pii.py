@@ -1,3 +1,4 @@
+import time
 import re
 
 import pytest
@@ -124,3 +125,26 @@ def test_given_table(spark):
                 assert m not in after[k], (name, k, m)
                 touched.add(k)
     assert touched and {k for k in before if before[k] != after[k]} == touched
+
+
+HOSTILE = [
+    "mail a@b" + ".c" * 500_000, "a" * 1_000_000 + "@b.c", "f0" * 500_000, "sk-" + "a" * 1_000_000, "Mr A" + "a" * 1_000_000,
+    "1." * 500_000, "1-" * 500_000, "+1 " * 300_000, "a@" * 500_000, "DE00" + " AAAA" * 200_000,
+]
+
+
+def test_hostile_texts_end(spark):
+    docs = spark.createDataFrame(list(enumerate(HOSTILE)), "doc_id int, text string").repartition(4)
+    texts, _ = P.replaced(docs, "k")
+    began = time.time()
+    assert {r["doc_id"]: r["n"] for r in texts.selectExpr("doc_id", "length(text) n").collect()}.keys() == set(range(10))
+    assert time.time() - began < 60
+
+
+def test_names_keep_case_gender_and_hyphens(spark):
+    rows = [(1, "MR SMITH met Mr Smith, Dr. Brown and Dr Brown."), (2, "Госпожа Иванова и Mme Curie-Joliot")]
+    _, what = P.replaced(spark.createDataFrame(rows, "doc_id int, text string"), "k")
+    shown = {r.mention: r.surrogate for r in what.collect()}
+    assert shown["MR SMITH"] == shown["Mr Smith"].upper() and shown["MR SMITH"].startswith("MR ")
+    assert shown["Dr. Brown"].split()[-1] == shown["Dr Brown"].split()[-1] != "Brown"
+    assert shown["Госпожа Иванова"].endswith("ова") and "-" in shown["Mme Curie-Joliot"]
