@@ -27,6 +27,8 @@ MIN_MATCH = 5
 COVERAGE = 0.8
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 16_000_000
+#: Pairs of places that are looked at together.
+PAIRS = 1_000_000
 
 _TOKEN = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -76,53 +78,100 @@ class ItemIndex:
             places.append(np.arange(len(h)))
             self.item_ids.append(item_id)
             self.items.append(ids)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
-        self.places = np.concatenate(places) if places else np.empty(0, np.int64)
-        order = np.lexsort((self.places, self.owners, self.hashes))
-        self.hashes, self.owners, self.places = (
-            self.hashes[order],
-            self.owners[order],
-            self.places[order],
-        )
-
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in item, place in document) of every shared window, checked by token."""
+        joined = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        place = np.concatenate(places) if places else np.empty(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([len(item) for item in self.items], dtype=np.int64)])
+        self.tokens = np.concatenate(self.items) if self.items else np.empty(0, np.int64)
+        before = np.where(place > 0, self.tokens[self.starts[owner] + np.maximum(place, 1) - 1], 0) if len(place) else place
+        self.hashes, which = np.unique(joined, return_inverse=True)
+        # Windows by hash, then by the token before them: 0 at the beginning of an item.
+        self.step = len(self.vocabulary) + 2
+        keys = which.astype(np.int64) * self.step + before
+        order = np.lexsort((place, owner, keys))
+        self.keys, self.owners, self.places = keys[order], owner[order], place[order]
+
+    def matches(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(item, place in item, place in document, tokens) of the maximal common runs, some at a time.
+
+        A run begins where the tokens before two shared windows differ.  Windows with an equal token before
+        them are left out by range, so a text of one repeated word costs a few runs per token, not
+        all pairs of its windows; every run is confirmed token by token.
+        """
         size = self.min_match
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         full = np.flatnonzero(known[size:] - known[:-size] == size)
         h = window_hashes(ids, size)[full]
-        low = np.searchsorted(self.hashes, h, "left")
-        found = low < len(self.hashes)
-        found[found] = self.hashes[low[found]] == h[found]
-        full, low, h = full[found], low[found], h[found]
-        counts = np.searchsorted(self.hashes, h, "right") - low
-        each = np.repeat(np.arange(len(full)), counts)
-        at = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return self.owners[at], self.places[at], full[each]
+        which = np.searchsorted(self.hashes, h)
+        found = which < len(self.hashes)
+        found[found] = self.hashes[which[found]] == h[found]
+        full, which = full[found], which[found].astype(np.int64)
+        # No token stands before the first one, and an unknown token differs from all: nothing is left out.
+        before = np.where(full > 0, ids[full - 1], 0)
+        own = np.where(before > 0, before, self.step - 1) + which * self.step
+        low, high = (np.searchsorted(self.keys, (which + k) * self.step) for k in (0, 1))
+        left, right = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+        counts = (left - low) + (high - right)
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(full):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = counts[at:end]
+            each = np.repeat(np.arange(at, end), n)
+            k = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            first = left[each] - low[each]
+            k = np.where(k < first, low[each] + k, right[each] + k - first)
+            owner, place, doc = self.owners[k], self.places[k], full[each]
+            yield owner, place, doc, self._lengths(owner, place, doc, ids)
+            at = end
+
+    def _lengths(
+        self, owner: np.ndarray, place: np.ndarray, doc: np.ndarray, ids: np.ndarray
+    ) -> np.ndarray:
+        """Equal tokens from two places on."""
+        p, d, last = self.starts[owner] + place, doc.copy(), self.starts[owner + 1]
+        lengths = np.zeros(len(p), np.int64)
+        going = np.arange(len(p))
+        while going.size:
+            inside = (p[going] < last[going]) & (d[going] < len(ids))
+            going = going[inside]
+            going = going[self.tokens[p[going]] == ids[d[going]]]
+            lengths[going] += 1
+            p[going] += 1
+            d[going] += 1
+        return lengths
 
     def hits(self, text: str | None, coverage: float) -> list[dict]:
         words = tokens_of(text)
         if len(words) < self.min_match or not self.items:
             return []
         ids = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), np.int64, len(words))
-        owners, places, at = self.seeds(ids)
+        runs = [
+            tuple(column[lengths >= self.min_match] for column in (owner, place, doc, lengths))
+            for owner, place, doc, lengths in self.matches(ids)
+        ]
+        if not runs:
+            return []
+        owners, places, at, lengths = (np.concatenate(c) for c in zip(*runs, strict=True))
+        order = np.argsort(owners, kind="stable")
+        found, first = np.unique(owners[order], return_index=True)
         out = []
-        for item in np.unique(owners):
-            mine = owners == item
-            tokens = self.items[item]
-            reach = np.unique((places[mine][:, None] + np.arange(self.min_match)).ravel())
-            if len(reach) < coverage * len(tokens):
+        for item, mine in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            size = len(self.items[item])
+            edges = np.zeros(size + 1, np.int64)
+            np.add.at(edges, places[mine], 1)
+            np.add.at(edges, places[mine] + lengths[mine], -1)
+            if (np.cumsum(edges[:-1]) > 0).sum() < coverage * size:
                 continue
-            tiles = tile(tokens, ids, places[mine], at[mine], self.min_match)
+            tiles = tile(size, len(ids), places[mine], at[mine], lengths[mine], self.min_match)
             matched = sum(length for _, _, length in tiles)
-            if matched >= coverage * len(tokens) and tiles:
+            if matched >= coverage * size and tiles:
                 out.append(
                     {
                         "item_id": self.item_ids[item],
-                        "coverage": matched / len(tokens),
+                        "coverage": matched / size,
                         "matched_tokens": matched,
-                        "item_tokens": len(tokens),
+                        "item_tokens": size,
                         "tiles": len(tiles),
                         "longest_tile": max(length for _, _, length in tiles),
                     }
@@ -131,50 +180,38 @@ class ItemIndex:
 
 
 def tile(
-    item: np.ndarray, doc: np.ndarray, places: np.ndarray, at: np.ndarray, size: int
+    item_size: int, doc_size: int, places: np.ndarray, at: np.ndarray, lengths: np.ndarray, size: int
 ) -> list[tuple[int, int, int]]:
     """Greedy tiling: (place in item, place in document, tokens), longest first.
 
-    ``places`` and ``at`` are the shared windows.  Ties go to the earliest place in the
-    item, then in the document.
+    The input are the maximal common runs.  Ties go to the earliest place in the item, then in the document.
     """
-    order = np.lexsort((at, at - places))
-    places, at = places[order], at[order]
-    checked = np.ones(len(at), bool)  # equal hashes are confirmed token by token
-    for k in range(size):
-        checked &= item[places + k] == doc[at + k]
-    places, at = places[checked], at[checked]
-    if not len(at):
-        return []
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(at - places) != 0)
-    heads = np.flatnonzero(new)
-    lengths = np.diff(np.append(heads, len(at))) + size - 1
-    queue = [
-        (-int(n), int(p), int(d))
-        for n, p, d in zip(lengths, places[heads], at[heads], strict=True)
-    ]
+    queue = [(-n, p, d) for n, p, d in zip(lengths.tolist(), places.tolist(), at.tolist(), strict=True)]
     heapq.heapify(queue)
-    in_item, in_doc, tiles = np.zeros(len(item), bool), set(), []
-    while queue and not in_item.all():
+    in_item, in_doc = np.zeros(item_size, bool), np.zeros(doc_size, bool)
+    tiles: list[tuple[int, int, int]] = []
+    room = item_size  # longest run of the item that no tile covers
+    while queue and room >= size:
         n, p, d = heapq.heappop(queue)
-        free = [not in_item[p + k] and d + k not in in_doc for k in range(-n)]
-        if all(free):
+        taken = in_item[p : p - n] | in_doc[d : d - n]
+        if not taken.any():
             in_item[p : p - n] = True
-            in_doc.update(range(d, d - n))
+            in_doc[d : d - n] = True
             tiles.append((p, d, -n))
+            room = max((b - a for a, b in _free(in_item)), default=0)
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= size:
-                    heapq.heappush(queue, (start - k, p + start, d + start))
-                start = None
+        for a, b in _free(taken):
+            if b - a >= size:
+                heapq.heappush(queue, (a - b, p + a, d + a))
     return tiles
 
 
+def _free(taken: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (start, end) that are not taken."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def hits_in(text: str, index: ItemIndex, coverage: float) -> Column:
     """Array of the items that ``text`` holds."""
 
@@ -215,7 +252,8 @@ def contaminated(
 
     Tokens are runs of word characters, in lower case.  An item with fewer than ``min_match``
     tokens matches nothing.  Null and empty texts hold nothing.  Repeated documents are
-    reported each; repeated items once.  A null id stays null in the result.
+    reported each; repeated items once.  A null id stays null in the result.  Texts of any length are
+    searched whole; an empty table gives no rows; other columns of both tables are left out.
     """
     out = None
     for items in item_blocks(benchmark, item_id, item_text, block_chars):
@@ -240,9 +278,17 @@ def clean_documents(
     coverage: float = COVERAGE,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows are judged each, repeated ones alike; null and empty texts are kept.  An empty benchmark keeps
+    all rows.  With several blocks of items, what one block leaves is written before the next one.
+    """
+    first = True
     for items in item_blocks(benchmark, item_id, item_text, block_chars):
+        if not first:
+            docs = written(docs)  # one index in memory at a time
         index = ItemIndex(items, min_match)
         kept = docs.select("*", hits_in(text, index, coverage).alias("__hits"))
         docs = kept.filter(F.size("__hits") == 0).drop("__hits")
+        first = False
     return docs

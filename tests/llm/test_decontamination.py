@@ -1,3 +1,6 @@
+import resource
+import time
+
 import numpy as np
 import pytest
 
@@ -90,3 +93,29 @@ def test_given_tables_against_text_search(spark, folder):
         if " ".join(D.tokens_of(i.text)) in " ".join(D.tokens_of(d.text))
     }
     assert plain <= got and len(got) <= 1.05 * len(plain)
+
+
+@pytest.mark.parametrize(
+    ("item", "doc"),
+    [
+        (["a"] * 300, ["a"] * 1_000_000),
+        (["a"] * 150 + ["b"] + ["a"] * 150, ["a"] * 300_000),
+        (["a", "b"] * 200, ["a", "b"] * 200_000),
+    ],
+)
+def test_repeated_words_need_no_pairs(item, doc):
+    index = D.ItemIndex([(1, " ".join(item))], 5)
+    began, memory = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    hits = index.hits(" ".join(doc), 0.8)
+    assert [h["item_id"] for h in hits] == [1]
+    assert time.time() - began < 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - memory < 500_000
+
+
+def test_tiling_of_repetitive_texts_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        item = list(rng.choice(["a", "b"], 14, p=[0.8, 0.2]))
+        doc = list(rng.choice(["a", "b", "c"], 30, p=[0.6, 0.2, 0.2]))
+        hits = D.ItemIndex([(1, " ".join(item))], 3).hits(" ".join(doc), 0.0001)
+        assert (hits[0]["matched_tokens"] if hits else 0) == brute_tiles(item, doc, 3)
