@@ -1,6 +1,6 @@
 r"""Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Text statistics give each document a few junk ratios.  On all labelled documents, the cutoff of
+Text statistics give each document a few junk ratios.  On all labelled texts, the cutoff of
 every (stratum, rule) is the strictest one whose false rejection rate is proven small: the exact
 binomial test of "more than ``risk`` of good documents are rejected" must be
 refused.  Cutoffs of a rule are nested, so they are tested in a fixed sequence from lenient to
@@ -8,7 +8,8 @@ strict at no further cost; strata and rules share the error probability by Bonfe
 The risk is divided by the number of rules, so that all rules together reject
 at most ``risk`` of the good documents of a stratum, with probability 1 - ``error``.
 
-A (stratum, rule) without proof rejects nothing.
+A trial is a distinct text of a stratum: copies are no independent draws, so however many labelled documents hold
+a text, it counts once, and not at all if their labels disagree.  A (stratum, rule) without proof rejects nothing.
 """
 
 from __future__ import annotations
@@ -183,7 +184,9 @@ def judge(
     A null text counts as empty and fails the base rules.  A null stratum is a stratum of its own.
     Labels without id or value, and ids with two different labels, prove nothing.
     Repeated documents are judged each.  Without labels only the base rules hold.
-    Every label of a document counts for the proof, whatever their number.
+    Every labelled text counts for the proof, once in each stratum; copies that are labelled differently prove
+    nothing.  An empty table of documents gives no rows.  Whole texts are counted, whatever their length; other
+    columns of both tables, whatever their names, are left out.
     """
     group = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
     known = columns(labels, doc_id, label).filter(
@@ -194,14 +197,20 @@ def judge(
     known = known.select(F.col(doc_id).alias("doc_id"), (F.col("low") > 0).alias("good"))
 
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), group)
-    # The stratum travels in the key, so that statistics() sees one id column.
-    keyed = texts.select(F.struct("doc_id", "stratum").alias("doc_id"), "text")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest")
+    # Stratum and digest travel in the key, so that statistics() sees one id column.
+    keyed = texts.select(F.struct("doc_id", "stratum", digest).alias("doc_id"), "text")
     # Written once for proof and verdict: labels meet counts, no text is read twice or shuffled.
     judged = written(ratios(statistics(keyed)))
-    judged = judged.withColumn("stratum", F.col("doc_id.stratum")).withColumn("doc_id", F.col("doc_id.doc_id"))
-    cutoffs = proven_cutoffs(judged.select("doc_id", "stratum", *RULES).join(known, "doc_id"), control)
+    judged = judged.withColumns({"stratum": F.col("doc_id.stratum"), "digest": F.col("doc_id.digest")})
+    judged = judged.withColumn("doc_id", F.col("doc_id.doc_id"))
+    trials = judged.select("doc_id", "stratum", "digest", *RULES).join(known, "doc_id")
+    trials = trials.groupBy("stratum", "digest").agg(
+        F.min("good").alias("good"), F.max("good").alias("any_good"), *[F.max(r).alias(r) for r in RULES]
+    )
+    cutoffs = proven_cutoffs(trials.filter("good = any_good"), control)
 
-    judged = judged.join(F.broadcast(cutoffs), "stratum", "left")
+    judged = judged.join(cutoffs, "stratum", "left")
     above = F.lit(False)
     for r in RULES:
         above = above | F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False))
@@ -254,17 +263,19 @@ WITH base AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1]))::BIGINT AS n_stutters,
-    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, text
   FROM split LEFT JOIN covered USING (row_no)
 ), judged AS (
   SELECT *, (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}) AS base_failed,
     {ratio}
   FROM stats
 ), known AS (
-  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL
-  GROUP BY doc_id HAVING min(quality) = max(quality) AND min(quality) > 0
+  SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL
+  GROUP BY doc_id HAVING min(quality) = max(quality)
 ), holdout AS (
-  SELECT j.* FROM judged j JOIN known USING (doc_id)
+  SELECT stratum, {", ".join(f"any_value({r}) AS {r}" for r in RULES)}
+  FROM judged JOIN known USING (doc_id)
+  GROUP BY stratum, text HAVING bool_and(good)
 ), shares AS ({unpivot}
 ), counts AS (
   SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS x

@@ -84,7 +84,7 @@ def test_edge_cases(spark):
 
 def test_labels_without_a_document_take_no_place_in_the_proof(spark):
     text = " ".join(f"w{k}" for k in range(30))
-    docs = spark.range(400).selectExpr("id AS doc_id", f"'{text}' AS text", "'en' AS lang")
+    docs = spark.range(400).selectExpr("id AS doc_id", f"concat('{text} ', id) AS text", "'en' AS lang")
     labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
     found = R.judge(docs, labels).collect()
     assert len(found) == 400 and {r.symbol_share_cutoff for r in found} == {0}  # 349 good ones prove it
@@ -112,3 +112,16 @@ def test_few_good_documents_are_rejected(spark):
     rate = (~found[found.quality == 1].kept).groupby(found.stratum).mean()
     assert (rate <= R.RISK).all()
     assert (~found[found.quality == 0].kept).mean() > 0.5
+
+
+def test_copies_of_a_text_are_one_trial(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    copies = spark.range(600).selectExpr("id AS doc_id", f"'{text}' AS text", "'en' AS lang")
+    labels = spark.range(600).selectExpr("id AS doc_id", "1 AS quality")
+    assert {r.symbol_share_cutoff for r in R.judge(copies, labels).collect()} == {None}
+    texts = copies.selectExpr("doc_id", "concat(text, ' ', doc_id div 2) AS text", "lang")  # 300 texts, twice each
+    split = labels.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")  # both labels for each text
+    assert {r.symbol_share_cutoff for r in R.judge(texts, split).collect()} == {None}
+    assert {r.symbol_share_cutoff for r in R.judge(texts.union(texts), labels).collect()} == {None}
+    many = copies.selectExpr("doc_id", "concat(text, ' ', doc_id) AS text", "lang")
+    assert {r.symbol_share_cutoff for r in R.judge(many, labels).collect()} == {0}
