@@ -20,6 +20,24 @@ NARRATORS = ("system",)
 UNNAMED = "unknown"
 
 
+def _speaker(name: Column) -> Column:
+    """Speaker without outer spaces; one without a name is called UNNAMED, and who is called so gets a mark."""
+    name = F.nullif(F.trim(name), F.lit(""))
+    marked = F.when(name.rlike(f"^{UNNAMED}#*$"), F.concat(name, F.lit("#"))).otherwise(name)
+    return F.coalesce(marked, F.lit(UNNAMED))
+
+
+def _shown(speaker: Column) -> Column:
+    """Name of a user in a turn's head, a different one for every speaker.
+
+    White space and marker characters become underscores; a name changed by that, or with a # of its
+    own, is followed by # and a digest of the speaker.
+    """
+    plain = F.regexp_replace(speaker, r"[\s<>|]+", "_")
+    digest = F.concat(plain, F.lit("#"), F.substring(F.md5(speaker.cast("binary")), 1, 12))
+    return F.when(plain.eqNullSafe(speaker) & ~speaker.contains("#"), plain).otherwise(digest)
+
+
 def _clean(text: Column) -> Column:
     """Markers inside a text are broken up, so that they cannot end a turn."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|", "< |")
@@ -50,14 +68,16 @@ def rotate(
     ``train_start`` to ``train_end`` of the segment that the mask keeps (both 0 if none): the content
     and the end marker.
 
-    Null and empty texts give empty turns, a null speaker is called ``unknown``, null ids form one conversation,
-    null turns stay null.  Repeated messages are rendered each.  A conversation
-    of narrators alone has no perspective and no rows.
+    Null and empty texts give empty turns, a null or blank speaker is called ``unknown``, null ids form one conversation,
+    null turns stay null.  Different speakers have different names, also if their names differ in white space only, or
+    if one is called ``unknown``.  Repeated messages are rendered each.  A conversation of narrators alone has no
+    perspective and no rows; neither has an empty table.  Texts of any length are rendered whole, and other columns,
+    whatever their names, are left out.
     """
     said = columns(conversations, conv_id, turn, speaker, text).select(
         F.col(conv_id).alias("conv_id"),
         F.col(turn).alias("turn"),
-        F.coalesce(F.nullif(F.trim(F.col(speaker)), F.lit("")), F.lit(UNNAMED)).alias("speaker"),
+        _speaker(F.col(speaker)).alias("speaker"),
         _clean(F.col(text)).alias("content"),
     )
     who = participants(said, narrators).select(F.col("conv_id").alias("of"), "perspective")
@@ -69,7 +89,7 @@ def rotate(
         {
             "role": role,
             "train": own,
-            "name": F.when(role == "user", F.regexp_replace("speaker", r"[\s<>|]+", "_")),
+            "name": F.when(role == "user", _shown(F.col("speaker"))),
         }
     )
     head = F.concat(
@@ -116,7 +136,9 @@ def oracle() -> str:
     """The same in DuckDB SQL."""
     return f"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), '{UNNAMED}') AS speaker,
+  SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN
+      trim(role) || CASE WHEN regexp_full_match(trim(role), '{UNNAMED}#*') THEN '#' ELSE '' END
+    ELSE '{UNNAMED}' END AS speaker,
     replace(coalesce(text, ''), '<|', '< |') AS content
   FROM conversations
 ), who AS (
@@ -126,7 +148,9 @@ WITH said AS (
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM said s JOIN who w ON s.conv_id IS NOT DISTINCT FROM w.conv_id
 ), named AS (
-  SELECT *, CASE WHEN role = 'user' THEN regexp_replace(speaker, '[\\s<>|]+', '_', 'g') END AS name FROM rows
+  SELECT *, CASE WHEN role = 'user' THEN regexp_replace(speaker, '[\\s<>|]+', '_', 'g')
+    || CASE WHEN regexp_matches(speaker, '[\\s<>|#]') THEN '#' || substr(md5(speaker), 1, 12) ELSE '' END
+    END AS name FROM rows
 ), headed AS (
   SELECT *, '{START}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM named
 )

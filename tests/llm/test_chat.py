@@ -45,6 +45,16 @@ def test_edge_cases(spark):
     assert C.rotate(frame(spark, [])).count() == 0
 
 
+def test_speakers_never_share_a_name(spark):
+    who = ["a b", "a_b", "a  b", "a|b", "a_b#0", None, "unknown", "unknown#", " a_b ", "x"]
+    rows = [(1, k, w, "t") for k, w in enumerate(who)]
+    found = C.rotate(frame(spark, rows)).toPandas()
+    assert found.perspective.nunique() == 9  # " a_b " is a_b
+    seen = found[(found.perspective == "x") & (found.role == "user")]
+    assert seen.name.nunique() == 8 and "a_b" in set(seen.name)
+    assert not seen.name.str.contains(r"[\s<>|]").any()
+
+
 def test_given_table_equals_sql(spark):
     from shelfledger.llm.queries import op6_chat_perspectives
     from tests.oracle import compare, connect
@@ -56,3 +66,16 @@ def test_given_table_equals_sql(spark):
     folder = "/root/testdata/sf0.01"
     n, problems = compare(spark, folder, Query, connect(folder))
     assert n and not problems
+
+
+def test_names_equal_sql(spark, tmp_path):
+    import duckdb
+
+    who = ["a b", "a_b", "a|b", "a_b#0", None, "unknown", "unknown#", "", "é x"]
+    rows = frame(spark, [(1, k, w, "t<|x") for k, w in enumerate(who)])
+    rows.toPandas().to_parquet(tmp_path / "c.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet'")
+    found = C.rotate(rows)
+    expected = connection.sql(C.oracle()).select(*found.columns).fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
