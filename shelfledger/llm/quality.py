@@ -30,14 +30,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shape_of(word: str) -> str:
-    """Letters to ``a`` or ``A``, digits to ``9``, runs shortened to one, at most 12 characters."""
+    """Letters to ``a`` or ``A``, digits to ``9``, runs of these shortened to one; the whole word counts."""
     out: list[str] = []
     for c in word:
         s = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != s or not c.isalnum():
             out.append(s)
-            if len(out) == 12:
-                break
     return "".join(out)
 
 
