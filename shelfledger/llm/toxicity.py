@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfledger.llm.common import columns, hashed_below, label_sample, written
+from shelfledger.llm.common import columns, label_sample, written
 from shelfledger.llm.quality import logistic_curve
 
 TRAIN_ROWS = 20_000
-#: Rows that set the extreme-value law and the score curve.
-CURVE_ROWS = 6_000
-#: Units kept by the model, those with the largest z first.
+#: Units kept by the model, those with the largest z first: the bound of what is sent to each task.
 MAX_UNITS = 20_000
 MIN_TOXIC_TEXTS = 5
 MIN_Z = 4.0
@@ -283,13 +281,16 @@ def learn(
     held: int = 0,
     train_rows: int = TRAIN_ROWS,
 ) -> Model:
-    """Fit outside the held-out fold.  Without labels of both classes no text is toxic."""
+    """Fit outside the held-out fold.  Without labels of both classes no text is toxic.
+
+    Counts, extreme-value law and score curve all use the same sample, at every size of the tables.
+    """
     chosen = written(
         label_sample(labels, label, folds=folds, held=held, rows=train_rows, doc_id=doc_id)
     )
     texts = columns(docs, doc_id, text)
     sample = texts.join(F.broadcast(chosen), doc_id).select(
-        text, F.col(label).cast("int").alias("label"), F.xxhash64(doc_id).alias("rank")
+        text, F.col(label).cast("int").alias("label")
     )
     # Copies of a text would count its chance words several times.
     sample = written(
@@ -302,16 +303,16 @@ def learn(
     prior = corpus_counts(texts, text, set(counts) - {""})
     model = Model(unit_scores(counts, prior))
     scan = F.pandas_udf(_scanner(model), "tokens int, segments array<double>, found array<double>")
-    part = sample.filter(hashed_below(F.col("rank"), CURVE_ROWS / max(sample.count(), 1)))
-    rows = part.select("label", scan(F.col(text)).alias("r")).select("label", "r.*").collect()
+    rows = sample.select("label", scan(F.col(text)).alias("r")).select("label", "r.*").collect()
     marks = np.array([r[0] for r in rows])
     tokens = np.array([r[1] for r in rows], np.float64)
     best = np.array([max(r[2], default=0.0) for r in rows])
     clean = (marks == 0) & (tokens > 0)
     if clean.any():
         own = np.array([s for r, c in zip(rows, clean, strict=True) if c for s in r[3]])
-        values = np.append(own, -model.gap)
-        weights = np.append(np.ones(len(own)), max(tokens[clean].sum() - len(own), 1.0))
+        distinct, times = np.unique(own, return_counts=True)
+        values = np.append(distinct, -model.gap)
+        weights = np.append(times.astype(float), max(tokens[clean].sum() - len(own), 1.0))
         model.rate, model.log_k = extreme_value_law(best[clean], tokens[clean], values, weights)
     evidence = np.array([model.evidence([(0, 0, s) for s in r[2]], r[1]) for r in rows])
     if len(set(marks.tolist())) == 2:
@@ -373,7 +374,8 @@ def detect(
 
     ``start`` and ``end`` are code points of the text, null where lower case changes its
     length.  Null, empty and wordless texts have no segment and the lowest score.
-    Repeated rows are scored each; a null id stays null.
+    Repeated rows are scored each; a null id stays null.  An empty table gives no rows; other columns are left
+    out; texts of any length are scanned whole.
     """
     found = columns(docs, doc_id, text).select(
         F.col(doc_id).alias("doc_id"), passages(model, text).alias("found")
