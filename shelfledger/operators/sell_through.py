@@ -13,17 +13,25 @@ MEASURES = ("begin_on_hand", "units_received", "units_sold")
 
 
 def sell_through(
-    snapshots: DataFrame, by_product: DataFrame, products: DataFrame, start: date, end: date
+    snapshots: DataFrame,
+    by_product: DataFrame,
+    products: DataFrame,
+    start: date,
+    end: date,
+    snapshot_days: list[date] | None = None,
 ) -> DataFrame:
     """Begin stock, received, sold and ratio per product.
 
-    Begin and end stock come from the latest snapshot on or before each bound.
-    Both days are scalar subqueries, so the snapshot table is scanned for those
-    two days only; stock and sales are stacked and summed once per product.
+    Begin and end stock come from the latest snapshot on or before each bound.  With
+    ``snapshot_days``, the days that a lake lists, both are literals and exactly two day folders are opened; without,
+    they are scalar subqueries over the day column of the whole table.  Stock and sales are stacked and
+    summed once per product.
     """
     day = F.col("snapshot_date")
 
     def latest(bound: date):
+        if snapshot_days is not None:
+            return F.lit(max((d for d in snapshot_days if d <= bound), default=None)).cast("date")
         return snapshots.where(day <= F.lit(bound)).agg(F.max("snapshot_date")).scalar()
 
     begin_day, end_day = latest(start), latest(end)

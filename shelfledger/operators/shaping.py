@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,14 +37,43 @@ def payment_methods(payments: DataFrame) -> DataFrame:
     )
 
 
+def of_days(
+    headers: DataFrame, column: str, start: date | None, end: date | None
+) -> DataFrame:
+    """Headers whose date text lies in [start, end], the whole last day included.
+
+    The text begins with YYYY-MM-DD, so days compare as text: the filter reaches the scan, and row groups of
+    other days are skipped.
+    """
+    if start is not None:
+        headers = headers.where(F.col(column) >= start.isoformat())
+    if end is not None:
+        headers = headers.where(F.col(column) < (end + timedelta(days=1)).isoformat())
+    return headers
+
+
+def of_headers(rows: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """Rows of the given headers only: a semi join, for which Spark filters the scan at run time."""
+    return rows.join(headers.select(key).distinct(), key, "left_semi")
+
+
 def pos_lines(
-    orders: DataFrame, lines: DataFrame, payments: DataFrame, products: DataFrame
+    orders: DataFrame,
+    lines: DataFrame,
+    payments: DataFrame,
+    products: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
 ) -> DataFrame:
     """Order lines with header, payment methods and product attributes.
 
     Orders without lines and lines without a product drop out; an order without
-    payments has ``[]``; an unknown product has brand ``Unknown``.
+    payments has ``[]``; an unknown product has brand ``Unknown``.  With a window of days
+    only its orders are taken, and only their lines and payments are gathered.
     """
+    orders = of_days(orders, "order_date", start, end)
+    if start is not None or end is not None:
+        payments = of_headers(payments, orders, "order_id")
     headers = orders.join(payment_methods(payments), "order_id", "left").withColumn(
         "payment_method_ids", F.nvl("payment_method_ids", F.lit("[]"))
     )
@@ -102,10 +131,7 @@ def invoice_lines(
 ) -> DataFrame:
     """Lines of posted documents of one type; the partner takes its role's name."""
     headers = moves.where((F.col("move_type") == move_type) & (F.col("state") == "posted"))
-    if start is not None:
-        headers = headers.where(F.col("move_date") >= start.isoformat())
-    if end is not None:
-        headers = headers.where(F.col("move_date") <= end.isoformat())
+    headers = of_days(headers, "move_date", start, end)
     tax_id, tax_ids_json = primary_tax(F.col("tax_ids"))
     return lines.join(
         headers.select("move_id", "move_name", "move_date", "partner_id", "partner_name"), "move_id"
@@ -175,8 +201,14 @@ def move_lines(
     pickings: DataFrame,
     picking_types: DataFrame,
     locations: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
 ) -> DataFrame:
-    """Done stock move lines with sign, type, partner side and reference resolved."""
+    """Done stock move lines with sign, type, partner side and reference resolved.
+
+    With a window of days only lines that moved on them are taken, before anything is joined.
+    """
+    lines = of_days(lines, "movement_date", start, end)
     move = moves.where(F.col("state") == "done").select(
         "move_id",
         F.col("name").alias("m_name"),

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from datetime import date, datetime, time, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfledger import constants as K
 from shelfledger.functions.columns import (
@@ -104,6 +104,48 @@ def ledger_deltas(
     )
 
 
+def close_of(day: date) -> datetime:
+    """Local moment at which the ledger of a day is cut."""
+    return datetime.combine(day, time(K.LEDGER_CUTOFF_HOUR))
+
+
+def ledger_closes(
+    opening: DataFrame,
+    moves: DataFrame,
+    opened_local: datetime,
+    closes: list[date],
+    pool: Iterable[int] = K.LEDGER_LOCATION_POOL,
+    zone: str = K.LOCAL_ZONE,
+) -> DataFrame:
+    """(date, product_id, on_hand_qty) at each of the given days, in order: stored ends of ledger periods.
+
+    ``opening`` holds (product_id, qty) at ``opened_local``, e.g. the close before the first one.  Moves are summed
+    per product and period first, then added up along the periods: a product has at most one row
+    per period in the ordered pass.
+    """
+    first, last = utc_of(opened_local, zone), utc_of(close_of(closes[-1]), zone)
+    ends = F.array(*[moment(utc_of(close_of(day), zone)) for day in closes])
+    period = F.size(F.filter(ends, lambda end: end < F.col("date")))
+    delta = pool_delta(
+        F.col("qty_moved"), F.col("location_src_id"), F.col("location_dest_id"), pool
+    )
+    inside = moves.where((F.col("date") > moment(first)) & (F.col("date") <= moment(last)))
+    steps = opening.select(
+        "product_id", F.lit(0).alias("period"), zero_if_null(F.col("qty")).alias("qty")
+    ).unionByName(inside.select("product_id", period.alias("period"), delta.alias("qty")))
+    summed = steps.groupBy("product_id", "period").agg(F.sum("qty").alias("qty"))
+    so_far = Window.partitionBy("product_id").orderBy("period")
+    known = summed.select(
+        "product_id",
+        F.sum("qty").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("on_hand_qty"),
+        F.col("period").alias("first"),
+        F.nvl(F.lead("period").over(so_far) - 1, F.lit(len(closes) - 1)).alias("last"),
+    )
+    days = F.array(*[F.lit(day) for day in closes])
+    held = F.explode(F.slice(days, F.col("first") + 1, F.col("last") - F.col("first") + 1))
+    return known.select(held.alias("date"), "product_id", "on_hand_qty")
+
+
 def ledger_stock(
     baseline: DataFrame,
     moves: DataFrame,
@@ -124,7 +166,7 @@ def ledger_stock(
     stock gives no rows.
     """
     lookback_days = max(1, lookback_days)
-    cutoff = datetime.combine(as_of, time(K.LEDGER_CUTOFF_HOUR))
+    cutoff = close_of(as_of)
     first_sale_day = as_of - timedelta(days=lookback_days - 1)
     deltas = _ledger_moves(moves, utc_of(baseline_local, zone), utc_of(cutoff, zone), pool)
     sold = sales.where(day_range(F.col("date"), first_sale_day, as_of))

@@ -7,16 +7,17 @@ job with a longer range, not a loop over days.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import date, timedelta
+from collections.abc import Callable, Iterable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from shelfledger import constants as K
+from shelfledger.functions.calendar import calendar
 from shelfledger.functions.columns import parse_day, parse_second
-from shelfledger.operators import cleaning, costs, profit, quality, refresh, sales
+from shelfledger.operators import cleaning, costs, profit, quality, refresh, sales, sell_through, stock
 from shelfledger.operators.shaping import normalise
-from shelfledger.schemas import COST_ROWS, PROFIT_LINES, RAW_TABLES
+from shelfledger.schemas import COST_ROWS, FACT_STOCK_SNAPSHOT, PROFIT_LINES, RAW_TABLES
 from shelfledger.session import cut_lineage
 from shelfledger.sources.files import read_beginning_costs
 from shelfledger.sources.lake import FOLDER_DAY, Lake
@@ -32,6 +33,7 @@ RAW_DAYS = {
 
 # The table that run_range writes last.
 LAST_TABLE = "agg_profit_daily_by_product"
+LEDGER_CLOSES = "fact_stock_ledger_close"
 EVENTS, SNAPSHOTS = "fact_product_cost_events", "fact_product_cost_latest_daily"
 
 
@@ -361,6 +363,91 @@ def update_sales_aggregates(lake: Lake, start: date, end: date) -> None:
     lake.replace("agg_sales_daily_by_principal", by_principal, start, end)
 
 
+# --- stock ledger ------------------------------------------------------------------------------
+
+
+def update_ledger_closes(
+    lake: Lake,
+    baseline: DataFrame,
+    start: date,
+    end: date,
+    baseline_local: datetime = K.LEDGER_BASELINE_LOCAL,
+    pool: Iterable[int] = K.LEDGER_LOCATION_POOL,
+    zone: str = K.LOCAL_ZONE,
+) -> list[date]:
+    """Closing stock on the first of each month that moves of [start, end] reach; returns the days written.
+
+    Starts from the last close before the range, or from the opening stock, and goes on to the last stored close,
+    so late moves reach every close behind them.  Moves before that close are not read.
+    """
+    closed = lake.days(LEDGER_CLOSES)
+    last = max([*closed, end])
+    firsts = [day for day in _days(start, last) if day.day == 1]
+    days = [day for day in firsts if stock.close_of(day) > baseline_local]
+    if not days:
+        return []
+    opening, opened = _ledger_opening(lake, baseline, days[0], baseline_local)
+    moves = lake.table("fact_inventory_moves", opened.date() - timedelta(days=1), last)
+    rows = stock.ledger_closes(opening, moves, opened, days, pool, zone)
+    lake.replace_days(lake.star(LEDGER_CLOSES), rows, days)
+    return days
+
+
+def _ledger_opening(
+    lake: Lake, baseline: DataFrame, before: date, baseline_local: datetime
+) -> tuple[DataFrame, datetime]:
+    """(product_id, qty) of the last close before a day, or the opening stock, and its local moment."""
+    closed = [d for d in lake.days(LEDGER_CLOSES) if d < before and stock.close_of(d) > baseline_local]
+    if not closed:
+        return baseline.select("product_id", "qty"), baseline_local
+    rows = lake.table(LEDGER_CLOSES, closed[-1], closed[-1])
+    return rows.select("product_id", F.col("on_hand_qty").alias("qty")), stock.close_of(closed[-1])
+
+
+def ledger_stock(
+    lake: Lake,
+    baseline: DataFrame,
+    as_of: date,
+    lookback_days: int = K.STOCK_LOOKBACK_DAYS,
+    baseline_local: datetime = K.LEDGER_BASELINE_LOCAL,
+    pool: Iterable[int] = K.LEDGER_LOCATION_POOL,
+    zone: str = K.LOCAL_ZONE,
+) -> DataFrame:
+    """Ledger stock from the last monthly close and the days since, however long the ledger is."""
+    after = as_of + timedelta(days=1)
+    opening, opened = _ledger_opening(lake, baseline, after, baseline_local)
+    first_sale = as_of - timedelta(days=max(1, lookback_days) - 1)
+    return stock.ledger_stock(
+        opening,
+        lake.table("fact_inventory_moves", opened.date() - timedelta(days=1), after),
+        sales.combined_sales(
+            lake.table("fact_sales", first_sale, as_of),
+            lake.table("fact_invoice_sales", first_sale, as_of),
+        ),
+        lake.table("dim_products"),
+        as_of,
+        lookback_days=lookback_days,
+        baseline_local=opened,
+        pool=pool,
+        zone=zone,
+    )
+
+
+def sell_through_report(lake: Lake, start: date, end: date) -> DataFrame:
+    """Sell-through of a period; of the snapshots, only the two days it needs are opened."""
+    stored = lake.days("fact_stock_on_hand_snapshot")
+    days = [max((d for d in stored if d <= bound), default=None) for bound in (start, end)]
+    path = lake.star("fact_stock_on_hand_snapshot")
+    return sell_through.sell_through(
+        lake.read(path, FACT_STOCK_SNAPSHOT, [day for day in days if day]),
+        lake.table("agg_sales_daily_by_product", start, end),
+        lake.table("dim_products"),
+        start,
+        end,
+        stored,
+    )
+
+
 # --- chains ------------------------------------------------------------------------------------
 
 
@@ -399,7 +486,10 @@ def catch_up(lake: Lake, as_of: date, zone: str = K.LOCAL_ZONE) -> tuple[date, d
     have = {d for d in lake.days(LAST_TABLE) if d != K.UNKNOWN_DAY}
     if not have:
         return None
-    missing = [d for d in _days(min(have), as_of - timedelta(days=1)) if d not in have]
+    first, last = min(have), as_of - timedelta(days=1)
+    stored = lake.spark.createDataFrame([(day,) for day in sorted(have)], "date date")
+    wanted = calendar(lake.spark, first, last) if first <= last else stored
+    missing = sorted(row["date"] for row in refresh.days_to_load(wanted, stored, first, last).collect())
     if not missing:
         return None
     for first, last in _runs(missing):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from shelfledger.operators import abc, actions, costs, sell_through, stock
 from shelfledger.registry.core import register
 from shelfledger.registry.tables import (
@@ -110,9 +112,15 @@ def _(t: Tables):
     return _ledger(t)
 
 
-@register("ledger_stock_before_baseline", f"SELECT * FROM ({_LEDGER}) WHERE FALSE")
+@register(
+    "ledger_stock_before_baseline",
+    f"SELECT *, DATE '2000-06-30' AS as_of FROM ({_LEDGER})",
+    avg_daily_sold=8,
+    days_of_cover=6,
+)
 def _(t: Tables):
-    return stock.ledger_stock(
+    """Two cutoffs in one result: the one before the opening stock has no rows, the other all."""
+    early = stock.ledger_stock(
         t.ledger_baseline,
         t.fact_inventory_moves,
         t.sales_all,
@@ -121,6 +129,31 @@ def _(t: Tables):
         baseline_local=BASELINE_LOCAL,
         pool=POOL,
     )
+    both = early.withColumn("as_of", F.lit(EARLY_AS_OF)).unionByName(
+        _ledger(t).withColumn("as_of", F.lit(AS_OF))
+    )
+    return both
+
+
+_CLOSES = [date(AS_OF.year, month, 1) for month in range(1, AS_OF.month + 1)]
+
+
+@register("ledger_stock_from_close", _LEDGER, avg_daily_sold=8, days_of_cover=6)
+def _(t: Tables):
+    """Monthly closes of half a year, then the ledger from the last one and the days since."""
+    closes = stock.ledger_closes(
+        t.ledger_baseline, t.fact_inventory_moves, BASELINE_LOCAL, _CLOSES, POOL
+    )
+    last = closes.where(F.col("date") == F.lit(_CLOSES[-1]))
+    return stock.ledger_stock(
+        last.select("product_id", F.col("on_hand_qty").alias("qty")),
+        t.fact_inventory_moves,
+        t.sales_all,
+        t.dim_products,
+        AS_OF,
+        baseline_local=stock.close_of(_CLOSES[-1]),
+        pool=POOL,
+    )
 
 
 _TOTALS = """

@@ -334,12 +334,19 @@ RAW_TABLES: dict[str, Spec] = {
     "stock_quants": RAW_STOCK_QUANTS,
 }
 
+STOCK_CLOSES: Spec = [
+    ("date", "date", None),
+    ("product_id", "bigint", 0),
+    ("on_hand_qty", "double", 0.0),
+]
+
 DAILY_TABLES: dict[str, Spec] = {
     "fact_sales": FACT_SALES,
     "fact_invoice_sales": FACT_INVOICE_SALES,
     "fact_purchases": FACT_PURCHASES,
     "fact_inventory_moves": FACT_INVENTORY_MOVES,
     "fact_stock_on_hand_snapshot": FACT_STOCK_SNAPSHOT,
+    "fact_stock_ledger_close": STOCK_CLOSES,
     "fact_product_cost_events": COST_ROWS,
     "fact_product_cost_latest_daily": COST_ROWS,
     "fact_sales_lines_profit": PROFIT_LINES,
