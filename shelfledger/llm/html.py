@@ -5,14 +5,19 @@ generalised (tag and class, numbers left out) and scored by the text it holds le
 links; pages vote for their paths, and the votes are added up per host in Spark.
 Every page is then extracted again with the winning paths of its host, so a page whose own scores mislead
 follows the others, and with all its other paths but those whose text the host repeats from page to page.
-Menus, headers, footers, notices, forms and comments are never part
-of the text, whatever the votes.
+
+Elements such as menus, footers and forms are never part of the text.  A class, id or role that speaks of a sidebar, a
+comment or the like counts as a vote against its path, by a factor of ten; what stands in such a container
+is left out unless the host's pages make it a winner all the same.  Inside a winner, or any other article, it is left out.
+Words that all blocks of a page stand below (``<body class="has-sidebar">``) say nothing about any of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -56,12 +61,16 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 WIN_SHARE = 0.3
 #: Share of a path's pages whose text there stands on another page too, above which it is boilerplate.
 REPEATED_SHARE = 0.5
+#: Factor on the votes for a path for each class word against it.
+AGAINST = 0.1
+#: Containers nested deeper count to the one at this depth.
+MAX_DEPTH = 200
 #: Keys over which the pages of one host are spread.
 SALTS = 32
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",  # possessive: no text is read twice
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -75,46 +84,80 @@ VOTE = StructType(
 )
 
 
-def _generalised(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its class (numbers as #), and whether its names or tag rule it out."""
+def _generalised(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Tag with its class (numbers as #), whether its tag rules it out, and whether its names speak against it."""
     found = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), next((v for v in values if v), ""))
     names = " ".join(found.values()).lower()
-    bad = tag in DROPPED or bool(names and BAD_WORDS.search(names)) or bool(HIDDEN.search(attributes))
+    out = tag in DROPPED or bool(HIDDEN.search(attributes))
     classes = sorted(_NUMBER.sub("#", found.get("class", "").lower()).split())
-    return ".".join([tag, *classes]), bad
+    return ".".join([tag, *classes]), out, bool(names and BAD_WORDS.search(names))
+
+
+@dataclass(frozen=True)
+class _Open:
+    """An open element: its container path, whether it is ruled out, and where names speak against it."""
+
+    tag: str
+    path: str = ""
+    out: bool = False
+    against: tuple[int, ...] = ()  # depths of containers
+    inner: bool = False  # an element that is no container of its own
+
+    def below(self, tag: str, attributes: str, in_article: bool) -> _Open:
+        name, out, bad = _generalised(tag, attributes)
+        out = self.out or out or (tag == "header" and not in_article)
+        depth = self.path.count("/") + 1
+        if tag in LEAF or tag in INLINE or depth > MAX_DEPTH:
+            return _Open(tag, self.path, out, self.against, self.inner or bad)
+        against = (*self.against, depth) if bad else self.against
+        return _Open(tag, f"{self.path}/{name}", out, against, self.inner)
 
 
-def blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
-    """(container path, text, letters inside links, ruled out) of each text block, in page order.
+#: Container path, text, letters inside links, and the depths of the containers whose names speak
+#: against it; None in their place rules the block out.
+Block = tuple[str, str, int, tuple[int, ...] | None]
 
-    Character references are decoded, white space becomes one space, blocks without text are
+
+def blocks(html: str | None) -> list[Block]:
+    """The text blocks of a page, in page order.
+
+    A block is ruled out by an element around it or by a class inside its article.  Words that all blocks of the
+    page stand below are not counted against any.  Character references are decoded, white space becomes one space, blocks without text are
     left out.  An end tag closes the nearest open element of its name; a new paragraph, item or
     heading closes an open paragraph.
     """
     if not html:
         return []
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path of containers, ruled out
+    found: list[Block] = []
+    stack: list[_Open] = []
+    count: Counter = Counter()  # open elements by tag
+    roots: dict[str, int] = {}  # depth of the article of a path
     parts: list[str] = []
     linked, in_link = 0, 0
+    nothing = _Open("")
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            path, bad = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            out.append((path, text, min(linked, len(text)), bad))
+            top = stack[-1] if stack else nothing
+            if top.path not in roots:
+                roots[top.path] = root_of(top.path).count("/")
+            depth = roots[top.path]
+            inside = top.inner or any(k > depth for k in top.against)
+            found.append((top.path, text, min(linked, len(text)), None if top.out or inside else top.against))
         parts, linked = [], 0
 
     def open_(tag: str, attributes: str) -> None:
-        above, bad = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        name, own = _generalised(tag, attributes)
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
-            own = True
-        path = above if tag in LEAF or tag in INLINE else f"{above}/{name}"
-        stack.append((tag, path, bad or own))
+        above = stack[-1] if stack else nothing
+        stack.append(above.below(tag, attributes, bool(count["article"] or count["main"])))
+        count[tag] += 1
+
+    def close(k: int) -> None:
+        count.subtract(element.tag for element in stack[k:])
+        del stack[k:]
 
     def add(text: str) -> None:
         nonlocal linked
@@ -144,37 +187,48 @@ def blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
         if tag in INLINE:
             if tag in ("br", "wbr", "img", "input"):
                 parts.append(" " if tag != "wbr" else "")
-            elif not closing and attributes and _generalised(tag, attributes)[1]:
+            elif not closing and attributes and any(_generalised(tag, attributes)[1:]):
                 flush()
                 open_(tag, attributes)
-            elif closing and stack and stack[-1][0] == tag:
+            elif closing and stack and stack[-1].tag == tag:
                 flush()
-                stack.pop()
+                close(len(stack) - 1)
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            for k in range(len(stack) - 1 if count[tag] > 0 else -1, -1, -1):
+                if stack[k].tag == tag:
+                    close(k)
                     break
-                if stack[k][0] not in LEAF and stack[k][0] not in INLINE and tag in LEAF:
+                if stack[k].tag not in LEAF and stack[k].tag not in INLINE and tag in LEAF:
                     break  # a stray end tag does not close containers
             in_link = 0
         elif tag not in VOID:
             while stack and (
-                stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
-                or (stack[-1][0] in INLINE)
-                or (tag == "li" and stack[-1][0] == "li")
-                or (tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd"))
+                stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+                or (stack[-1].tag in INLINE)
+                or (tag == "li" and stack[-1].tag == "li")
+                or (tag in ("dt", "dd") and stack[-1].tag in ("dt", "dd"))
             ):
-                stack.pop()
+                close(len(stack) - 1)
             if not attributes.rstrip().endswith("/"):
                 open_(tag, attributes)
             elif tag in DROPPED:
                 continue
     add(html[at:])
     flush()
-    return out
+    counted = [(path, against) for path, _, _, against in found if against is not None]
+    common: set[int] = set()
+    if counted:
+        parts_of_first = counted[0][0].split("/")
+        for depth in counted[0][1]:
+            above = "/".join(parts_of_first[: depth + 1])
+            if all(path == above or path.startswith(above + "/") for path, _ in counted):
+                common.add(depth)
+    return [
+        (path, text, n, against and tuple(k for k in against if k not in common))
+        for path, text, n, against in found
+    ]
 
 
 def root_of(path: str) -> str:
@@ -191,23 +245,24 @@ def root_of(path: str) -> str:
     return path
 
 
-def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
-    """Score of each container of a page: letters of text outside links, in long blocks twice."""
+def path_scores(found: list[Block]) -> dict[str, float]:
+    """Score of each container of a page: letters of text outside links, in long blocks twice,
+    a tenth of it for each word against the container."""
     scores: dict[str, float] = {}
-    for path, text, linked, bad in found:
-        if not bad:
+    for path, text, linked, against in found:
+        if against is not None:
             free = len(text) - 2 * linked
-            worth = free if len(text) < 80 else 2 * free
+            worth = (free if len(text) < 80 else 2 * free) * AGAINST ** len(against)
             root = root_of(path)
             scores[root] = scores.get(root, 0.0) + worth
     return {p: s for p, s in scores.items() if s > 0}
 
 
-def path_texts(found: list[tuple[str, str, int, bool]]) -> dict[str, int]:
+def path_texts(found: list[Block]) -> dict[str, int]:
     """Hash of the text that each container of a page holds, over the blocks that count."""
     texts: dict[str, xxhash.xxh64] = {}
-    for path, text, _, bad in found:
-        if not bad:
+    for path, text, _, against in found:
+        if against is not None:
             texts.setdefault(root_of(path), xxhash.xxh64(seed=42)).update(f"{text}\n".encode("utf-8", "replace"))
     return {p: _signed(h.intdigest()) for p, h in texts.items()}
 
@@ -216,36 +271,41 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def candidate_paths(found: list[tuple[str, str, int, bool]]) -> list[str]:
+def candidate_paths(found: list[Block]) -> list[str]:
     """Containers of a page's text and all that hold them, in alphabetical order."""
     out = set()
-    for path, _, _, bad in found:
-        if not bad:
+    for path, _, _, against in found:
+        if against is not None:
             parts = path.split("/")
             out.update("/".join(parts[: k + 1]) for k in range(len(parts)))
     return sorted(out)
 
 
 def main_text(html: str | None, winners: list[str] | None, repeated: list[str] | None = None) -> str:
-    """The text below the winning paths, without one on this page below the page's own best path,
-    and below all other paths with a score that are not ``repeated`` boilerplate."""
+    """The text below the winning paths, without one on this page below the page's own best path, and below all
+    other paths with a score that are not ``repeated`` boilerplate and have no word against them."""
     found = blocks(html)
     own = path_scores(found)
-    chosen = [w for w in winners or [] if any(_below(p, w) and not bad for p, _, _, bad in found)]
+    chosen = [w for w in winners or [] if any(_under(w, *block) for block in found)]
     if not chosen:
         chosen = [max(own, key=lambda p: (own[p], p))] if own else []
     again = set(repeated or [])
     others = {p for p in own if p not in again}
     kept = [
         text
-        for path, text, _, bad in found
-        if not bad and (root_of(path) in others or any(_below(path, w) for w in chosen))
+        for path, text, n, against in found
+        if (against == () and root_of(path) in others)
+        or any(_under(w, path, text, n, against) for w in chosen)
     ]
     return "\n".join(kept)
 
 
-def _below(path: str, above: str) -> bool:
-    return path == above or path.startswith(above + "/")
+def _under(winner: str, path: str, text: str, linked: int, against: tuple[int, ...] | None) -> bool:
+    """Whether a block stands below a winning path, with no word against it from there on."""
+    if against is None or not (path == winner or path.startswith(winner + "/")):
+        return False
+    depth = winner.count("/")
+    return all(k <= depth for k in against)
 
 
 def host_of(url: Column) -> Column:
@@ -310,9 +370,11 @@ def extract(
     """(page_id, url, text, n_chars, host, n_winners) of every page.
 
     Null and empty html give empty text.  Pages without a host vote as one host.  Repeated
-    pages are extracted each.  Ties between paths go to the first in alphabetical order.
+    pages are extracted each.  Ties between paths go to the first in alphabetical order.  An empty table gives no
+    rows; other columns, whatever their names, are left out.  Pages of any length are read whole, in time
+    linear in their length; markup that never ends is text.
     """
-    judged = written(winning_paths(votes(pages, url, html)))
+    judged = written(winning_paths(written(votes(pages, url, html))))
 
     @F.pandas_udf(ArrayType(StringType()))
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

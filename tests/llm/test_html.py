@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from shelfledger.llm import html as H
@@ -84,3 +86,67 @@ def test_given_pages(spark, folder):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(" ".join(x.split()) for x in parts if x.strip())
+
+
+@pytest.mark.parametrize(
+    ("body", "box"),
+    [
+        ("has-sidebar", "entry"), ("no-sidebar single-post", "text"), ("comments-open", "box"), ("home search", "x"),
+        ("js-hidden", "story"), ("", "entry tags-news"), ("", "article share-enabled"), ("", "content-with-side"), ("", "main-content no-ad"),
+    ],
+)
+def test_template_classes_do_not_hide_the_article(body, box):
+    """A page of its own, then two of a host that agree."""
+    html = (
+        f"<body class='{body}'><nav>menu</nav><div class='{box}'><h1>Title</h1><p>{LONG}</p><div class='share'>share</div></div>"
+        "<div class='sidebar'><p>other things to read</p></div><div class='comments'><p>I like it</p></div></body>"
+    )
+    assert H.main_text(html, None) == f"Title\n{LONG.strip()}"
+    winner = max(H.path_scores(H.blocks(html)).items(), key=lambda kv: kv[1])[0]
+    assert H.main_text(html, [winner], []) == f"Title\n{LONG.strip()}"
+
+
+def test_votes_change_the_text(spark):
+    """A container with a word against it is kept where the host's pages vote for it, and left out elsewhere."""
+    lead = "<div class='intro'>Lead {k}</div>"
+    rows = [page(lead.format(k=k) + f"<div class='widget-text'><p>{LONG}{k}</p></div>", k=k) for k in range(6)]
+    rows += [page(f"<div class='news'><p>{LONG * 12}{k}</p></div><div class='widget-text'><p>{LONG}{k}</p></div>", host="b.example", k=k) for k in range(10, 16)]
+    found = extract(spark, rows)
+    assert all(found[k] == f"Lead {k}\n{LONG}{k}" for k in range(6))
+    assert all(found[k] == f"{LONG * 12}{k}" for k in range(10, 16))
+
+
+def brute_votes(pages):
+    """{host: {path: summed share}} by plain loops."""
+    total = {}
+    for host, html in pages:
+        own = H.path_scores(H.blocks(html))
+        for path, score in own.items():
+            host_of = total.setdefault(host, {})
+            host_of[path] = host_of.get(path, 0.0) + score / sum(own.values())
+    return total
+
+
+def test_votes_equal_plain_sums(spark):
+    bodies = [f"<div class='a{k % 3}'><p>{LONG * (k % 4 + 1)}</p></div><section><p>{'x ' * k}y</p></section>" for k in range(30)]
+    rows = [page(body, host=f"h{k % 2}.example", k=k) for k, body in enumerate(bodies)]
+    voted = H.votes(spark.createDataFrame(rows, PAGES)).collect()
+    expected = brute_votes([(f"h{k % 2}.example", row[2]) for k, row in enumerate(rows)])
+    assert {(r.host, r.path): pytest.approx(r.score) for r in voted} == {
+        (h, p): s for h, paths in expected.items() for p, s in paths.items()
+    }
+
+
+HOSTILE = [
+    "< a <b '" * 130_000, "<a '" * 250_000, "<div>" * 200_000 + "x", "<div class=ad>" * 70_000 + "x" + "</p>" * 70_000,
+    "<p>a" * 250_000, "<!--" * 250_000, "<a b=\"" * 150_000, "&" * 1_000_000, "</x>" * 250_000, "<b>" * 300_000,
+]
+
+
+@pytest.mark.parametrize("html", HOSTILE, ids=range(len(HOSTILE)))
+def test_hostile_markup_is_linear(html):
+    began = time.time()
+    found = H.blocks(html)
+    H.candidate_paths(found)
+    H.main_text(html, None)
+    assert time.time() - began < 30
