@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfledger.llm import decontamination, language, pii, sentencepiece, simhash
-from shelfledger.llm.common import read_table, written
+from shelfledger.llm.common import drop_table, read_table, write_table
 from shelfledger.llm.queries import PII_KEY, VOCABULARY
 
 
@@ -29,17 +29,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: the one with the smallest id."""
+    """Keeps one document of each near-duplicate component: the one with the smallest id.
+
+    Null, empty and blank texts are one component; of repeated rows one stays; long texts count whole; an empty
+    table stays empty; all columns are kept, whatever their names.
+    """
     return simhash.first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts hold none; repeated rows are judged alike; long texts are searched whole; without documents
+    or items nothing is dropped; all columns are kept.
+    """
     return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes surrogates; the number of characters follows the text."""
+    """Personal data becomes surrogates; the number of characters follows the text.
+
+    Null and empty texts stay; repeated rows are treated alike; an empty table stays empty; all columns are kept.
+    """
     replaced, _ = pii.replaced(docs, PII_KEY)
     if "n_chars" not in docs.columns:
         return replaced
@@ -48,7 +59,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text.
+
+    Null and empty texts have no ids; repeated rows are encoded each; long texts are encoded whole; an empty table
+    gives no rows; columns other than id and text are left out.
+    """
     return sentencepiece.encode(docs, sentencepiece.load(VOCABULARY))
 
 
@@ -65,8 +80,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each is written to the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    """All stages over the documents of ``sf_dir``; each is written to the shared folder.
+
+    A stage's table is removed once the next one is written; the last one stays for the result.
+    """
+    docs, path = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, written = write_table(stage(spark, docs, sf_dir))
+        if path is not None:
+            drop_table(spark, path)
+        path = written
     return STAGES[-1][1](spark, docs, sf_dir)
