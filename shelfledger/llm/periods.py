@@ -287,3 +287,62 @@ def planted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return rows.select(
         "doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text")
     )
+
+
+# --- the same in SQL ------------------------------------------------------------------------
+
+
+def oracle() -> str:
+    """DuckDB SQL of the registered query: equal words of a text are joined, whatever their distance."""
+    crc = """list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [256 + ord(c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+      lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256)
+        WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END)"""
+    return f"""
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, xor({crc}, 4294967295::BIGINT) AS h,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS original
+  FROM documents
+), planned AS (
+  SELECT *, len(original) AS n, coalesce(h % 10 = 0 AND len(original) > 0, false) AS planted,
+    CASE WHEN len(original) > 0 THEN (h // 10) % len(original) END AS a FROM base
+), shaped AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM planned
+), words AS MATERIALIZED (
+  SELECT rid, n, i, original[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM shaped)
+), pairs AS (
+  SELECT y.rid, y.i, y.i - x.i AS q
+  FROM words AS x JOIN words AS y ON x.rid = y.rid AND x.w = y.w AND x.i < y.i
+  WHERE {MIN_PERIODS} * (y.i - x.i) <= y.n
+), diagonals AS MATERIALIZED (
+  SELECT rid, q, min(i) AS low, max(i) AS high
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs)
+  GROUP BY rid, q, island
+), long_ones AS (
+  SELECT rid, q AS period, low - q AS start, high - low + 1 + q AS length FROM diagonals
+  WHERE high - low + 1 + q >= greatest({MIN_WORDS}, {MIN_PERIODS} * q)
+), runs AS MATERIALIZED (
+  SELECT * FROM long_ones AS r
+  WHERE NOT EXISTS (SELECT 1 FROM diagonals AS d WHERE d.rid = r.rid AND d.q < r.period AND r.period % d.q = 0
+    AND d.low <= r.start + d.q AND d.high >= r.start + r.length - 1)
+), listed AS (
+  SELECT rid, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY rid
+), best AS (
+  SELECT * FROM runs AS r WHERE NOT EXISTS (SELECT 1 FROM runs AS o WHERE o.rid = r.rid AND (
+    o.length * r.period > r.length * o.period OR (o.length * r.period = r.length * o.period
+      AND (o.start, o.period) < (r.start, r.period))))
+), kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY i) AS text
+  FROM words AS x WHERE NOT EXISTS (SELECT 1 FROM runs AS r WHERE r.rid = x.rid
+    AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length,
+  period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM base LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -143,4 +143,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_perspectives": chat.oracle(),
     "op9_quality_rules": rules.oracle(),
     "op11_centroid_clusters": centroids.oracle(),
+    "op12_suffix_repeats": suffixes.oracle(),
+    "op13_periodic_runs": periods.oracle(),
 }

@@ -435,3 +435,46 @@ def digests(found: DataFrame) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# --- the same in SQL ------------------------------------------------------------------------
+
+
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB SQL of the registered query: every string of every document as a row."""
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h,
+    octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents
+), chunks AS (
+  SELECT rid, doc_id, n, c, substr(h, 2 * c + 1, 2 * (200 + {length})) AS part
+  FROM (SELECT rid, doc_id, h, n, unnest(range(0, n, 200)) AS c FROM docs WHERE n >= {length})
+), strings AS (
+  SELECT rid, doc_id, c + k AS p, substr(part, 2 * k + 1, {2 * length}) AS s
+  FROM (SELECT *, unnest(range(0, least(200, n - {length - 1} - c))) AS k FROM chunks)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s
+), gone AS (
+  SELECT rid, p FROM strings JOIN firsts USING (s)
+  WHERE first_id < doc_id OR (doc_id IS NULL AND first_id IS NOT NULL)
+), opened AS (
+  SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + {length} THEN 0 ELSE 1 END AS opens
+  FROM gone
+), spans AS (
+  SELECT rid, min(p) AS a, max(p) + {length} AS b
+  FROM (SELECT rid, p, sum(opens) OVER (PARTITION BY rid ORDER BY p) AS span FROM opened) GROUP BY rid, span
+), pieces AS (
+  SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT rid, max(b), n FROM spans JOIN docs USING (rid) GROUP BY rid, n
+), kept AS (
+  SELECT rid, string_agg(substr(h, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER BY p.a) AS left_over
+  FROM pieces AS p JOIN docs USING (rid) GROUP BY rid
+), removed AS (
+  SELECT rid, sum(b - a) AS bytes, count(*) AS spans FROM spans GROUP BY rid
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT AS n_removed,
+  coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -128,3 +128,15 @@ def test_query_equals_brute_force(spark):
     for row in short:
         assert found[row["doc_id"]] == brute_row(row["doc_id"], row["text"])
     assert sum(found[row["doc_id"]][1] for row in short) > 5
+
+
+def test_query_equals_sql(spark):
+    from tests.oracle import compare, connect
+
+    class Query:
+        frame = staticmethod(queries.op13_periodic_runs)
+        oracle = staticmethod(P.oracle)
+
+    folder = "/root/testdata/sf0.01"
+    n, problems = compare(spark, folder, Query, connect(folder))
+    assert n and not problems

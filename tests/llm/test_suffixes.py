@@ -107,3 +107,15 @@ def test_query_equals_brute_force(spark):
         (i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in brute(rows, 50)
     ]
     assert sorted(got) == sorted(expected) and sum(row[2] for row in got) > 1000
+
+
+def test_query_equals_sql(spark):
+    from tests.oracle import compare, connect
+
+    class Query:
+        frame = staticmethod(queries.op12_suffix_repeats)
+        oracle = staticmethod(S.oracle)
+
+    folder = "/root/testdata/sf0.01"
+    n, problems = compare(spark, folder, Query, connect(folder))
+    assert n and not problems
