@@ -335,6 +335,36 @@ def unified_cost_by_day(
     )
 
 
+def unified_cost_intervals(events: DataFrame, legacy: DataFrame) -> DataFrame:
+    """The unified cost of every product as intervals (valid_from, valid_to), the last one open.
+
+    The same rule as :func:`unified_cost_by_day`, for all days at once and without looking at any sale: a
+    running maximum over at most one offer per product and day.
+    """
+    offers = (
+        _candidates(events, legacy)
+        .groupBy("product_id", F.col("effective_date").alias("valid_from"))
+        .agg(F.max(_preferred()).alias("offer"))
+    )
+    order = Window.partitionBy("product_id").orderBy("valid_from")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = offers.select(
+        "product_id",
+        "valid_from",
+        F.date_sub(F.lead("valid_from").over(order), 1).alias("valid_to"),
+        F.max("offer").over(so_far).alias("best"),
+    )
+    return known.select(
+        "product_id",
+        "valid_from",
+        "valid_to",
+        "best.cost_unit_tax_in",
+        "best.source_tax_id",
+        "best.cost_source",
+        "best.effective_date",
+    )
+
+
 def cost_as_of(events: DataFrame, product_days: DataFrame) -> DataFrame:
     """Most recent purchase cost on or before each (product_id, date)."""
     offers = events.groupBy("product_id", "date").agg(_newest().alias("best"))

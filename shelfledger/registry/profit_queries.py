@@ -45,6 +45,12 @@ def _(t: Tables):
     return t.profit_lines
 
 
+@register("line_profit_in_intervals", "SELECT * FROM profit_lines", **_MONEY)
+def _(t: Tables):
+    intervals = costs.unified_cost_intervals(t.cost_events, t.legacy_costs)
+    return profit.line_profit_in_intervals(t.taxed_lines, intervals, FIRST_DAY, LAST_DAY)
+
+
 @register(
     "line_profit_as_of",
     f"""
