@@ -259,11 +259,11 @@ def _counted(cut: Cutter):
 
 def _rare_words(cut: Cutter, frequent):
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value[0].keys()
+        known = frequent.value[0]
         for batch in batches:
             asked: dict[int, set[str]] = {}
             for text, group in zip(batch.column("text"), batch.column("group").to_pylist(), strict=True):
-                asked.setdefault(group, set()).update(set(cut(text.as_py())) - known)
+                asked.setdefault(group, set()).update(w for w in cut(text.as_py()) if w not in known)
             rows = [(g, w) for g, ws in asked.items() for w in ws if len(w) <= LONG_WORD]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g for g, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())],
@@ -372,7 +372,8 @@ def encode(
     groups = 1 + int(size // group_bytes)
     dealt = texts.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups).cast("long")))
     dealt = dealt.repartition(F.col("group"))  # one shuffle of the texts serves questions and assembly
-    asked = dealt.select("group", "text").mapInArrow(_rare_words(cut, frequent), "group long, word string")
+    # All columns, so that the plan has one exchange of the texts.
+    asked = dealt.mapInArrow(_rare_words(cut, frequent), "group long, word string")
     met = asked.distinct().join(paths.select("word", "piece_ids"), "word")
     return (
         dealt.groupBy("group")
