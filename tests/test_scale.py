@@ -225,3 +225,29 @@ def test_lineage_is_cut_in_the_shared_folder(spark, tmp_path):
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "Scan ExistingRDD" in _plan(df) and df.count() == 10
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_interval_costs_read_the_sales_once(spark):
+    """Lines meet month pieces of the cost intervals; no sale is looked at to make the costs."""
+    from datetime import date
+
+    from shelfledger.operators import costs, profit
+
+    sales = spark.range(100).selectExpr(
+        "'pos' AS channel", "date_add(DATE '2025-01-01', CAST(id % 90 AS INT)) AS date", "id AS txn_id",
+        "id AS line_id", "id % 5 AS product_id", "1.0D AS quantity", "9.0D AS revenue_tax_in",
+    )
+    events = spark.createDataFrame(
+        [(date(2025, 1, 10), 1, 3.0, 1, 5), (date(2025, 3, 2), 1, 4.0, 2, 5), (date(2025, 2, 1), 2, 5.0, 3, 5)],
+        "date date, product_id bigint, cost_unit_tax_in double, source_move_id bigint, source_tax_id bigint",
+    )
+    legacy = spark.createDataFrame(
+        [], "product_id bigint, priority int, effective_date date, cost_unit_tax_in double, source_tax_id bigint, cost_source string, is_active boolean"
+    )
+    intervals = costs.unified_cost_intervals(events, legacy)
+    found = profit.line_profit_in_intervals(sales, intervals, date(2025, 1, 1), date(2025, 3, 31))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1
+    plain = profit.line_profit_by_day(sales, events, legacy)
+    columns = found.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.select(*columns).collect()))
