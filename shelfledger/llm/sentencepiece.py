@@ -182,23 +182,25 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown_score:
         ).alias("edge"),
     )
     grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
-    # The edges into each place, in order of the places.
-    into = F.transform(
-        F.sequence(F.lit(1), F.length("word")), lambda k: F.filter("edges", lambda e: e["end"] == k)
-    )
-    grouped = grouped.select("word", into.alias("into"))
-
-    def step(best: Column, edges_in: Column) -> Column:
-        """``best`` has for each place so far the largest sum and the edge that gives it."""
-
-        def reached(e: Column) -> Column:
-            total = F.get(best, e["start"])["sum"] + e["score"]
-            return F.struct(total.alias("sum"), (-e["start"]).alias("back"), e["id"].alias("id"))
+    # In order of their ends, so that one pass over the edges fills place after place.
+    grouped = grouped.select("word", F.array_sort("edges").alias("edges"))
 
-        return F.concat(best, F.array(F.array_max(F.transform(edges_in, reached))))
-
-    zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("back"), F.lit(-1).alias("id")))
-    folded = grouped.select("word", F.aggregate("into", zero, step).alias("best"))
+    def step(state: Column, e: Column) -> Column:
+        """``done`` has for each finished place the largest sum and the edge that gives it; ``here`` is the next place."""
+        done = F.when(e["end"] == F.size(state["done"]), state["done"]).otherwise(
+            F.concat(state["done"], F.array(state["here"]))
+        )
+        total = F.get(done, e["start"])["sum"] + e["score"]
+        reached = F.struct(total.alias("sum"), (-e["start"]).alias("back"), e["id"].alias("id"))
+        here = F.when(e["end"] == F.size(state["done"]), F.greatest(state["here"], reached)).otherwise(reached)
+        return F.struct(done.alias("done"), here.alias("here"))
+
+    place = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("back"), F.lit(-1).alias("id"))
+    none = F.array().cast("array<struct<sum:double,back:int,id:int>>")
+    folded = F.aggregate("edges", F.struct(none.alias("done"), place.alias("here")), step)
+    folded = grouped.select("word", folded.alias("f")).select(
+        "word", F.concat("f.done", F.array("f.here")).alias("best")
+    )
 
     def back(state: Column, k: Column) -> Column:
         here = F.get("best", k)
@@ -355,8 +357,7 @@ def encode(
     texts = columns(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     cut = Cutter(vocabulary)
     words = texts.select("text").mapInArrow(_counted(cut), "word string, n bigint")
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    # An exchange by word follows in the fold; the counts go along.
+    words = written(words.groupBy("word").agg(F.sum("n").alias("n")))  # read twice: by the lattice and for its counts
     paths = best_paths(words.select("word"), piece_table(spark, vocabulary), vocabulary.longest, vocabulary.unknown_score)
     paths = paths.select("word", piece_ids(F.col("path"), F.col("word"), vocabulary).alias("piece_ids"))
     paths = written(paths.join(words, "word"))
