@@ -15,10 +15,9 @@ Words that all blocks of a page stand below (``<body class="has-sidebar">``) say
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -86,6 +85,21 @@ VOTE = StructType(
 
 def _generalised(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Tag with its class (numbers as #), whether its tag rules it out, and whether its names speak against it."""
+    if not attributes:
+        return tag, tag in DROPPED, False
+    known = _NAMES.get((tag, attributes))
+    if known is None:
+        if len(_NAMES) >= 20_000:
+            _NAMES.clear()
+        known = _NAMES[tag, attributes] = _read_names(tag, attributes)
+    return known
+
+
+#: Names of elements read before, a bounded memory of each task: pages of a host repeat them.
+_NAMES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+
+
+def _read_names(tag: str, attributes: str) -> tuple[str, bool, bool]:
     found = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), next((v for v in values if v), ""))
@@ -95,8 +109,7 @@ def _generalised(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return ".".join([tag, *classes]), out, bool(names and BAD_WORDS.search(names))
 
 
-@dataclass(frozen=True)
-class _Open:
+class _Open(NamedTuple):
     """An open element: its container path, whether it is ruled out, and where names speak against it."""
 
     tag: str
@@ -132,7 +145,7 @@ def blocks(html: str | None) -> list[Block]:
         return []
     found: list[Block] = []
     stack: list[_Open] = []
-    count: Counter = Counter()  # open elements by tag
+    count: dict[str, int] = {}  # open elements by tag
     roots: dict[str, int] = {}  # depth of the article of a path
     parts: list[str] = []
     linked, in_link = 0, 0
@@ -152,11 +165,12 @@ def blocks(html: str | None) -> list[Block]:
 
     def open_(tag: str, attributes: str) -> None:
         above = stack[-1] if stack else nothing
-        stack.append(above.below(tag, attributes, bool(count["article"] or count["main"])))
-        count[tag] += 1
+        stack.append(above.below(tag, attributes, bool(count.get("article") or count.get("main"))))
+        count[tag] = count.get(tag, 0) + 1
 
     def close(k: int) -> None:
-        count.subtract(element.tag for element in stack[k:])
+        for element in stack[k:]:
+            count[element.tag] -= 1
         del stack[k:]
 
     def add(text: str) -> None:
@@ -196,7 +210,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1 if count[tag] > 0 else -1, -1, -1):
+            for k in range(len(stack) - 1 if count.get(tag) else -1, -1, -1):
                 if stack[k].tag == tag:
                     close(k)
                     break
